@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wardline.llm import packing, warc
+from wardline.llm import packing, simhash, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op9_warc": warc.op9_warc,
 }
 ORACLE_SQL: dict[str, str] = {}
