@@ -215,5 +215,10 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, groups: int = GR
     return pack(materialise(token_pieces(docs, capacity), "pieces"), capacity, groups)
 
 
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the packed pieces."""
+    return best_fit_packing(docs)
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from wardline.llm import langid, packing, quality, simhash, suffixes, warc
+from wardline.llm import langid, mixing, packing, quality, simhash, suffixes, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_mixing": mixing.op2_mixing,
     "op3_suffix_array_dedup": suffixes.op3_suffix_array_dedup,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_language_id": langid.op5_language_id,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op9_warc": warc.op9_warc,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_OP2}

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.operators.components import connected_components
@@ -40,14 +40,19 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, fp, th): the fingerprint as a signed long, and a hash of the text."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t if isinstance(t, str) else None, words) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64), "th": b["th"]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(each, "doc_id long, fp long")
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash().alias("th"))
+    return cut.mapInPandas(each, "doc_id long, fp long, th long")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def covering_masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -138,7 +143,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_R
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id): documents whose fingerprints are linked, directly or through others, share the least doc_id.
+    """(doc_id, fp, th, component_id): documents whose fingerprints are linked, directly or through others, share the least doc_id.
 
     Null and empty texts have the fingerprint zero and are linked like any other. A null doc_id is kept and takes
     its component's least known id (null if there is none). Repeated rows stay; an empty table gives an empty table.
@@ -149,9 +154,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, bucke
     named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id")).select((F.col("root") + F.lit(0)).alias("root"), "component_id")
     named = materialise(named.join(roots, "root").select("fp", "component_id"), "simhash-components")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", "fp", "th", "component_id")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of near-duplicates the row with the least doc_id (null ids last) stays."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    groups = near_duplicates(docs).withColumn("group", F.coalesce("component_id", "fp"))
+    kept = groups.groupBy("group", F.col("component_id").isNull()).agg(F.min_by(F.struct("doc_id", "th"), order).alias("kept"))
+    kept = materialise(kept.select(F.col("kept.doc_id").alias("_id"), F.col("kept.th").alias("_th")), "simhash-kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_text_hash() == F.col("_th"))
+    return docs.join(kept, same).dropDuplicates(["_id", "_th"]).select(*docs.columns)
