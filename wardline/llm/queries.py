@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import langid, mixing, packing, quality, simhash, suffixes, warc
+from wardline.llm import curves, langid, lattice, mixing, packing, quality, simhash, suffixes, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_language_id": langid.op5_language_id,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_embedding_near_dedup": lattice.op7_embedding_near_dedup,
+    "op8_nearest_neighbours": curves.op8_nearest_neighbours,
     "op9_warc": warc.op9_warc,
 }
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_OP2}
