@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import curves, langid, lattice, mixing, packing, quality, simhash, suffixes, warc
+from wardline.llm import curves, langid, lattice, mixing, packing, pages, quality, simhash, suffixes, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_embedding_near_dedup": lattice.op7_embedding_near_dedup,
     "op8_nearest_neighbours": curves.op8_nearest_neighbours,
     "op9_warc": warc.op9_warc,
+    "op10_html_extraction": pages.op10_html_extraction,
 }
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_OP2}
