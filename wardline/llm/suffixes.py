@@ -10,8 +10,9 @@ anchors: one *segment* of text, with a hash of its gram (the suffix's sort key)
    level; equal-sized levels merge, so that each key is rewritten a logarithmic number of times. Suffixes are
    ordered by hashes of their first k bytes: any order that puts equal prefixes together serves an exact search.
 2. A gram that only ever stands in one and the same segment repeats the whole segment. Where its segments differ,
-   segments that occur twice are repeated; of the others (a repeated passage's edges, mostly) one of each is taken
-   apart into its strings, whose hashes are counted.
+   segments that occur twice are repeated, and one of each (a repeated passage's edges, mostly) is taken apart into
+   blocks of strings counted from the anchor, whose key is what a block's strings share; blocks that match in part
+   are taken apart into single strings. Each level goes through the index family in the same way.
 3. A document's repeated segments and strings make intervals; their union is removed.
 
 All counts are pre-aggregated before they are gathered by key, and the joins end in shuffles on both sides, so that
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm.batches import text_bytes
-from wardline.storage import materialise
+from wardline.storage import drop_table, materialise
 
 LENGTH, GRAM, BATCHES, CHUNK = 400, 128, 8, 1 << 22
 _rng = np.random.default_rng(20_240_601)
@@ -65,9 +66,10 @@ class Hashes:
         back = _power(_BACK, len(self.sums))
         return _mix((self.sums[start + length] - self.sums[start]) * back[start] + np.uint64(0x632BE59BD9B4E019) * np.asarray(length, dtype=np.uint64))
 
-    def windows(self, length: int) -> np.ndarray:
+    def ranks(self, length: int) -> np.ndarray:
+        """An unmixed hash of every substring of a length: its high bits order grams."""
         n = len(self.sums) - length
-        return _mix((self.sums[length:] - self.sums[:n]) * _power(_BACK, n) + np.uint64(0x632BE59BD9B4E019 * length % 2**64))
+        return (self.sums[length:] - self.sums[:n]) * _power(_BACK, n)
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -80,22 +82,39 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
+def _ranked(h: Hashes, k: int) -> np.ndarray:
+    """Gram ranks with the place in the low bits, so that the least of a range is its leftmost least gram."""
+    raw = h.ranks(k)
+    return raw & np.uint64(2**64 - 2**24) | np.arange(len(raw), dtype=np.uint64)
+
+
 def segments(data: bytes, length: int = LENGTH, k: int = GRAM, chunk: int = CHUNK) -> np.ndarray:
     """Rows (first string, further strings, gram hash, segment hash) that cover all strings of ``length`` bytes once."""
-    out = [np.zeros((0, 4), dtype=np.uint64)]
+    out = [np.zeros((0, 4), dtype=np.int64)]
     for base in range(0, len(data) - length + 1, chunk):
-        part = np.frombuffer(data, dtype=np.uint8)[base : base + chunk + length - 1]
-        h = Hashes(part)
-        grams = h.windows(k)
-        ranked = grams & np.uint64(2**64 - 2**24) | np.arange(len(grams), dtype=np.uint64)
-        anchor = _sliding_min(ranked, length - k + 1) & np.uint64(2**24 - 1)
+        h = Hashes(np.frombuffer(data, dtype=np.uint8)[base : base + chunk + length - 1])
+        anchor = (_sliding_min(_ranked(h, k), length - k + 1) & np.uint64(2**24 - 1)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         more = np.diff(np.r_[first, len(anchor)]) - 1
-        at = anchor[first].astype(np.int64)
-        out.append(np.stack([(first + base).astype(np.uint64), more.astype(np.uint64), grams[at], h.of(first, more + length)], axis=1))
+        out.append(np.stack([first + base, more, h.of(anchor[first], k).view(np.int64), h.of(first, more + length).view(np.int64)], axis=1))
     return np.concatenate(out)
 
 
+def blocks(data: bytes, lo: int, more: int, size: int, length: int = LENGTH, k: int = GRAM, parent: int = 16) -> np.ndarray:
+    """Rows like those of ``segments`` for a segment's strings, in blocks of ``size``.
+
+    Blocks are counted from the anchor, so that equal strings of different segments fall in blocks of one number.
+    The key is the hash of what all strings of a whole block share (for single strings: of their parent block).
+    """
+    h = Hashes(np.frombuffer(data, dtype=np.uint8)[lo : lo + more + length])
+    a = int(_ranked(h, k)[: more + length - k + 1].argmin())
+    j = np.arange((a - more) // size, a // size + 1)
+    first, last = np.maximum(0, a - size * j - size + 1), np.minimum(more, a - size * j)
+    up = j * size // parent * parent if size < parent else j * size
+    wide = max(size, parent) - 1
+    return np.stack([lo + first, last - first, h.of(a - up, length - wide).view(np.int64), h.of(first, last - first + length).view(np.int64)], axis=1)
+
+
 class IndexFamily:
     """Levels of sorted suffix arrays: rows of (key, least and greatest segment hash); no two levels of one size class."""
 
@@ -131,29 +150,33 @@ class IndexFamily:
         return key, low != high
 
 
-def _segment_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
+ROWS = "doc_id long, th long, lo long, more int, gram long, seg long"
+
+
+def _rows(docs: DataFrame, cut, *also: str) -> DataFrame:
+    """Rows of ``cut(text bytes, *values of the columns also)`` for every document."""
+
+    def frame(held: list) -> pd.DataFrame:
+        rows, n = np.concatenate([r for _, _, r in held]), [len(r) for _, _, r in held]
+        ids = pd.array(np.repeat(pd.array([d for d, _, _ in held], dtype="Int64"), n), dtype="Int64")
+        th = np.repeat(np.array([t for _, t, _ in held], dtype=np.int64), n)
+        return pd.DataFrame({"doc_id": ids, "th": th, "lo": rows[:, 0], "more": rows[:, 1].astype(np.int32), "gram": rows[:, 2], "seg": rows[:, 3]})
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for b in batches:
-            for doc_id, th, text in zip(b["doc_id"].astype("Int64"), b["th"], b["text"]):
-                rows = segments(text_bytes(text), length, k)
+            for doc_id, th, text, *values in zip(b["doc_id"].astype("Int64"), b["th"], b["text"], *(b[c] for c in also)):
+                rows = cut(text_bytes(text), *values)
                 if len(rows):
-                    yield pd.DataFrame({
-                        "doc_id": pd.array([doc_id] * len(rows), dtype="Int64"), "th": th, "lo": rows[:, 0].astype(np.int64),
-                        "more": rows[:, 1].astype(np.int32), "gram": rows[:, 2].view(np.int64), "seg": rows[:, 3].view(np.int64),
-                    })
-
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        for b in each(batches):
-            held.append(b)
-            n += len(b)
-            if n > 50_000:
-                yield pd.concat(held, ignore_index=True)
-                held, n = [], 0
+                    held.append((doc_id, th, rows))
+                    n += len(rows)
+                if n > 50_000:
+                    yield frame(held)
+                    held, n = [], 0
         if held:
-            yield pd.concat(held, ignore_index=True)
+            yield frame(held)
 
-    return docs.mapInPandas(joined, "doc_id long, th long, lo long, more int, gram long, seg long")
+    return docs.select("doc_id", "th", "text", *also).mapInPandas(each, ROWS)
 
 
 def _repeated_grams(suffixes: DataFrame, batches: int) -> DataFrame:
@@ -181,52 +204,31 @@ def _repeated_grams(suffixes: DataFrame, batches: int) -> DataFrame:
     return arrays.repartition("gram").sortWithinPartitions("batch", "gram").mapInPandas(scan, "gram long, differ boolean")
 
 
-def _string_rows(docs: DataFrame, length: int) -> DataFrame:
-    """The strings of the segments in ``todo``, by hash."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            held, n = [], 0
-            for doc_id, th, text, todo in zip(b["doc_id"].astype("Int64"), b["th"], b["text"], b["todo"]):
-                data = np.frombuffer(text_bytes(text), dtype=np.uint8)
-                for x in todo:
-                    lo, more = int(x["lo"]), int(x["more"])
-                    strings = Hashes(data[lo : lo + more + length]).windows(length).view(np.int64)
-                    held.append(pd.DataFrame({"gram": x["gram"], "string": strings, "doc_id": pd.array([doc_id] * (more + 1), dtype="Int64"), "th": th, "lo": lo, "at": np.arange(more + 1, dtype=np.int32), "alone": x["alone"]}))
-                    n += more + 1
-                    if n > 50_000:
-                        yield pd.concat(held, ignore_index=True)
-                        held, n = [], 0
-            if held:
-                yield pd.concat(held, ignore_index=True)
-
-    return docs.mapInPandas(each, "gram long, string long, doc_id long, th long, lo long, at int, alone boolean")
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int = BATCHES) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int = BATCHES, steps: tuple[int, ...] = (16, 1)) -> DataFrame:
     """(doc_id, th, start, end): byte intervals whose union holds just the bytes in repeated strings of ``length`` bytes.
 
     ``docs``: doc_id, text and ``th``, a hash of the text. Rows alike in all three share their intervals.
     """
-    key = ["doc_id", "th"]
-    suffixes = materialise(_segment_rows(docs.select("doc_id", "th", "text"), length, k), "suffixes")
-    grams = _repeated_grams(suffixes, batches)
-    found = materialise(suffixes.join(grams, "gram"), "suffix-matches")
+    spark, key = docs.sparkSession, ["doc_id", "th"]
     span = lambda df: df.select(*key, F.col("lo").alias("start"), (F.col("lo") + F.col("more") + length).alias("end"))
-    differ = found.filter("differ")
-    one = F.min(F.struct("doc_id", "th", "lo", "more"))
-    classes = differ.groupBy("gram", "seg").agg(F.count(F.lit(1)).alias("n"), one.alias("one"))
-    many = classes.filter("n > 1").select((F.col("gram") + F.lit(0)).alias("gram"), "seg")
-    todo = classes.select("one.*", "gram", (F.col("n") == 1).alias("alone")).groupBy(*key).agg(F.collect_list(F.struct("lo", "more", "gram", "alone")).alias("todo"))
-    same = [docs[c].eqNullSafe(todo[c]) for c in key]
-    strings = materialise(_string_rows(docs.join(todo, same).select(docs["doc_id"], docs["th"], "text", "todo").dropDuplicates(key), length), "suffix-strings")
-    twice = strings.groupBy("gram", "string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select((F.col("gram") + F.lit(0)).alias("gram"), "string")
-    edges = strings.filter("alone").join(twice, ["gram", "string"]).groupBy(*key, "lo").agg(F.min("at").alias("a"), F.max("at").alias("b"))
-    return (
-        span(found.filter("not differ"))
-        .union(span(differ.join(many, ["gram", "seg"])))
-        .union(edges.select(*key, (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") + length).alias("end")))
-    )
+    rows = materialise(_rows(docs, lambda data: segments(data, length, k)), "suffixes")
+    found = None
+    for level, size in enumerate((0, *steps)):
+        if level:
+            todo = classes.select("one.*").groupBy(*key).agg(F.collect_list(F.struct("lo", "more")).alias("todo"))  # noqa: F821
+            same = [docs[c].eqNullSafe(todo[c]) for c in key]
+            some = docs.join(todo, same).select(docs["doc_id"], docs["th"], "text", "todo").dropDuplicates(key)
+            cut = lambda data, todo, n=size: np.concatenate([blocks(data, int(x["lo"]), int(x["more"]), n, length, k, steps[0]) for x in todo])
+            rows = materialise(_rows(some, cut, "todo"), "suffix-blocks")
+        hits = materialise(rows.join(_repeated_grams(rows, batches), "gram"), "suffix-matches")
+        drop_table(spark, rows.inputFiles()[0].rsplit("/", 1)[0]) if rows.inputFiles() else None
+        differ = hits.filter("differ")
+        one = F.min(F.struct("doc_id", "th", "lo", "more"))
+        classes = differ.groupBy("gram", "seg").agg(F.count(F.lit(1)).alias("n"), one.alias("one"))
+        many = classes.filter("n > 1").select((F.col("gram") + F.lit(0)).alias("gram"), "seg")
+        here = span(hits.filter("not differ")).union(span(differ.join(many, ["gram", "seg"])))
+        found = here if found is None else found.union(here)
+    return found
 
 
 def union_spans(spans) -> list[tuple[int, int]]:
