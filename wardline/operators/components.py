@@ -6,15 +6,15 @@ so adaptive execution can split a hub's partition. Nothing but two numbers a rou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.storage import drop_table, new_path
+from wardline.storage import drop_table, new_path, unclustered
 
 
 def _min_neighbour(pairs: DataFrame) -> DataFrame:
-    """(u, m): least neighbour of each u. ``u + 0`` hides the partitioning, so that the join shuffles both sides."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select((F.col("u") + F.lit(0)).alias("u"), "m")
+    """(u, m): least neighbour of each u, ready for a join that may be split."""
+    return pairs.groupBy("u").agg(F.min("v").alias("m")).select(unclustered("u"), "m")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -38,15 +38,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             e = both.join(least, "u").filter("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = _min_neighbour(e)
         small = e.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        seen = Observation()
         out = small.union(least.select("u", F.col("m").alias("v"))).distinct()
-        out = out.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
         old, path = path, new_path(spark, "components")
         out.write.parquet(path)
         e = spark.read.schema("u long, v long").parquet(path)
         if old:
             drop_table(spark, old)
-        now = (seen.get["n"], seen.get["h"])
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

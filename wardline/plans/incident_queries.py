@@ -89,12 +89,12 @@ def stage_counters(spark, d):
     return M.stage_counters(_y(spark, d))
 
 
-@query("a16_bad_cases", V.with_(V.REQ, _STAGES, _GRADE, f"y AS ({_Y})") + "SELECT CASE WHEN y = 0 THEN 'FP' ELSE 'FN' END AS error, anomaly_type, endpoint, count(*) AS n, round(avg(probability), 6) AS avg_probability FROM y WHERE y <> p2 GROUP BY ALL")
+@query("a16_bad_cases", V.with_(V.REQ, _STAGES, _GRADE, f"y AS ({_Y})") + "SELECT CASE WHEN y = 0 THEN 'FP' ELSE 'FN' END AS error, anomaly_type, endpoint, count(*) AS n, round(avg(probability), 10) AS avg_probability FROM y WHERE y <> p2 GROUP BY ALL")
 def bad_cases(spark, d):
-    return M.bad_cases(_y(spark, d).withColumn("p", F.col("p2"))).withColumn("avg_probability", F.round("avg_probability", 6))
+    return M.bad_cases(_y(spark, d).withColumn("p", F.col("p2"))).withColumn("avg_probability", F.round("avg_probability", 10))
 
 
-@query("a13_call_cost", V.with_(V.REQ, _STAGES) + """SELECT n, n * 7 AS potential, actual, n * 7 - actual AS saved, 100 * actual / (actual + 7 * cleared) AS call_rate, 100 - 100 * actual / (actual + 7 * cleared) AS saved_rate, actual / n AS avg_calls FROM (
+@query("a13_call_cost", V.with_(V.REQ, _STAGES) + """SELECT n, n * 7 AS potential, actual, n * 7 - actual AS saved, actual / (actual + 7 * cleared) * 100 AS call_rate, 100 - actual / (actual + 7 * cleared) * 100 AS saved_rate, actual / n AS avg_calls FROM (
  SELECT count(*) AS n, count(*) FILTER (predicted_label = 0) AS cleared, cast(sum(CASE WHEN predicted_label = 0 THEN 0 WHEN type = 'normal' THEN 7 ELSE 1 END) AS BIGINT) AS actual FROM s1 LEFT JOIN s2 USING (log_id))""")
 def call_cost(spark, d):
     s1, s2 = _stages(spark, d)

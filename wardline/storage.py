@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -20,6 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own["dir"]
 
 
+def unclustered(name: str) -> Column:
+    """A long column under its own name whose partitioning the optimiser can't see.
+
+    A join on an aggregate's key otherwise reuses the aggregate's shuffle, and adaptive execution only splits a hot
+    key's partition if both sides of the join end in a shuffle of their own.
+    """
+    return F.shiftleft(name, 0).alias(name)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/wardline/{label}-{uuid.uuid4().hex}"
 
