@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.functions.scalars import col
+from wardline.storage import materialise
 
 _INTS = ("status", "latency_ms")
 UNIFIED = T.StructType([T.StructField("ts", T.TimestampType())] + [
@@ -27,7 +28,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = API_LOG, hea
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejected raw rows) of a permissive read."""
+    """(good rows, rejected raw rows) of a permissive read, which is parsed once and written."""
+    df = materialise(df, "parsed")
     bad = F.col("_corrupt_record").isNotNull()
     return df.filter(~bad).drop("_corrupt_record"), df.filter(bad).select("_corrupt_record")
 
