@@ -14,7 +14,7 @@ def text_bytes(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def runs(texts: pd.Series, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def runs(texts: pd.Series | list, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs of rows of about ``most`` characters, a row at least."""
     start = size = 0
     for k, t in enumerate(texts):

@@ -88,7 +88,7 @@ class ContextTrees:
         n = len(self.langs)
         self.costs, self.escapes, shorter = [], [], None
         for k in range(order + 1):
-            every = np.unique(np.concatenate([u for u, _ in counts[k]]))
+            every = np.unique(np.concatenate([np.zeros(0, np.uint64), *(u for u, _ in counts[k])]))
             contexts = np.unique(every >> np.uint64(8))
             cost, escape = np.zeros((len(every), n)), np.zeros((len(contexts), n))
             of = np.searchsorted(contexts, every >> np.uint64(8))

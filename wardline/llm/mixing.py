@@ -65,7 +65,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     """``docs`` (doc_id, source, text and more) with ``mix_block``, ``mix_epoch`` and ``mix_slot``; read in the order of ``mix_slot``.
 
     Each row occurs once per epoch of its source, at least once. A null source is a source; null texts have no
-    characters; a null doc_id is placed by its text; repeated rows stay together; an empty table gives an empty
+    characters; a null doc_id is placed by its text; repeated rows stay together; columns named like the new ones are replaced; an empty table gives an empty
     table. Only the tables of sources (at most MAX_SOURCES rows) and of one period's slots are broadcast.
     """
     shares = materialise(source_shares(docs, weights, block_chars, period, power), "mix-shares")
@@ -74,11 +74,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     plan = shares.join(F.broadcast(slots), "i").crossJoin(F.broadcast(ends)).select(F.col("source").alias("_source"), "blocks", "share", "slots", "period", F.ceil(F.col("periods") * F.col("period")).alias("end"))
     text_of = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
     h = F.conv(F.substring(F.md5(text_of), 1, 8), 16, 10).cast("long")
-    out = docs.join(F.broadcast(plan), docs["source"].eqNullSafe(F.col("_source"))).withColumn("mix_block", F.floor(h * F.col("blocks") / F.lit(_HASHES)).cast("long"))
+    own = [c for c in docs.columns if c not in ("mix_block", "mix_epoch", "mix_slot")]
+    rows = docs.select(F.struct(*own).alias("row"), h.alias("h"))
+    out = rows.join(F.broadcast(plan), F.col("row.source").eqNullSafe(F.col("_source"))).withColumn("mix_block", F.floor(F.col("h") * F.col("blocks") / F.lit(_HASHES)).cast("long"))
     out = out.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
     g = F.col("mix_epoch") * F.col("blocks") + F.col("mix_block")
     out = out.withColumn("_g", g).withColumn("mix_slot", F.expr("_g div share * period + slots[int(_g % share)]"))
-    return out.filter("mix_slot < end").select(*docs.columns, "mix_block", "mix_epoch", "mix_slot")
+    return out.filter("mix_slot < end").select("row.*", "mix_block", "mix_epoch", "mix_slot")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.llm.batches import in_fold, in_sample, runs, text_bytes
 
@@ -132,14 +133,18 @@ def score(docs: DataFrame, model: LineField, keep: tuple[str, ...] = ("doc_id",)
     Null and empty texts are one empty line and get its score. Null ids and repeated rows pass through; an empty
     table gives an empty table; further columns are ignored.
     """
-    schema = docs.select(*keep).schema.add("score", "double")
+    names = [f"c{k}" for k in range(len(keep))]
+    cut = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col("text").alias("t"))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [model.scores(b["_text"].iloc[i:j].tolist()) for i, j in runs(b["_text"])]
-            yield b.drop(columns="_text").assign(score=np.concatenate(parts) if parts else np.zeros(0))
+            texts = b.column(len(names)).to_pylist()
+            parts = [model.scores(texts[i:j]) for i, j in runs(texts)]
+            scores = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], scores], [*names, "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(each, schema)
+    out = cut.mapInArrow(each, T.StructType([*cut.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+    return out.toDF(*keep, "score")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,4 +157,5 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
     """Pipeline stage: documents whose score is at least ``threshold``; learns from the labels of ``sf_dir``."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~in_fold("doc_id", 3, 1)))
-    return score(docs, model, tuple([c for c in docs.columns if c != "score"])).filter(F.col("score") >= threshold).select(*docs.columns)
+    scored = score(docs, model, tuple(docs.columns)).toDF(*docs.columns, "quality_score_of_stage")
+    return scored.filter(F.col("quality_score_of_stage") >= threshold).drop("quality_score_of_stage")
