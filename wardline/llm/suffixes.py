@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm.batches import text_bytes
-from wardline.storage import drop_table, materialise
+from wardline.storage import drop_table, materialise, unclustered
 
 LENGTH, GRAM, BATCHES, CHUNK = 400, 128, 8, 1 << 22
 _rng = np.random.default_rng(20_240_601)
@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches
         differ = hits.filter("differ")
         one = F.min(F.struct("doc_id", "th", "lo", "more"))
         classes = differ.groupBy("gram", "seg").agg(F.count(F.lit(1)).alias("n"), one.alias("one"))
-        many = classes.filter("n > 1").select((F.col("gram") + F.lit(0)).alias("gram"), "seg")
+        many = classes.filter("n > 1").select(unclustered("gram"), "seg")
         here = span(hits.filter("not differ")).union(span(differ.join(many, ["gram", "seg"])))
         found = here if found is None else found.union(here)
     return found
