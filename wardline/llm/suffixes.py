@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -244,11 +245,11 @@ def union_spans(spans) -> list[tuple[int, int]]:
 
 def with_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """``docs`` with ``_spans``: the intervals of ``repeated_spans`` (null if there are none)."""
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    base = keyed.select(F.col("_id").alias("doc_id"), F.col("_th").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = docs.withColumn("_suffix_id", F.col("doc_id").cast("long")).withColumn("_suffix_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    base = keyed.select(F.col("_suffix_id").alias("doc_id"), F.col("_suffix_th").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     spans = repeated_spans(base, length, k, batches).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     spans = materialise(spans, "suffix-spans").withColumnsRenamed({"doc_id": "_sid", "th": "_sth"})
-    return keyed.join(spans, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_th") == F.col("_sth")), "left").drop("_sid", "_sth", "_th")
+    return keyed.join(spans, F.col("_suffix_id").eqNullSafe(F.col("_sid")) & (F.col("_suffix_th") == F.col("_sth")), "left").drop("_sid", "_sth", "_suffix_th")
 
 
 def removal(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -267,10 +268,10 @@ def removal(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int =
                 kept = b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2]))
                 rows.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            out.insert(0, "doc_id", b["_id"].astype("Int64").to_numpy())
+            out.insert(0, "doc_id", b["_suffix_id"].astype("Int64").to_numpy())
             yield out
 
-    cut = with_spans(docs.select("doc_id", "text"), length, k, batches).select("_id", "text", "_spans")
+    cut = with_spans(docs.select("doc_id", "text"), length, k, batches).select("_suffix_id", "text", "_spans")
     return cut.mapInPandas(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
@@ -281,16 +282,19 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without their repeated strings; a character cut in two goes; texts left blank go."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = docs.columns.index("text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, spans in zip(b["text"], b.pop("_spans")):
+            for text, spans in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 data, gone = text_bytes(text), union_spans(spans)
                 edges = [0, *(x for s in gone for x in s), len(data)]
                 texts.append(b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2])).decode("utf-8", "ignore") if gone else text)
-            yield b.drop(columns="_id").assign(text=texts)
+            columns = b.columns[:-1]
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
 
-    cut = with_spans(docs)
-    out = cut.select(*docs.columns, "_id", "_spans").mapInPandas(each, docs.schema)
+    out = with_spans(docs).select(*docs.columns, "_spans").mapInArrow(each, docs.schema)
     out = out.filter((F.length(F.trim("text")) > 0) | F.col("text").isNull())
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

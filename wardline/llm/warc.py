@@ -212,6 +212,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_OP9 = """
 SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(sha1(coalesce(html, '')), (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
        CASE WHEN page_id = max(page_id) OVER (PARTITION BY coalesce(html, '')) THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> max(page_id) OVER (PARTITION BY coalesce(html, '')) THEN max(page_id) OVER (PARTITION BY coalesce(html, '')) END AS refers_to
 FROM pages
