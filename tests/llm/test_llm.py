@@ -429,9 +429,9 @@ def test_neighbours_of_copies(spark):
 def test_warc_equals_sql(spark):
     c = duckdb.connect()
     c.execute(f"create view pages as select * from '{SF}/pages.parquet'")
-    want = sorted(c.sql(warc.ORACLE_OP9).fetchall(), key=str)
+    want = sorted(c.sql(warc.ORACLE_OP9).fetchall(), key=str)  # page_id, bytes, digest, type, refers_to
     got = warc.op9_warc(spark, SF).collect()
-    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=str) == want
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == want
 
 
 def test_warc_round_trip_over_any_split(spark):
