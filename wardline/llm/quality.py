@@ -1,7 +1,7 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Every line is good or bad. A line's evidence is a linear function of its own features (shares of letter cases,
-digits and every punctuation mark, word length, line length) and of those of the lines before and after it; a
+digits and every punctuation mark, repeated words, word and line length) and of those of the lines before and after it; a
 2 x 2 table scores neighbouring labels. Lines of a labelled document take its label in training. A document's
 score is the mean of its lines' forward-backward marginals, weighted by length.
 """
@@ -25,10 +25,25 @@ _KIND[97:123], _KIND[65:91], _KIND[48:58] = 0, 1, 2
 _KIND[[9, 10, 11, 12, 13, 32]] = 3
 _KIND[list(_MARKS)] = 5 + np.arange(len(_MARKS))
 _KINDS = 5 + len(_MARKS)
-_OWN = _KINDS + 4
+_OWN = _KINDS + 6
+_CODE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
+_PLACE = np.random.default_rng(6).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 FEATURES = 3 * _OWN + 1
 
 
+def _repeats(data: np.ndarray, space: np.ndarray, begins: np.ndarray, of: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line: words that repeat the word before, and distinct words; words are compared by hash."""
+    if not len(begins):
+        return np.zeros(lines), np.zeros(lines)
+    place = np.arange(len(data)) - np.maximum.accumulate(np.where(np.r_[True, space[:-1]] & ~space, np.arange(len(data)), 0))
+    mixed = np.where(space, np.uint64(0), _CODE[data] * _PLACE[np.minimum(place, 63)])
+    word = np.add.reduceat(mixed, begins)
+    again = np.bincount(of[1:], (word[1:] == word[:-1]) & (of[1:] == of[:-1]), lines)
+    order = np.lexsort((word, of))
+    w, o = word[order], of[order]
+    return again, np.bincount(o, np.r_[True, (w[1:] != w[:-1]) | (o[1:] != o[:-1])], lines)
+
+
 def line_features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features of every line, its length in bytes + 1, its text's place); an empty text is one empty line."""
     raw = [text_bytes(t) for t in texts]
@@ -42,7 +57,10 @@ def line_features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     counts = np.bincount(line * _KINDS + kind, minlength=len(ends) * _KINDS).reshape(-1, _KINDS).astype(np.float32)
     counts[:, 3] -= 1  # the line feed
     space = kind == 3
-    words = np.bincount(line[1:][space[1:] & ~space[:-1]], minlength=len(ends))
+    begins = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    of = line[begins]
+    words = np.bincount(of, minlength=len(ends))
+    again, kinds = _repeats(data, space, begins, of, len(ends))
     own = np.empty((len(ends), _OWN), dtype=np.float32)
     own[:, :_KINDS] = counts / np.maximum(length, 1)[:, None]
     letters = counts[:, 0] + counts[:, 1]
@@ -50,6 +68,8 @@ def line_features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own[:, _KINDS + 1] = np.minimum(length / np.maximum(words, 1), 40) / 10
     own[:, _KINDS + 2] = np.log1p(length) / 5
     own[:, _KINDS + 3] = counts[:, 5:].sum(axis=1) / np.maximum(words, 1)
+    own[:, _KINDS + 4] = again / np.maximum(words, 1)
+    own[:, _KINDS + 5] = kinds / np.maximum(words, 1)
     out = np.zeros((len(ends), FEATURES), dtype=np.float32)
     out[:, :_OWN], out[:, -1] = own, 1
     same = np.flatnonzero(doc[1:] == doc[:-1])
