@@ -366,3 +366,50 @@ def sync(spark, d):
     t = F.col("anomaly_type")
     s = F.when(contains_any(t, ["injection", "traversal"]), "CRITICAL").when(contains_any(t, ["scripting"]), "HIGH").otherwise("MEDIUM")
     return V.incidents(spark, d).select("anomaly_type", s.alias("severity")).groupBy("anomaly_type", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("i14_correlation", V.with_(V.INC) + """SELECT (SELECT count(*) FROM inc) AS total_incidents, (SELECT count(DISTINCT api_endpoint) FROM inc) AS unique_apis,
+ (SELECT count(*) FROM (SELECT date_trunc('minute', detected_at) AS m FROM inc GROUP BY 1 HAVING count(DISTINCT api_endpoint) > 3)) AS mass_attack_windows,
+ (SELECT count(*) FROM (SELECT anomaly_type FROM inc GROUP BY 1 HAVING count(DISTINCT api_endpoint) > 1)) AS widespread_attack_types""")
+def correlation(spark, d):
+    return I.correlation(V.incidents(spark, d))
+
+
+@query("a43_dashboard", V.with_(V.REQ, V.HEALTH, V.INC, _KNOW, _CHG) + """SELECT count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low,
+ count(*) FILTER (severity = 'INFO') AS info, count(DISTINCT api_endpoint) AS apis, count(*) FILTER (disposition = 'auto_block') AS blocked, (SELECT count(*) FROM kno) AS knowledge, (SELECT round(avg(effectiveness_score), 6) FROM kno) AS avg_effectiveness, (SELECT count(*) FROM chg) AS changes FROM inc""")
+def dashboard(spark, d):
+    x = V.incidents(spark, d)
+    return I.dashboard(x, I.internalise(x), _changes(spark, d)).withColumn("avg_effectiveness", F.round("avg_effectiveness", 6))
+
+
+@query("i10_seed_policies", V.with_(_ENT) + "SELECT title, count(*) AS n FROM (SELECT title FROM ent UNION ALL SELECT r_name FROM region WHERE r_name NOT IN (SELECT title FROM ent)) GROUP BY 1")
+def seed_policies(spark, d):
+    e = I.seed_policies(_entries(spark, d).select("id", "title"), V.table(spark, d, "region").selectExpr("r_name AS title"))
+    return e.groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("i11_report_feedback", V.with_(V.INC, _KNOW) + "SELECT DISTINCT 'Best practice: ' || anomaly_type AS title, 'best_practice' AS category FROM kno")
+def feedback(spark, d):
+    return I.report_feedback(I.internalise(V.incidents(spark, d)), _entries(spark, d)).select("title", "category")
+
+
+@query("i12_usage_counts", V.with_(_ENT, _REL) + "SELECT ent.id, coalesce(u.n, 0) AS usage_count FROM ent LEFT JOIN (SELECT id, count(*) AS n FROM rel WHERE relevance > 0.3 GROUP BY 1) u USING (id)")
+def usage(spark, d):
+    return I.count_usage(_entries(spark, d).select("id", F.lit(0).alias("usage_count")), _scored(spark, d).filter("relevance > 0.3")).select("id", F.col("usage_count").cast("long").alias("usage_count"))
+
+
+@query("i16_enriched_insights", V.with_(V.INC, _KNOW, _ENT, _REL) + """SELECT anomaly_type AS incident_type, count(*) AS n, (SELECT title FROM rel WHERE category = 'policy' ORDER BY relevance DESC, id LIMIT 1) AS policy, (SELECT title FROM rel WHERE category = 'pattern' ORDER BY relevance DESC, id LIMIT 1) AS pattern FROM kno GROUP BY 1""")
+def insights(spark, d):
+    return I.enriched_insights(I.internalise(V.incidents(spark, d)), _scored(spark, d)).select("incident_type", "n", "policy", "pattern")
+
+
+@query("k08_last_events", V.with_(V.INC) + "SELECT id, detected_at FROM inc ORDER BY detected_at DESC, id DESC LIMIT 20")
+def last_events(spark, d):
+    return I.history(V.incidents(spark, d), n=20).select("id", "detected_at")
+
+
+@query("i15_posture_breakdown", V.with_(V.INC) + "SELECT api_endpoint, severity, disposition, count(*) AS n FROM inc GROUP BY ALL")
+def posture(spark, d):
+    x = V.incidents(spark, d)
+    p = I.posture(x, _changes(spark, d), I.internalise(x), *_bindings(spark, d))
+    return p["breakdown"].filter("level = 0").drop("level")

@@ -373,3 +373,22 @@ def training_profile(spark, d):
 @query("k05_top_endpoints", V.with_(V.REQ) + "SELECT category, path, count AS count, rank FROM (SELECT category, path, count(*) AS count, cast(row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, path) AS INT) AS rank FROM req GROUP BY category, path) WHERE rank <= 5")
 def top_endpoints(spark, d):
     return M.top_per_group(V.requests(spark, d), "category", "path", 5)
+
+
+@query("a33_run_summary", V.with_(V.REQ, V.SES, V.FEAT, V.VERDICT) + "SELECT true_category, verdict AS determination, count(*) AS count FROM ver GROUP BY ALL")
+def run_summary(spark, d):
+    f = Se.session_features(V.sessions(spark, d))
+    return C.run_summary(Se.rule_verdicts(f).join(f.select("session_id", "true_category"), "session_id").withColumnRenamed("verdict", "determination"))
+
+
+@query("u04_path_overlap", V.with_(V.REQ) + """, p AS (SELECT source_ip, list(DISTINCT path) AS paths FROM req WHERE user_id < 20 GROUP BY 1)
+ SELECT a.source_ip AS a, b.source_ip AS b, round(len(list_intersect(a.paths, b.paths)) / len(list_distinct(list_concat(a.paths, b.paths))), 6) AS overlap FROM p a JOIN p b ON a.source_ip < b.source_ip""")
+def overlap(spark, d):
+    p = V.requests(spark, d).filter("user_id < 20").groupBy("source_ip").agg(F.collect_set("path").alias("paths"))
+    q = p.toDF("b", "others")
+    return p.toDF("a", "paths").join(q, F.col("a") < F.col("b")).select("a", "b", F.round(S.jaccard("paths", "others"), 6).alias("overlap"))
+
+
+@query("u05_distinct_values", V.with_(V.REQ) + "SELECT DISTINCT endpoint, severity, category FROM req")
+def distinct_values(spark, d):
+    return V.requests(spark, d).select("endpoint", "severity", "category").distinct()

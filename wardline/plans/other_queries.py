@@ -420,3 +420,17 @@ def stream_upsert(spark, d):
     folder = new_path(spark, "stream-incidents")
     X.upsert_incidents(s, folder, new_path(spark, "stream-checkpoint")).awaitTermination()
     return spark.read.parquet(f"{folder}/v0")
+
+
+@query("x05_stream_health")
+def stream_health(spark, d):
+    raw = V.table(spark, d, "events")
+    s = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet*").parquet(d)
+    s = s.selectExpr("event_type AS api_endpoint", "event_id AS id", "cast(ts AS timestamp) AS ts", "10L AS total_requests", "user_id % 4 AS anomaly_count", "user_id % 2 AS errors", "value AS avg_rt")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _run(spark, X.health(s))
+    finally:
+        spark.conf.set(key, old)
