@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.operators.components import connected_components
-from wardline.storage import materialise
+from wardline.storage import materialise, unclustered
 
 RADIUS, SEED, BUCKET_ROWS = 4, 42, 4096
 
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, bucke
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     comp = connected_components(links(distinct.select("fp"), radius, bucket_rows))
     named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id")).select((F.col("root") + F.lit(0)).alias("root"), "component_id")
+    roots = named.groupBy("root").agg(F.min("least").alias("component_id")).select(unclustered("root"), "component_id")
     named = materialise(named.join(roots, "root").select("fp", "component_id"), "simhash-components")
     return fps.join(named, "fp").select("doc_id", "fp", "th", "component_id")
 
