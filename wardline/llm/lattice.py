@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm.vectors import matrix, usable
 from wardline.operators.components import connected_components
-from wardline.storage import materialise
+from wardline.storage import materialise, unclustered
 
 COSINE, TABLES, PROBES, SCALE, CHUNK = 0.95, 8, 6, 6.0, 2048
 
@@ -135,7 +135,7 @@ def links(nodes: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes
     """Verified links (a, b) among distinct vectors (node, embedding), a spanning forest of each cell's."""
     rows = materialise(_cell_rows(nodes, tables, probes, scale), "lattice-cells")
     met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any")).filter("n > 1 and any")
-    met = met.select((F.col("key") + F.lit(0)).alias("key"), "n")
+    met = met.select(unclustered("key"), "n")
     rows = _chunk_pairs(rows.join(met, "key"), "n", chunk)
     keys = ["key", "a", "b"]
     rows = rows.select(*keys, "node", "own", "part").join(nodes.select("node", "embedding"), "node").repartition(*keys).sortWithinPartitions(*keys, "node")
@@ -155,7 +155,7 @@ def links(nodes: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes
 
 def _degrees(members: DataFrame, cosine: float, chunk: int) -> DataFrame:
     """(node, links): how many vectors of its component each node is linked to, counting copies of the others."""
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select((F.col("component") + F.lit(0)).alias("component"), "n")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select(unclustered("component"), "n")
     rows = _chunk_pairs(members.join(sizes, "component"), "n", chunk)
     keys = ["component", "a", "b"]
     rows = rows.select(*keys, "node", "copies", "part", "embedding").repartition(*keys).sortWithinPartitions(*keys, "node")
@@ -196,5 +196,18 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, tables: i
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+ORACLE_OP7 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.95
+), c AS (
+  SELECT vec_id, vec_id AS comp FROM embeddings UNION SELECT l.b, c.comp FROM c JOIN l ON l.a = c.vec_id
+), m AS (SELECT vec_id, min(comp) AS component_id FROM c GROUP BY 1)
+SELECT m.vec_id, (SELECT count(*) FROM l WHERE l.a = m.vec_id) AS n_links, component_id, m.vec_id = component_id AS kept FROM m
+"""
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_html_extraction": pages.op10_html_extraction,
 }
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_OP2}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_OP2, "op7_embedding_near_dedup": lattice.ORACLE_OP7, "op9_warc": warc.ORACLE_OP9}
