@@ -173,7 +173,7 @@ def network_scores(sessions: DataFrame, similarity: DataFrame, group: str = "pat
         F.when(p == "scraper", F.round(F.least(F.lit(1.0), F.col("similarity") * 1.5), 4)).when(p == "ddos_tool", 0.9).when(p == "credential_stuffer", 0.8)
         .when(p == "crowdsourced", 0.15).when(p == "normal", 0.1).when(p == "legit", 0.2).otherwise(0.0)
     )
-    return sessions.join(F.broadcast(similarity), group).select("session_id", score.alias("network_score"))
+    return sessions.join(similarity, group).select("session_id", score.alias("network_score"))
 
 
 def crowd_stats(sessions: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def fusion(records: DataFrame, seconds: int = 5, group: Column | None = None, ne
     names = ["coverage_entropy", "coverage_completeness", "sequential_score", "idle_session_ratio", "suspicious_low_entropy", "suspicious_fragmented"]
     glob = cov.filter("_grp = '*'").select(*(F.col(c).alias(f"g_{c}") for c in names))
     x = sessions.join(members, "session_id", "left").join(score, "session_id", "left").join(net, "session_id", "left")
-    x = x.join(F.broadcast(cov), F.col("pattern") == F.col("_grp"), "left").crossJoin(F.broadcast(glob))
+    x = x.join(cov, F.col("pattern") == F.col("_grp"), "left").crossJoin(F.broadcast(glob))
     x = x.select("session_id", "pattern", "cluster_id", "cluster_size", "co_access", "network_score", *(F.coalesce(c, f"g_{c}").alias(c) for c in names))
     inside = F.col("cluster_id").isNotNull()
     temporal = F.coalesce("co_access", F.lit(0.0)) * F.when(inside, 1.0).otherwise(0.3)
