@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.scalars import contains_any, flag, jaccard, ratio, when_chain
 from wardline.operators.components import connected_components
+from wardline.storage import materialise
 
 PATTERNS = ["crowdsourced", "credential_stuffer", "ddos_tool", "scraper", "normal", "legit"]
 
@@ -194,10 +195,11 @@ def fusion(records: DataFrame, seconds: int = 5, group: Column | None = None, ne
     network_score), by default the fixed scores of the patterns.
     """
     rows = records.withColumn("pattern", group if group is not None else session_pattern())
+    rows = materialise(rows.select("session_id", "pattern", "path", "ts"), "fusion-rows")  # five branches read these columns
     sessions = rows.groupBy("session_id").agg(F.first("pattern").alias("pattern"), F.count(F.lit(1)).alias("n"), F.collect_set("path").alias("paths"))
     windowed = anchored_windows(rows, seconds) if anchored else grid_windows(rows, seconds)
-    edges = co_access(windowed)
-    members = clusters(edges)
+    edges = materialise(co_access(windowed), "fusion-edges")
+    members = materialise(clusters(edges), "fusion-members")
     score = co_access_scores(members, edges, rows)
     net = network if network is not None else network_scores(sessions, group_similarity(sessions))
     cov = coverage(rows, "pattern").withColumnRenamed("grp", "_grp")
