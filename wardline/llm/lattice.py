@@ -23,7 +23,7 @@ from wardline.llm.vectors import matrix, usable
 from wardline.operators.components import connected_components
 from wardline.storage import materialise, unclustered
 
-COSINE, TABLES, PROBES, SCALE, CHUNK = 0.95, 8, 6, 6.0, 2048
+COSINE, TABLES, PROBES, SCALE, CHUNK = 0.95, 8, 6, 8.0, 2048
 
 
 def _around() -> np.ndarray:
@@ -184,7 +184,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, tables: i
     good = materialise(usable(vectors).withColumn("h", F.xxhash64("embedding", F.lit(7))), "lattice-vectors")
     nodes = good.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("h").alias("h")).filter("node is not null")
     nodes = materialise(nodes, "lattice-nodes")
-    comp = connected_components(links(nodes, cosine, tables, probes, scale, chunk))
+    comp = connected_components(materialise(links(nodes, cosine, tables, probes, scale, chunk), "lattice-links"))
     members = materialise(nodes.join(comp, "node"), "lattice-members")
     degree = _degrees(members, cosine, chunk).join(members.select("node", "component"), "node")
     named = nodes.select("node", "copies", "h").join(materialise(degree, "lattice-degrees"), "node", "left")
