@@ -117,7 +117,12 @@ class LineField:
         weights, pair = np.zeros(FEATURES), np.zeros((2, 2))
         if len(set(good)) < 2:
             return cls(weights, pair)
-        x, _, doc = line_features(texts)
+        parts, docs = [], []
+        for i, j in runs(texts, 1 << 19):  # features in short runs: what they need on the way is many times the text
+            features, _, doc = line_features(texts[i:j])
+            parts.append(features)
+            docs.append(doc + i)
+        x, doc = np.concatenate(parts).astype(np.float64), np.concatenate(docs)
         y = np.array(good, dtype=float)[doc]
         inner = np.flatnonzero(doc[1:] == doc[:-1]) + 1
         told = np.array([[np.sum((y[inner] == b) & (y[inner - 1] == a)) for b in (0, 1)] for a in (0, 1)], dtype=float)
