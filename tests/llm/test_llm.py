@@ -481,6 +481,18 @@ def test_differencing_deletes_the_template(spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _texts(spark, rows, parts=1):
+    return {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()}
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_copies_and_borders_hide_no_neighbour(spark, parts):
+    t = "<div>Top menu</div><p>{}<div>Bottom line</div>"
+    rows = [(i, f"http://h/a/{i // 20}?copy={i}", t.format(f"page {i // 20}")) for i in range(400)] + [(1000 + i, f"http://g/{i:03}", t.format(f"own {i}")) for i in range(200)]
+    got = _texts(spark, rows, parts)
+    assert got == {i: f"page {i // 20}" for i in range(400)} | {1000 + i: f"own {i}" for i in range(200)}
+
+
 def test_common_subsequence_is_longest():
     rng = random.Random(0)
     for _ in range(100):

@@ -2,12 +2,16 @@
 
 A page is cut into text lines, one a block element. What stands in elements that are never content (menus, headers,
 footers, sidebars, forms, scripts, elements whose class or id names an advert, a notice, comments and the like) goes.
-If the page marks its content with <article> or <main>, the lines there are the text: articles on one host share
-quotations and whole copies, so lines that a page declares as its content aren't deleted for being shared. On all other pages the
-lines are aligned with those of the page whose URL path sorts next to it on the same host, by longest common
-subsequence, and the shared lines, which the host's template brings, are deleted.
+The lines are then aligned, by longest common subsequence, with those of the page whose URL path sorts next to it on
+the same host, and shared lines, which the host's template brings, are deleted.
 
-Pages are range-partitioned by host and path, so that a host with a third of all pages is spread.
+If the page marks its content with <article> or <main>, its text is the lines there, and they are aligned with the lines
+that the neighbour marks. Articles on one host share quotations and whole copies, so a neighbour with which a page
+shares more than half its lines is passed over as a copy, and a shared line goes only if it is in ``LEAST_PAGES``
+or more different pages of the host.
+
+Equal line lists of a host are one page. The different pages get their places in the order of host and path, and blocks
+of neighbouring places are worked on with the rows beside them, so that neither a partition's nor a batch's border hides a neighbour.
 """
 
 from __future__ import annotations
@@ -16,13 +20,15 @@ import html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from zlib import crc32
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NEIGHBOURS = 4
+from wardline.storage import materialise
+
+NEIGHBOURS, LEAST_PAGES, SALTS = 4, 3, 64
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "select", "title", "xmp"}
@@ -62,8 +68,8 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def text_lines(page: str) -> tuple[list[str], bool, list[str]]:
-    """(lines, declared, all): the lines of <article> or <main> if any has text, else all that aren't plainly no content."""
+def marked_lines(page: str) -> list[tuple[str, bool]]:
+    """Lines that aren't plainly no content, each with whether it stands in <article> or <main>."""
     lines: list[tuple[str, bool]] = []
     piece: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # of elements other than inline ones: tag, unwanted, content
@@ -121,6 +127,12 @@ def text_lines(page: str) -> tuple[list[str], bool, list[str]]:
         bad += unwanted
         inside += content
     flush()
+    return lines
+
+
+def text_lines(page: str) -> tuple[list[str], bool, list[str]]:
+    """(lines, declared, all): the lines of <article> or <main> if any has text, else all that aren't plainly no content."""
+    lines = marked_lines(page)
     every, declared = [t for t, _ in lines], [t for t, own in lines if own]
     return (declared, True, every) if declared else (every, False, every)
 
@@ -149,49 +161,109 @@ def shared_lines(a: list, b: list) -> set[int]:
 
 
 def line_hashes(lines: list[str]) -> list[int]:
-    return [crc32(x.encode("utf-8", "replace")) for x in lines]
+    return [xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) - (1 << 63) for x in lines]
 
 
-def differenced(lines: list[str], others: list[list[int]]) -> list[str]:
-    """``lines`` without those shared with the first of the ``others`` (line hashes) that leaves any; all if none does."""
-    own = line_hashes(lines)
+def shared_with_nearest(own: list[int], others: list[list[int]], declared: bool) -> list[int]:
+    """Places of the lines ``own`` shares with the first of the ``others`` that is no copy; none if all are.
+
+    A copy has all lines of an undeclared page, or more than half those of a declared one.
+    """
     for other in others:
-        gone = shared_lines(own, list(other))
-        if len(gone) < len(lines):
-            return [x for i, x in enumerate(lines) if i not in gone]
-    return lines
+        gone = shared_lines(own, other)
+        if 2 * len(gone) <= len(own) if declared else len(gone) < len(own):
+            return sorted(gone)
+    return []
+
+
+def _places(distinct: DataFrame) -> tuple[DataFrame, int]:
+    """``distinct`` with ``place``: 0, 1, ... in the order of host, path and lines; and their number."""
+    order = ["host", "path", "same"]
+    rows = distinct.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    rows = materialise(rows, "page-places")
+    part = F.shiftright("place", 33)
+    starts, total = [], 0
+    for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row a partition
+        starts.append((r["part"], total))
+        total += r["count"]
+    start = distinct.sparkSession.createDataFrame(starts, "part long, start long")
+    rows = rows.withColumn("part", part).join(F.broadcast(start), "part")
+    return rows.withColumn("place", F.col("start") + F.col("place") - F.shiftleft("part", 33)).drop("part", "start"), total
+
+
+def _shared(distinct: DataFrame, neighbours: int) -> DataFrame:
+    """(host, same, salts, declared, gone, lines): places and hashes of the lines each different page shares with its nearest one."""
+    rows, total = _places(distinct)
+    block = max(64, neighbours, min(4096, -(-total // 512)))
+    at = lambda o: F.floor((F.col("place") + F.lit(o)) / block).cast("long")
+    rows = rows.withColumn("block", F.explode(F.array_distinct(F.array(at(-neighbours), at(0), at(neighbours))))).withColumn("mine", F.col("block") == at(0))
+    rows = rows.select("block", "place", "mine", "host", "same", "salts", "marks", "hashes").repartition("block").sortWithinPartitions("block", "place")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["host", "same", "salts", "declared", "gone", "lines"]
+        last, held = None, []
 
+        def flush() -> Iterator[pd.DataFrame]:
+            out = []
+            hosts = [r.host for r in held]
+            every = [list(r.hashes) for r in held]
+            marked = [[h for h, m in zip(e, r.marks) if m] for e, r in zip(every, held)]
+            for i, r in enumerate(held):
+                if not r.mine or not every[i] or marked[i]:
+                    continue
+                near = [j for d in range(1, neighbours + 1) for j in (i - d, i + d) if 0 <= j < len(held) and hosts[j] == hosts[i]]
+                own, side = (marked[i], marked) if marked[i] else (every[i], every)
+                gone = shared_with_nearest(own, [side[j] for j in near if side[j]], bool(marked[i]))
+                if gone:
+                    out.append((r.host, r.same, r.salts, bool(marked[i]), gone, [own[k] for k in gone]))
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
-def main_text(pages: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if r.block != last:
+                    yield from flush()
+                    last, held = r.block, []
+                held.append(r)
+        yield from flush()
+
+    return rows.mapInPandas(walk, "host string, same long, salts array<int>, declared boolean, gone array<int>, lines array<long>")
+
+
+def main_text(pages: DataFrame, neighbours: int = NEIGHBOURS, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page; ``pages``: page_id, url, html and maybe more columns, which are ignored.
 
-    Null and empty pages have an empty text. A null URL counts as a host and a path of its own kind. Nearest pages
-    are looked for within a range partition, copies of a page (all lines shared) are passed over, and a page without
-    another of its host keeps all its lines. Repeated rows and null ids pass through; an empty table stays empty.
+    Null and empty pages have an empty text. A null URL counts as a host and a path of its own kind. A page
+    without a different one on its host keeps all its lines. Repeated rows and null ids pass through; an empty table stays empty.
     """
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [text_lines(p if isinstance(p, str) else "") for p in b.pop("html")]
-            yield b.assign(text=["\n".join(x) for x, _, _ in got], declared=[d for _, d, _ in got], hashes=[line_hashes(x) for _, _, x in got])
+            got = [marked_lines(p if isinstance(p, str) else "") for p in b.pop("html")]
+            own = [[t for t, m in x if m] or [t for t, _ in x] for x in got]
+            yield b.assign(text=["\n".join(x) for x in own], hashes=[line_hashes([t for t, _ in x]) for x in got], marks=[[m for _, m in x] for x in got])
 
-    def difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before: list[tuple[str, list[int]]] = []
-        for b in batches:
-            rows = [*before, *zip(b["host"].fillna(""), b["hashes"])]
-            texts = b["text"].tolist()
-            for i in (~b["declared"].to_numpy(dtype=bool)).nonzero()[0]:
-                at = len(before) + i
-                near = [rows[j][1] for d in range(1, neighbours + 1) for j in (at - d, at + d) if 0 <= j < len(rows) and rows[j][0] == rows[at][0]]
-                texts[i] = "\n".join(differenced(texts[i].split("\n"), near)) if texts[i] else ""
-            before = rows[-neighbours:]
-            yield b[["page_id", "url"]].assign(page_id=b["page_id"].astype("Int64"), text=texts)
-
-    cut = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(lines, "page_id long, url string, text string, declared boolean, hashes array<long>")
-    bare = F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
-    keyed = cut.withColumns({"host": F.lower(F.regexp_extract(bare, r"^[^/?#]*", 0)), "path": F.regexp_replace(F.regexp_replace(bare, r"^[^/?#]*", ""), r"[?#].*$", "")})
-    near = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    out = near.mapInPandas(difference, "page_id long, url string, text string")
+    bare = F.coalesce(F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://", ""), F.lit(""))
+    cut = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(lines, "page_id long, url string, text string, hashes array<long>, marks array<boolean>")
+    keyed = cut.withColumns({
+        "host": F.lower(F.regexp_extract(bare, r"^[^/?#]*", 0)), "path": F.regexp_replace(F.regexp_replace(bare, r"^[^/?#]*", ""), r"[?#].*$", ""),
+        "same": F.xxhash64("hashes", "marks"), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"),
+    })
+    distinct = keyed.groupBy("host", "same").agg(F.min("path").alias("path"), F.collect_set("salt").alias("salts"), F.first("hashes").alias("hashes"), F.first("marks").alias("marks"))
+    distinct = materialise(distinct, "page-distinct")
+    shared = materialise(_shared(distinct, neighbours), "page-shared")
+    # how many different pages of the host mark a line; both sides are salted, since one line may be in every page
+    spread = 16
+    marked = F.filter("hashes", lambda x, i: F.get(F.col("marks"), i))
+    counts = distinct.select("host", F.explode(F.array_distinct(marked)).alias("line")).groupBy("host", "line").count().filter(F.col("count") >= least_pages)
+    counts = counts.select("host", "line", F.explode(F.array(*map(F.lit, range(spread)))).alias("s"))
+    maybe = shared.filter("declared").select("host", "same", "salts", F.explode(F.arrays_zip("gone", "lines")).alias("x"))
+    maybe = maybe.select("host", "same", "salts", F.col("x.gone").alias("k"), F.col("x.lines").alias("line"), F.pmod(F.xxhash64("same"), F.lit(spread)).cast("int").alias("s"))
+    sure = maybe.join(counts, ["host", "line", "s"]).groupBy("host", "same").agg(F.first("salts").alias("salts"), F.collect_list("k").alias("gone"))
+    gone = shared.filter("not declared").select("host", "same", "salts", "gone").union(sure).select("host", "same", F.explode("salts").alias("salt"), "gone")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i))
+    out = keyed.select("page_id", "url", "text", "host", "same", "salt").join(materialise(gone, "page-gone"), ["host", "same", "salt"], "left")
+    out = out.select("page_id", "url", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
