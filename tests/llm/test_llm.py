@@ -485,6 +485,16 @@ def _texts(spark, rows, parts=1):
     return {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()}
 
 
+def test_differencing_decides_on_declared_pages(spark):
+    t = "<nav>m</nav><article><p>Our newsletter line<p>{}</article>"
+    rows = [(i, f"http://h/a/{i}", t.format("<p>".join(f"own {i} {k}" for k in range(4)))) for i in range(3)]
+    quoted = [(10 + i, f"http://q/{i}", f"<main><p>one quotation<p>text {i}<p>more {i}</main>") for i in range(2)]
+    copies = [(20 + i, f"http://c/{i}", "<main><p>a<p>b<p>c<p>d" + f"<p>edit {i}</main>") for i in range(4)]
+    got = _texts(spark, rows + quoted + copies)
+    assert all(got[i] == "\n".join(f"own {i} {k}" for k in range(4)) for i in range(3))
+    assert got[10] == "one quotation\ntext 0\nmore 0" and got[22] == "a\nb\nc\nd\nedit 2"
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_copies_and_borders_hide_no_neighbour(spark, parts):
     t = "<div>Top menu</div><p>{}<div>Bottom line</div>"

@@ -209,7 +209,7 @@ def _shared(distinct: DataFrame, neighbours: int) -> DataFrame:
             every = [list(r.hashes) for r in held]
             marked = [[h for h, m in zip(e, r.marks) if m] for e, r in zip(every, held)]
             for i, r in enumerate(held):
-                if not r.mine or not every[i] or marked[i]:
+                if not r.mine or not every[i]:
                     continue
                 near = [j for d in range(1, neighbours + 1) for j in (i - d, i + d) if 0 <= j < len(held) and hosts[j] == hosts[i]]
                 own, side = (marked[i], marked) if marked[i] else (every[i], every)
