@@ -344,6 +344,42 @@ def test_simhash_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and sum(r.doc_id == 4 for r in kept.collect()) == 1
 
 
+def brute_groups(texts, words=5, least=0.8):
+    w = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(x[i : i + words]) for i in range(max(1, len(x) - words + 1))} for x in w]
+    root = list(range(len(texts)))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+def test_near_stage_equals_brute_force_jaccard(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CLUSTER_ROWS", 4)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for k in range(30):
+        base = [word() for _ in range(300)]
+        texts.append(" ".join(base))
+        for n in (2, 4, 6, 9) if k else range(40):  # about 1 - 10 n / 300 of the shingles in common, some below 0.8
+            copy = list(base)
+            for i in rng.sample(range(300), n if k else 4):
+                copy[i] = word()
+            texts.append(" ".join(copy))
+    texts += [texts[0].upper(), texts[40], "", None]
+    kept = {r.doc_id for r in simhash.keep_one(spark, docs(spark, texts), SF).collect()}
+    assert kept == brute_groups(texts)
+
+
 # ---- 7 and 8 vectors
 
 

@@ -23,20 +23,30 @@ from wardline.operators.components import connected_components
 from wardline.storage import materialise, unclustered
 
 RADIUS, SEED, BUCKET_ROWS = 4, 42, 4096
+NEAR_WORDS, NEAR_JACCARD, PARTS, CLUSTER_ROWS, SPREAD = 5, 0.8, 3, 32, 16
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """64-bit SimHash: bit set if it is set in over half the shingles' XXH64 (seed 42); no words: zero."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _shingles(w: list[bytes], words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of ``words`` words; of all if there are fewer."""
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-    n = max(1, len(w) - words + 1)
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8", count=n)
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8", count=max(1, len(w) - words + 1))
+
+
+def _majority(h: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 1 << 15):
+    for k in range(0, len(h), 1 << 15):
         ones += np.unpackbits(h[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """64-bit SimHash: bit set if it is set in over half the shingles' XXH64 (seed 42); no words: zero."""
+    w = _words(text)
+    return _majority(_shingles(w, words)) if w else 0
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -162,11 +172,160 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _near(fp: np.ndarray, n: np.ndarray, radius: int, jaccard: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Blocks (first row, matrix) of which members of a bucket are within the radius and near enough in size."""
+    step = max(1, (1 << 22) // len(fp))
+    for i in range(0, len(fp), step):
+        near = np.bitwise_count(fp[i : i + step, None] ^ fp) <= radius
+        r, c = near.nonzero()
+        near[r, c] = (r + i != c) & (np.minimum(n[r + i], n[c]) >= jaccard * np.maximum(n[r + i], n[c]) - 1e-9)
+        yield i, near
+
+
+def _clusters(fp: np.ndarray, n: np.ndarray, radius: int, jaccard: float) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
+    """(members, tree edges) of each group of a bucket's linked members."""
+    linked = np.zeros(len(fp), dtype=bool)
+    for i, near in _near(fp, n, radius, jaccard):
+        linked[i : i + len(near)] = near.any(axis=1)
+    left = np.flatnonzero(linked)
+    while len(left):
+        members, edges, front, left = [int(left[0])], [], [int(left[0])], left[1:]
+        while front and len(left):
+            x = front.pop(0)
+            near = (np.bitwise_count(fp[left] ^ fp[x]) <= radius) & (np.minimum(n[left], n[x]) >= jaccard * np.maximum(n[left], n[x]) - 1e-9)
+            found = left[near].tolist()
+            edges += [(x, y) for y in found]
+            front += found
+            members += found
+            left = left[~near]
+        yield members, edges
+
+
+def _walk_buckets(rows: DataFrame, radius: int, jaccard: float, whole: bool) -> DataFrame:
+    """Candidates (a, b) of each bucket of ``rows`` (bucket, node, fp, n, component).
+
+    All pairs of groups of CLUSTER_ROWS or fewer. Of a larger group a spanning tree, and its rows as (bucket, node, over = true);
+    if ``whole``, all its pairs between different components.
+    """
+
+    def pairs(node: np.ndarray, fp: np.ndarray, n: np.ndarray, comp: np.ndarray) -> list[tuple[int, int, bool]]:
+        out = []
+        for i, near in _near(fp, n, radius, jaccard):
+            r, c = (near & (comp[i : i + len(near), None] != comp)).nonzero()
+            out += [(a, b, False) for a, b in zip(node[r + i].tolist(), node[c].tolist()) if a < b]
+        return out
+
+    def search(bucket: int, node: np.ndarray, fp: np.ndarray, n: np.ndarray, comp: np.ndarray) -> list[tuple[int, int, bool]]:
+        if len(node) < 2:
+            return []
+        if whole:
+            return pairs(node, fp, n, comp)
+        out = []
+        for members, edges in _clusters(fp, n, radius, jaccard):
+            if len(members) <= CLUSTER_ROWS:
+                out += pairs(node[members], fp[members], n[members], comp[members])
+            else:
+                out += [(int(node[x]), int(node[y]), False) for x, y in edges] + [(bucket, int(node[x]), True) for x in members]
+        return out
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, []
+        frame = lambda out: pd.DataFrame(out, columns=["a", "b", "over"]).astype({"a": "int64", "b": "int64", "over": bool})
+
+        def flush() -> list[tuple[int, int, bool]]:
+            if not held:
+                return []
+            node, fp, n, comp = (np.concatenate(x) for x in zip(*held))
+            return search(last, node, fp, n, comp)
+
+        for b in batches:
+            out: list[tuple[int, int, bool]] = []
+            key, node, fp, n, comp = (b[c].to_numpy() for c in ("bucket", "node", "fp", "n", "component"))
+            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
+            for i, j in zip(cuts, [*cuts[1:], len(key)]):
+                if int(key[i]) != last:
+                    out += flush()
+                    last, held = int(key[i]), []
+                held.append((node[i:j], fp[i:j].view(np.uint64), n[i:j], comp[i:j]))
+            yield frame(out)
+        yield frame(flush())
+
+    rows = rows.select("bucket", "node", "fp", "n", "component").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInPandas(walk, "a long, b long, over boolean")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, jaccard: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingle sets have that Jaccard similarity; ``texts``: node, text. A hub a is spread by salts."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            known: dict[int, np.ndarray] = {}
+            keep = []
+            for a, c, ta, tb in zip(b["a"], b["b"], b["ta"], b["tb"]):
+                if a not in known:
+                    known[a] = np.unique(_shingles(_words(ta), words))
+                x, y = known[a], np.unique(_shingles(_words(tb), words))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= jaccard * (len(x) + len(y) - both) - 1e-9)
+            yield b[["a", "b"]][np.array(keep, dtype=bool)]
+
+    pairs = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SPREAD)))
+    hubs = pairs.select("a", "s").distinct().join(texts.toDF("a", "ta"), "a")
+    return pairs.join(hubs, ["a", "s"]).join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int = NEAR_WORDS, jaccard: float = NEAR_JACCARD, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
+    """(root, first): groups of documents linked by Jaccard similarity of their sets of ``words``-word shingles, and each one's first row.
+
+    Found are pairs whose fingerprints differ in at most parts (radius + 1) - 1 bits. ``first`` is (unknown, doc_id, th): the least
+    doc_id (null ids last), th the text's hash. Texts of equal words are one node; texts without words are linked to each other.
+    """
+    spark = docs.sparkSession
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for t in b["text"]:
+                w = _words(t if isinstance(t, str) else None)
+                h = _shingles(w, words)
+                rows.append((xxhash.xxh3_64_intdigest(b" ".join(w)), _majority(h) if w else 0, len(np.unique(h))))
+            node, fp, n = (np.array(x, dtype=np.uint64) for x in zip(*rows)) if rows else [np.zeros(0, dtype=np.uint64)] * 3
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "th": b["th"], "node": node.view(np.int64), "fp": fp.view(np.int64), "n": n.astype(np.int32)})
+
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash().alias("th")).mapInPandas(each, "doc_id long, th long, node long, fp long, n int")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th")).alias("first")
+    nodes = materialise(cut.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), first), "near-nodes")
+
+    reach, bits = parts * (radius + 1) - 1, [list(range(64))[k::parts] for k in range(parts)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = F.array(*[F.lit(signed(m)).cast("long") for own in bits for m in covering_masks(own, radius)])
+    rows = nodes.select("node", "fp", "n", F.col("node").alias("component"), F.posexplode(masks).alias("table", "mask"))
+    rows = rows.withColumn("bucket", F.xxhash64("table", F.col("fp").bitwiseAND(F.col("mask"))))
+    found = materialise(_walk_buckets(rows, reach, jaccard, False), "near-found")
+    pairs = materialise(found.filter("not over").select("a", "b").distinct(), "near-pairs")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_text_hash() == F.col("_th"))
+        own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(used, same).groupBy("node").agg(F.first("text").alias("text"))
+        return materialise(own, "near-texts")
+
+    edges = materialise(_verified(pairs, texts_of(pairs), words, jaccard), "near-links")
+    comp = materialise(connected_components(edges), "near-components")
+    over = found.filter("over").select(F.col("a").alias("bucket"), F.col("b").alias("node"))
+    if not over.isEmpty():
+        # trees may hold failed links where other pairs would hold: pairs between the components so far
+        rows = over.join(nodes.select("node", "fp", "n").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "node")
+        more = _walk_buckets(rows, reach, jaccard, True).select("a", "b").distinct()
+        more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+        edges = edges.union(materialise(_verified(more, texts_of(more), words, jaccard), "near-links"))
+        comp = materialise(connected_components(edges), "near-components")
+    named = nodes.select("node", "first").join(comp, "node", "left")
+    return named.groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the row with the least doc_id (null ids last) stays."""
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
-    groups = near_duplicates(docs).withColumn("group", F.coalesce("component_id", "fp"))
-    kept = groups.groupBy("group", F.col("component_id").isNull()).agg(F.min_by(F.struct("doc_id", "th"), order).alias("kept"))
-    kept = materialise(kept.select(F.col("kept.doc_id").alias("_id"), F.col("kept.th").alias("_th")), "simhash-kept")
+    """Pipeline stage: of each group of similar documents (5-word shingles, Jaccard 0.8) the row with the least doc_id (null ids last) stays."""
+    kept = materialise(similar_groups(docs).select(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th")), "simhash-kept")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_text_hash() == F.col("_th"))
     return docs.join(kept, same).dropDuplicates(["_id", "_th"]).select(*docs.columns)
