@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,15 @@ def test_rest_imports_without_llm():
     from pathlib import Path
 
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, timeout=120).returncode == 0
+
+
+def test_co_access_pairs_all_sessions_of_a_window(spark):
+    import pyspark.sql.functions as F
+    from wardline.operators import crawler
+
+    rows = spark.range(700).select(F.format_string("s%04d", "id").alias("session_id"), F.lit(7).cast("long").alias("win"), F.lit("/p").alias("path"))
+    edges = crawler.co_access(rows.union(rows.filter("session_id < 's0002'").withColumn("win", F.lit(8).cast("long"))))
+    assert edges.count() == edges.distinct().count() == 700 * 699 // 2
+    assert [tuple(r) for r in edges.filter("weight <> 1").collect()] == [("s0000", "s0001", 2)]
+    scores = crawler.co_access_scores(crawler.clusters(edges), edges, rows).collect()
+    assert len(scores) == 700 and all(r.co_access == 1 for r in scores)

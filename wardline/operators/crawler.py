@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.scalars import contains_any, flag, jaccard, ratio, when_chain
 from wardline.operators.components import connected_components
-from wardline.storage import materialise
+from wardline.storage import materialise, unclustered
 
 PATTERNS = ["crowdsourced", "credential_stuffer", "ddos_tool", "scraper", "normal", "legit"]
 
@@ -57,16 +57,20 @@ def anchored_windows(records: DataFrame, seconds: float = 5) -> DataFrame:
 # ---- co-access
 
 
-def co_access(windowed: DataFrame, cap: int = 200) -> DataFrame:
-    """(a, b, weight): pairs of sessions in the same window, a < b; windows of more than ``cap`` sessions link each to its first ones.
+def co_access(windowed: DataFrame, chunk: int = 256) -> DataFrame:
+    """(a, b, weight): all pairs of sessions that share a window, a < b, with the number of windows they share.
 
-    A window's pairs are quadratic in its sessions; beyond ``cap`` a session is paired with the ``cap`` first
-    sessions of the window only, which keeps components (all meet the first) and bounds the rows.
+    A window's pairs are quadratic in its sessions; they are made in pairs of chunks of about ``chunk`` sessions, so
+    that a large window is spread over many tasks.
     """
-    s = windowed.filter(F.coalesce("session_id", F.lit("")) != "").select("win", "session_id").distinct()
-    s = s.withColumn("_r", F.row_number().over(Window.partitionBy("win").orderBy("session_id")))
-    hub = s.filter(F.col("_r") <= cap).select("win", F.col("session_id").alias("a"))
-    return hub.join(s.select("win", F.col("session_id").alias("b")), "win").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    s = windowed.filter(F.coalesce("session_id", F.lit("")) != "").select(F.col("win").cast("long").alias("win"), "session_id").distinct()
+    size = s.groupBy("win").agg(F.count(F.lit(1)).alias("_n")).select(unclustered("win"), F.ceil(F.col("_n") / chunk).cast("int").alias("_n"))
+    s = s.join(size, "win").withColumn("_c", F.pmod(F.xxhash64("session_id"), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    part = F.when(F.col("_c") == F.col("_o"), 2).when(F.col("_c") < F.col("_o"), 0).otherwise(1)
+    s = s.select("win", F.least("_c", "_o").alias("_p"), F.greatest("_c", "_o").alias("_q"), "session_id", part.alias("_part"))
+    one, two = (s.withColumnsRenamed({"session_id": n, "_part": f"_{n}"}) for n in "ab")
+    met = one.join(two, ["win", "_p", "_q"]).filter("a < b and (_a <> _b or _a = 2)")
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def clusters(edges: DataFrame, least_weight: int = 1, least_size: int = 3) -> DataFrame:

@@ -242,7 +242,7 @@ _EDGE = "edge AS (SELECT x.session_id AS a, y.session_id AS b, count(*) AS weigh
 
 @query("j07_co_access", V.with_(V.REQ, V.SES, _GRID, _EDGE) + "SELECT * FROM edge")
 def co_access(spark, d):
-    return C.co_access(_windowed(spark, d), cap=10_000)
+    return C.co_access(_windowed(spark, d))
 
 
 @query("g01_clusters")
