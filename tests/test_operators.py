@@ -208,3 +208,18 @@ def test_co_access_pairs_all_sessions_of_a_window(spark):
     assert [tuple(r) for r in edges.filter("weight <> 1").collect()] == [("s0000", "s0001", 2)]
     scores = crawler.co_access_scores(crawler.clusters(edges), edges, rows).collect()
     assert len(scores) == 700 and all(r.co_access == 1 for r in scores)
+
+
+@pytest.mark.parametrize("chunk", [16, 4096])
+def test_knn_join_in_chunks_equals_brute_force(spark, chunk):
+    from wardline.operators import retrieval
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(150, 8)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    out = retrieval.knn_join(rows.filter("id < 50").withColumnRenamed("id", "query_id"), rows.filter("id >= 50").withColumnRenamed("id", "base_id"), 3, chunk=chunk)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (" in plan and "Join Inner\n" not in plan
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = {(q, int(b) + 50, k + 1) for q in range(50) for k, b in enumerate(np.argsort(-(u[50:] @ u[q]))[:3])}
+    assert {(r.query_id, r.base_id, r["rank"]) for r in out.collect()} == want
