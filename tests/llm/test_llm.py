@@ -459,6 +459,16 @@ def test_neighbours_of_copies(spark):
     assert by[0] == [1, 2, 3, 4, 5] and by[50] == [0, 1, 2, 3, 4] and by[200] == [0, 1, 2, 3, 4] and 201 not in by
 
 
+def test_neighbours_of_many_ties(spark):
+    base = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    rows = [(i, [x * 2.0 ** ((i * 37) % 100 - 50) for x in base]) for i in range(100)]
+    got = curves.nearest(_vectors(spark, rows), _vectors(spark, rows[50:51] + rows[2:3])).collect()
+    by = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by[r.query_id].append(r.vec_id)
+    assert by == {50: [0, 1, 2, 3, 4], 2: [0, 1, 3, 4, 5]}
+
+
 # ---- 9 WARC
 
 

@@ -98,16 +98,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, curves: int = CU
             x, v = matrix(g["embedding"][ask]), matrix(g["embedding"][~ask])
             for i in range(0, len(q), 512):
                 near = x[i : i + 512] @ v.T
-                some = min(k + 6, near.shape[1])
-                best = np.argpartition(-near, some - 1, axis=1)[:, :some]
-                for r, cols in enumerate(best):
+                some = min(k + 1, near.shape[1])
+                least = np.partition(near, near.shape[1] - some, axis=1)[:, near.shape[1] - some]
+                for r in range(len(near)):
+                    # all ties of the last one taken, with room for the product's rounding; then the smallest ids of each score
+                    cols = np.flatnonzero(near[r] >= least[r] - 1e-9)
                     exact = (v[cols] * x[i + r]).sum(axis=1)
-                    order = np.argsort(-exact, kind="stable")[: k + 1]
-                    last = exact[order[-1]]
-                    # copies and ties: every vector no worse than the last one taken
-                    for j, s in zip(cols, exact):
-                        if s >= last:
-                            out += [(int(q[i + r]), int(u), float(s)) for u in ids[j] if u != q[i + r]]
+                    own = np.concatenate([np.asarray(ids[j], dtype=np.int64) for j in cols])
+                    score = np.repeat(exact, [len(ids[j]) for j in cols])
+                    score, own = score[own != q[i + r]], own[own != q[i + r]]
+                    order = np.lexsort((own, -score))[: k + 1]
+                    out += [(int(q[i + r]), int(u), float(s)) for u, s in zip(own[order], score[order])]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     found = stored.union(sought).groupBy("curve", "span", "part").applyInPandas(search, "query_id long, vec_id long, score double")
