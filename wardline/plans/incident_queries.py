@@ -141,10 +141,12 @@ _KNOW = """kno AS (SELECT *, round(greatest(0e0, least(1e0, 0.5e0 + CASE WHEN re
  CASE WHEN health_delta > 0.05 THEN 'improved' WHEN health_delta < -0.05 THEN 'degraded' ELSE 'unchanged' END AS health_impact FROM inc)"""
 
 
-@query("i05_i07_internalise", V.with_(V.INC, _KNOW) + """SELECT id, anomaly_type AS incident_type, health_impact, effectiveness_score, 'Incident type ''' || anomaly_type || ''' on ' || api_endpoint || ' at severity ' || severity || ': ' ||
- CASE health_impact WHEN 'improved' THEN 'health improved after action' WHEN 'degraded' THEN 'health continued to decline' ELSE 'health remained stable' END || '. Disposition applied: ' || disposition || '.' AS learned_pattern,
- CASE health_impact WHEN 'improved' THEN 'Continue using' WHEN 'degraded' THEN 'Consider escalating' ELSE 'Monitor' END || ' ''' || disposition || ''' for ' || severity || ' ' || anomaly_type || ' on ' || api_endpoint || '.' ||
- CASE WHEN contains(lower(reason), 'passwd') THEN ' Payload: etc_passwd.' WHEN contains(lower(reason), 'or 1=1') THEN ' Payload: tautology.' ELSE '' END AS recommendation FROM kno""")
+_PATTERN = """severity || ' ' || anomaly_type || ' at ' || api_endpoint || ', answered by ' || disposition || ': ' || CASE health_impact WHEN 'improved' THEN 'the endpoint recovered' WHEN 'degraded' THEN 'the endpoint got worse' ELSE 'nothing changed' END"""
+_ADVICE = """CASE health_impact WHEN 'improved' THEN 'Repeat ' WHEN 'degraded' THEN 'Go beyond ' ELSE 'Review ' END || disposition || ' when ' || api_endpoint || ' shows ' || severity || ' ' || anomaly_type ||
+ CASE WHEN contains(lower(reason), 'passwd') THEN ' (seen: etc_passwd)' WHEN contains(lower(reason), 'or 1=1') THEN ' (seen: tautology)' ELSE '' END"""
+
+
+@query("i05_i07_internalise", V.with_(V.INC, _KNOW) + f"SELECT id, anomaly_type AS incident_type, health_impact, effectiveness_score, {_PATTERN} AS learned_pattern, {_ADVICE} AS recommendation FROM kno")
 def internalise(spark, d):
     return I.internalise(V.incidents(spark, d)).select("id", "incident_type", "health_impact", "effectiveness_score", "learned_pattern", "recommendation")
 
@@ -174,10 +176,19 @@ def top_knowledge(spark, d):
     return k.withColumn("r", F.row_number().over(w)).filter("r <= 5").select("id", "api_endpoint", "incident_type")
 
 
-@query("i08_explain")
+def _templates(spark, d):
+    """One row a template; a table of the log's types and variants would be this small, too."""
+    t = V.table(spark, d, "region").selectExpr("explode(array(named_struct('anomaly_type', '*', 'variant', 'default', 'template', 'Investigate {anomaly_type} on {api_endpoint}.'), named_struct('anomaly_type', 'injection attack', 'variant', 'tautology', 'template', 'Tautology on {api_endpoint}: use bound parameters.'), named_struct('anomaly_type', 'injection attack', 'variant', 'default', 'template', 'Audit the queries of {api_endpoint}.'))) AS x")
+    return t.select("x.*").distinct()
+
+
+_EXPLAIN = """CASE WHEN anomaly_type = 'injection attack' AND contains(lower(reason), 'or 1=1') AND NOT contains(lower(reason), 'passwd') THEN 'Tautology on ' || api_endpoint || ': use bound parameters.'
+ WHEN anomaly_type = 'injection attack' THEN 'Audit the queries of ' || api_endpoint || '.' ELSE 'Investigate ' || anomaly_type || ' on ' || api_endpoint || '.' END"""
+
+
+@query("i08_explain", V.with_(V.INC) + f"SELECT id, {_EXPLAIN} AS explanation FROM inc")
 def explain(spark, d):
-    t = V.table(spark, d, "region").selectExpr("explode(array(named_struct('anomaly_type', '*', 'variant', 'default', 'template', 'Investigate {anomaly_type} on {api_endpoint}.'), named_struct('anomaly_type', 'injection attack', 'variant', 'tautology', 'template', 'Tautology on {api_endpoint}: use bound parameters.'), named_struct('anomaly_type', 'injection attack', 'variant', 'default', 'template', 'Audit the queries of {api_endpoint}.'))) AS x").select("x.*").distinct()
-    return I.explain(V.incidents(spark, d), t)
+    return I.explain(V.incidents(spark, d), _templates(spark, d))
 
 
 @query("a34_attack_patterns", V.with_(V.INC) + "SELECT api_endpoint, count(*) AS count FROM inc GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -227,9 +238,22 @@ def health_scores(spark, d):
     return x.select("api_endpoint", "ts", F.round("baseline_rt", 6).alias("baseline_rt"), "previous_status", "incidents_24h", F.round(I.health_score(), 6).alias("score"))
 
 
-@query("w08_rescore")
+_RESCORE = """hin AS (SELECT hea.*, (SELECT count(*) FROM inc WHERE inc.api_endpoint = hea.api_endpoint AND inc.detected_at <= hea.ts AND inc.detected_at >= hea.ts - INTERVAL 1 DAY) AS incidents_24h, row_number() OVER (PARTITION BY api_endpoint ORDER BY ts) AS rn,
+   avg(CASE WHEN avg_rt > 0 THEN avg_rt END) OVER (PARTITION BY api_endpoint ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS base FROM hea),
+ raw AS (SELECT *, 1e0 - anomaly_count / total_requests * 0.7e0 - errors / total_requests * 0.4e0 - CASE WHEN avg_rt > 0 AND avg_rt / base > 1.5 THEN least((avg_rt / base - 1.5e0) * 0.15e0, 0.2e0) ELSE 0e0 END - least(incidents_24h * 0.01e0, 0.3e0) AS s FROM hin),
+ res(api_endpoint, ts, rn, old_score, new_score, new_status) AS (
+   SELECT api_endpoint, ts, rn, health_score, CASE WHEN abs(x - health_score) > 0.001 THEN round(x, 4) ELSE health_score END, CASE WHEN abs(x - health_score) > 0.001 THEN CASE WHEN x >= 0.8 THEN 'normal' WHEN x >= 0.5 THEN 'degraded' ELSE 'critical' END ELSE status END
+   FROM (SELECT *, greatest(0e0, least(1e0, s)) AS x FROM raw WHERE rn = 1)
+   UNION ALL
+   SELECT api_endpoint, ts, rn, health_score, CASE WHEN abs(x - health_score) > 0.001 THEN round(x, 4) ELSE health_score END, CASE WHEN abs(x - health_score) > 0.001 THEN CASE WHEN x >= 0.8 THEN 'normal' WHEN x >= 0.5 THEN 'degraded' ELSE 'critical' END ELSE status END
+   FROM (SELECT raw.*, greatest(0e0, least(1e0, raw.s - CASE WHEN res.new_status IN ('degraded', 'critical') THEN 0.1e0 ELSE 0e0 END)) AS x FROM res JOIN raw ON raw.api_endpoint = res.api_endpoint AND raw.rn = res.rn + 1))"""
+
+
+@query("w08_rescore", V.with_(V.REQ, V.HEALTH, V.INC, _RESCORE).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT api_endpoint, ts, round(old_score, 6) AS old_score, round(new_score, 4) AS new_score, new_status FROM res")
 def rescore(spark, d):
-    return I.rescore(I.incidents_in_last_day(V.health(spark, d), V.incidents(spark, d)))
+    h = V.health(spark, d)
+    x = I.rescore(I.incidents_in_last_day(h, V.incidents(spark, d)))
+    return x.join(h.select("id", "api_endpoint", "ts"), ["id", "api_endpoint"]).select("api_endpoint", "ts", F.round("old_score", 6).alias("old_score"), F.round("new_score", 4).alias("new_score"), "new_status")
 
 
 @query("w09_health_trend", V.with_(V.REQ, V.HEALTH) + """, las AS (SELECT *, row_number() OVER (PARTITION BY api_endpoint ORDER BY ts DESC) AS r FROM hea)
@@ -279,7 +303,11 @@ def attack_path(spark, d):
     return p.withColumns({"delta": F.round("delta", 4), "avg_effectiveness": F.round("avg_effectiveness", 6)})
 
 
-@query("i09_rebuild_knowledge")
+@query("i09_rebuild_knowledge", V.with_(V.INC, _KNOW) + f"""SELECT title, source_type, min(content) AS content, min(category) AS category FROM (
+ SELECT 'Case: ' || anomaly_type || ' on ' || api_endpoint AS title, {_ADVICE} AS content, 'case' AS category, 'internalized_knowledge' AS source_type FROM kno
+ UNION ALL SELECT 'Incidents of ' || anomaly_type, 'Severity ' || severity, 'case', 'incident' FROM inc
+ UNION ALL SELECT 'Owner of /api/' || s_nationkey || '/*', 'Person ' || s_suppkey, 'role_insight', 'person_binding' FROM supplier
+ UNION ALL SELECT 'Widespread ' || anomaly_type, count(DISTINCT api_endpoint) || ' endpoints', 'pattern', 'traceability' FROM inc GROUP BY anomaly_type HAVING count(DISTINCT api_endpoint) > 1) GROUP BY ALL""")
 def rebuild(spark, d):
     x = V.incidents(spark, d)
     b = V.table(spark, d, "supplier").selectExpr("'/api/' || s_nationkey || '/*' AS api_pattern", "s_suppkey AS person_id")
@@ -289,11 +317,11 @@ def rebuild(spark, d):
 # ---- owners and knowledge entries
 
 
-_BIND = "bnd AS (SELECT s_suppkey AS person_id, s_nationkey % 4 AS priority, CASE s_nationkey % 5 WHEN 0 THEN '*/en/*' WHEN 1 THEN '*/de/*' WHEN 2 THEN '*example.org*' WHEN 3 THEN '*/fr/?' ELSE '*//www.*' END AS api_pattern FROM supplier WHERE s_suppkey <= 40)"
+_BIND = "bnd AS (SELECT s_suppkey AS person_id, s_nationkey % 4 AS priority, CASE s_nationkey % 5 WHEN 0 THEN '*/en/*' WHEN 1 THEN '*/de/*' WHEN 2 THEN '*example.org*' WHEN 3 THEN '*/fr/?' ELSE '*//www.*' END AS api_pattern FROM supplier)"
 
 
 def _bindings(spark, d):
-    b = V.table(spark, d, "supplier").filter("s_suppkey <= 40").selectExpr("s_suppkey AS person_id", "s_nationkey % 4 AS priority", "CASE s_nationkey % 5 WHEN 0 THEN '*/en/*' WHEN 1 THEN '*/de/*' WHEN 2 THEN '*example.org*' WHEN 3 THEN '*/fr/?' ELSE '*//www.*' END AS api_pattern")
+    b = V.table(spark, d, "supplier").selectExpr("s_suppkey AS person_id", "s_nationkey % 4 AS priority", "CASE s_nationkey % 5 WHEN 0 THEN '*/en/*' WHEN 1 THEN '*/de/*' WHEN 2 THEN '*example.org*' WHEN 3 THEN '*/fr/?' ELSE '*//www.*' END AS api_pattern")
     return b, V.table(spark, d, "supplier").filter("s_suppkey % 3 <> 0").selectExpr("s_suppkey AS id", "s_name AS name")
 
 
@@ -355,12 +383,45 @@ def entry_stats(spark, d):
     return _entries(spark, d).filter("is_active").groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("effectiveness_score"), 6).alias("avg_effectiveness"), F.max("effectiveness_score").alias("max_effectiveness"))
 
 
-@query("s22_report_lines")
+_LINES = """lin AS (SELECT 0 AS section, row_number() OVER (ORDER BY api_endpoint) AS ord, '| ' || api_endpoint || ' | ' || n || ' |' AS line FROM (SELECT api_endpoint, count(*) AS n FROM inc GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT 10)
+ UNION ALL SELECT 1, row_number() OVER (ORDER BY anomaly_type), '| ' || anomaly_type || ' | ' || n || ' |' FROM (SELECT anomaly_type, count(DISTINCT api_endpoint) AS n FROM inc GROUP BY 1 HAVING count(DISTINCT api_endpoint) > 1)
+ UNION ALL SELECT 2, 1, '| ' || count(*) || ' | ' || count(*) FILTER (severity = 'CRITICAL') || ' | ' || count(*) FILTER (severity = 'HIGH') || ' | ' || count(*) FILTER (severity = 'MEDIUM') || ' | ' || count(*) FILTER (severity = 'LOW') || ' | ' || count(*) FILTER (severity = 'INFO') || ' | ' || count(DISTINCT api_endpoint) || ' | ' || count(*) FILTER (disposition = 'auto_block') || ' |' FROM inc)"""
+
+
+@query("s22_report_lines", V.with_(V.INC, _LINES) + "SELECT section::INT AS section, ord, line FROM lin UNION ALL SELECT i::INT, -1, '## ' || ['Top endpoints', 'Widespread types', 'Summary'][i + 1] FROM range(3) t(i)")
 def report_lines(spark, d):
     x = V.incidents(spark, d)
     return L.report_lines({"Top endpoints": I.attack_patterns(x), "Widespread types": I.widespread_types(x), "Summary": I.executive_summary(x)})
 
 
+_BATCH = [
+    "chb AS (SELECT inc.id, b.health_score AS hb, a.health_score AS ha FROM inc ASOF JOIN hea b ON inc.api_endpoint = b.api_endpoint AND inc.detected_at >= b.ts ASOF JOIN hea a ON inc.api_endpoint = a.api_endpoint AND inc.detected_at < a.ts)",
+    "imp AS (SELECT inc.* EXCLUDE (health_delta), round(hb, 6) AS health_before, round(ha, 6) AS health_after, coalesce(round(ha - hb, 4), 0e0) AS health_delta FROM inc LEFT JOIN chb USING (id))",
+    _KNOW.replace("FROM inc)", "FROM imp)"),
+    "rul AS (SELECT s_suppkey AS person_id, s_nationkey % 4 AS priority, '/api/' || CASE s_nationkey % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'purchase' ELSE '*' END || '/*' AS api_pattern FROM supplier)",
+    "fst AS (SELECT api_endpoint, person_id FROM (SELECT api_endpoint, person_id, row_number() OVER (PARTITION BY api_endpoint ORDER BY priority DESC, length(api_pattern) DESC, person_id) AS r FROM (SELECT DISTINCT api_endpoint FROM inc) JOIN rul ON api_endpoint GLOB api_pattern) WHERE r = 1)",
+    "own AS (SELECT api_endpoint, person_id, coalesce(s_name, 'Unknown') AS owner FROM fst LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) ON s_suppkey = person_id)",
+]
+
+
+@query("i02_incident_batch", V.with_(V.REQ, V.HEALTH, V.INC, *_BATCH) + f"SELECT id, api_endpoint, disposition, person_id, owner, health_before, health_after, health_impact, {_PATTERN} AS learned_pattern, {_ADVICE} AS recommendation, effectiveness_score, {_EXPLAIN} AS explanation FROM kno LEFT JOIN own USING (api_endpoint)")
+def incident_batch(spark, d):
+    rules = V.table(spark, d, "supplier").selectExpr("s_suppkey AS person_id", "s_nationkey % 4 AS priority", "'/api/' || CASE s_nationkey % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'purchase' ELSE '*' END || '/*' AS api_pattern")
+    x = I.incident_batch(V.incidents(spark, d).drop("disposition", "health_delta"), V.health(spark, d), rules, _bindings(spark, d)[1], _templates(spark, d))
+    rounded = [F.round(c, 6).alias(c) for c in ("health_before", "health_after")]
+    return x.select("id", "api_endpoint", "disposition", "person_id", "owner", *rounded, "health_impact", "learned_pattern", "recommendation", "effectiveness_score", "explanation")
+
+
+@query("p05_suspicious", V.with_(V.REQ, _STAGES) + "SELECT log_id, probability FROM s1 WHERE predicted_label = 1")
+def suspicious(spark, d):
+    return I.suspicious(_stages(spark, d)[0]).select("log_id", "probability")
+
+
+@query("p15_anomalies", V.with_(V.REQ, _STAGES, _GRADE) + "SELECT log_id, severity, source FROM grd WHERE final_verdict = 'anomaly'")
+def anomalies(spark, d):
+    return I.anomalies(I.grade(*_stages(spark, d))).select("log_id", "severity", "source")
+
+
 @query("p16_sync_severity", V.with_(V.INC) + "SELECT anomaly_type, CASE WHEN regexp_matches(anomaly_type, 'injection|traversal') THEN 'CRITICAL' WHEN contains(anomaly_type, 'scripting') THEN 'HIGH' ELSE 'MEDIUM' END AS severity, count(*) AS n FROM inc GROUP BY ALL")
 def sync(spark, d):
     t = F.col("anomaly_type")
