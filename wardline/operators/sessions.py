@@ -9,6 +9,11 @@ from wardline.functions.patterns import KNOWN_CRAWLERS, SENSITIVE_WORDS, SUSPICI
 from wardline.functions.scalars import contains_any, flag, sigmoid
 
 
+def parsable(records: DataFrame, time: str = "ts") -> DataFrame:
+    """``records`` with ``time`` read as a timestamp; rows whose time is missing or can't be read go."""
+    return records.withColumn(time, F.try_to_timestamp(F.col(time).cast("string"))).filter(F.col(time).isNotNull())
+
+
 def stitch(records: DataFrame, gap_seconds: float = 60, by: str = "source_ip") -> DataFrame:
     """Add ``session_no`` and ``session_start``: a new session of an address starts after a gap longer than ``gap_seconds``.
 

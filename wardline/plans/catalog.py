@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.plans import incident_queries, log_queries, other_queries
+from wardline.plans import incident_queries, log_queries, other_queries, source_queries
 
-_MODULES = (log_queries, incident_queries, other_queries)
+_MODULES = (log_queries, incident_queries, other_queries, source_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

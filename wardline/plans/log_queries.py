@@ -10,7 +10,9 @@ from wardline.functions import scalars as S
 from wardline.functions.patterns import CATEGORY_TYPES, FAMILIES, SIGNATURES
 from wardline.operators import crawler as C
 from wardline.operators import metrics as M
+from wardline.operators import ordering as O
 from wardline.operators import sessions as Se
+from wardline.operators.incidents import severity_flags, severity_rank
 from wardline.plans import views as V
 from wardline.sources import logs as L
 
@@ -227,7 +229,10 @@ def repeated_paths(spark, d):
 _WIN = 600
 
 
-@query("w11_anchored_windows")
+_ANCHOR = f"""ANC AS (SELECT min(epoch_us(ts)) AS win FROM req UNION ALL SELECT (SELECT min(epoch_us(ts)) FROM req WHERE epoch_us(ts) > ANC.win + {_WIN}000000) FROM ANC WHERE win IS NOT NULL)"""
+
+
+@query("w11_anchored_windows", V.with_(V.REQ, _ANCHOR).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT log_id, win FROM (SELECT log_id, epoch_us(ts) AS us FROM req) ASOF JOIN ANC ON us >= win")
 def anchored_windows(spark, d):
     return C.anchored_windows(V.requests(spark, d), _WIN).select("log_id", "win")
 
@@ -245,13 +250,26 @@ def co_access(spark, d):
     return C.co_access(_windowed(spark, d))
 
 
-@query("g01_clusters")
+_MET = """grid AS (SELECT *, floor(epoch_us(ts) / 120000000)::BIGINT AS win FROM nam), """ + _EDGE
+_NAM = "nam AS (SELECT * FROM ses)"
+_CLU = """lnk AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge), rea AS (SELECT a AS session_id, a AS other FROM lnk UNION SELECT lnk.b, rea.other FROM rea JOIN lnk ON lnk.a = rea.session_id),
+ cmp AS (SELECT session_id, min(other) AS cluster_id FROM rea GROUP BY 1), clu AS (SELECT session_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size FROM cmp QUALIFY count(*) OVER (PARTITION BY cluster_id) >= 3)"""
+_recursive = lambda *parts: V.with_(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("g01_clusters", _recursive(V.REQ, V.SES, _NAM, _MET, _CLU) + "SELECT * FROM clu")
 def clusters(spark, d):
     s = V.sessions(spark, d)
     return C.clusters(C.co_access(C.grid_windows(s, 120)))
 
 
-@query("a30_co_access_scores")
+_CO = """pth AS (SELECT session_id, list(DISTINCT path) AS paths FROM nam GROUP BY 1), rto AS (SELECT x.session_id, count(*) / (any_value(x.cluster_size) - 1) AS peer_ratio FROM lnk JOIN clu x ON lnk.a = x.session_id GROUP BY 1),
+ pee AS (SELECT x.session_id, y.session_id AS peer, row_number() OVER (PARTITION BY x.session_id ORDER BY y.session_id) AS k FROM clu x JOIN clu y ON x.cluster_id = y.cluster_id AND x.session_id <> y.session_id),
+ sim AS (SELECT pee.session_id, avg(len(list_intersect(p.paths, q.paths)) / len(list_distinct(list_concat(p.paths, q.paths)))) AS overlap FROM pee JOIN pth p ON p.session_id = pee.session_id JOIN pth q ON q.session_id = peer WHERE k <= 10 GROUP BY 1),
+ coa AS (SELECT session_id, round((peer_ratio + overlap) / 2, 4) AS co_access FROM rto JOIN sim USING (session_id))"""
+
+
+@query("a30_co_access_scores", _recursive(V.REQ, V.SES, _NAM, _MET, _CLU, _CO) + "SELECT * FROM coa")
 def co_access_scores(spark, d):
     s = V.sessions(spark, d)
     edges = C.co_access(C.grid_windows(s, 120))
@@ -272,7 +290,13 @@ def coverage(spark, d):
     return C.coverage(V.sessions(spark, d), "source_type").select("grp", "sessions", "coverage_completeness", "coverage_entropy", "idle_session_ratio", "total_unique_paths", "estimated_resource_space")
 
 
-@query("a27_sequential_scores")
+_SEQ = """sps AS (SELECT grp, session_id, list_sort(list(DISTINCT path)) AS paths FROM hit GROUP BY ALL),
+ ids AS (SELECT grp, [x::BIGINT for x in [regexp_extract(p, '/([0-9]+)$', 1) for p in paths] if x <> ''] AS v, row_number() OVER (PARTITION BY grp ORDER BY session_id) AS r FROM sps),
+ stp AS (SELECT grp, v, [v[i + 1] - v[i] for i in range(1, len(v))] AS steps FROM ids WHERE r <= 100 AND len(v) >= 2),
+ seq AS (SELECT grp, avg((list_min(steps) > 0 OR (len(v) >= 3 AND list_min(steps) = list_max(steps)))::INT) AS sequential FROM stp GROUP BY 1)"""
+
+
+@query("a27_sequential_scores", V.with_(V.REQ, V.SES, _COV, _SEQ) + "SELECT grp AS source_type, sequential FROM seq WHERE grp <> '*'")
 def sequential(spark, d):
     s = V.sessions(spark, d).groupBy("source_type", "session_id").agg(F.sort_array(F.collect_set("path")).alias("paths"))
     return C.sequential_scores(s, "source_type")
@@ -302,17 +326,40 @@ def crowd(spark, d):
     return C.crowd_stats(_named(spark, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("m18_fusion")
+_KINDS = ["malicious_scraper_", "malicious_ddos_tool_", "malicious_crowdsourced_", "normal_", "legit_"]
+_PATS = ["scraper", "ddos_tool", "crowdsourced", "normal", "legit"]
+_FUSION = [
+    V.REQ, V.SES, f"nam AS (SELECT * EXCLUDE (session_id), {_KINDS}[user_id % 5 + 1] || session_id AS session_id, {_PATS}[user_id % 5 + 1] AS pattern FROM ses)", _MET, _CLU, _CO,
+    _COV.replace("unnest([source_type, '*'])", "unnest([pattern, '*'])").replace("FROM ses)", "FROM nam)"), _SEQ,
+    """cvr AS (SELECT grp, least(1e0, u / estimated) AS complete, CASE WHEN u > 1 THEN (log2(t) - flf / t) / log2(u) ELSE 1e0 END AS entropy, idle, coalesce(sequential, 0e0) AS sequential, u FROM idle JOIN tot USING (grp) JOIN spc USING (grp) LEFT JOIN seq USING (grp)),
+ cov AS (SELECT grp, round(complete, 4) AS complete, round(entropy, 4) AS entropy, round(idle, 4) AS idle, round(sequential, 4) AS sequential, entropy < 0.75 AND idle > 0.3 AS low, u >= 5 AND complete > 0.5 AND idle > 0.3 AS pieces FROM cvr),
+ fst AS (SELECT pattern, session_id, paths, row_number() OVER (PARTITION BY pattern ORDER BY session_id) AS r FROM (SELECT DISTINCT pattern, session_id FROM nam) JOIN pth USING (session_id)),
+ alike AS (SELECT x.pattern, avg(len(list_intersect(x.paths, y.paths)) / len(list_distinct(list_concat(x.paths, y.paths)))) AS similarity FROM fst x JOIN fst y ON x.pattern = y.pattern AND x.r < y.r AND y.r <= 20 GROUP BY 1),
+ one AS (SELECT DISTINCT session_id, pattern FROM nam),
+ fus AS (SELECT session_id, one.pattern, cluster_id, coalesce(cluster_size, 0) AS cluster_size, cluster_id IS NOT NULL AS inside, coalesce(co_access, 0e0) * CASE WHEN cluster_id IS NOT NULL THEN 1e0 ELSE 0.3e0 END AS temporal,
+   coalesce(c.complete, g.complete) AS complete, coalesce(c.low, g.low) AS low, coalesce(c.pieces, g.pieces) AS pieces,
+   greatest(0e0, (1 - coalesce(c.entropy, g.entropy)) * CASE WHEN coalesce(c.low, g.low) THEN 0.6e0 ELSE 0.2e0 END + coalesce(c.complete, g.complete) * 0.25e0 + coalesce(c.sequential, g.sequential) * 0.15e0) AS cover,
+   CASE one.pattern WHEN 'scraper' THEN round(least(1e0, coalesce(similarity, 0e0) * 1.5e0), 4) WHEN 'ddos_tool' THEN 0.9e0 WHEN 'crowdsourced' THEN 0.15e0 WHEN 'normal' THEN 0.1e0 WHEN 'legit' THEN 0.2e0 ELSE 0e0 END AS net
+   FROM one LEFT JOIN clu USING (session_id) LEFT JOIN coa USING (session_id) LEFT JOIN cov c ON c.grp = one.pattern CROSS JOIN (SELECT * FROM cov WHERE grp = '*') g LEFT JOIN alike ON alike.pattern = one.pattern),
+ ver AS (SELECT session_id, pattern, CASE WHEN pattern = 'crowdsourced' AND pieces AND net <= 0.3 THEN 'crowdsourced_crawler' WHEN inside AND net > 0.4 AND (low OR complete > 0.3) AND f >= 0.55 THEN 'distributed_crawler' WHEN f >= 0.5 THEN 'suspicious' ELSE 'normal' END AS determination,
+   round(f, 4) AS fusion_score, round(temporal, 4) AS temporal_score, round(cover, 4) AS coverage_score, round(net, 4) AS network_score, inside AS in_cluster, cluster_size, cluster_id
+   FROM (SELECT *, 0.35e0 * temporal + 0.35e0 * cover + 0.30e0 * net AS f FROM fus))""",
+]
+
+
+@query("m18_fusion", _recursive(*_FUSION) + "SELECT * FROM ver")
 def fusion(spark, d):
     return C.fusion(_named(spark, d), 120)
 
 
-@query("a31_cluster_rollup")
+@query("a31_cluster_rollup", _recursive(*_FUSION) + """SELECT cluster_id, count(*) AS size, round(avg(fusion_score), 4) AS avg_fusion_score, array_to_string(list_slice(list_sort(list(session_id)), 1, 10), ',') AS members,
+ CASE WHEN avg(fusion_score) >= 0.55 THEN 'distributed_crawler' WHEN avg(fusion_score) >= 0.45 THEN 'suspicious' ELSE 'normal' END AS determination FROM ver WHERE cluster_id IS NOT NULL GROUP BY 1""")
 def rollup(spark, d):
     return C.cluster_rollup(C.fusion(_named(spark, d), 120))
 
 
-@query("a32_global_assessment")
+@query("a32_global_assessment", _recursive(*_FUSION) + """SELECT coalesce(bool_or(determination = 'distributed_crawler'), false) AS has_distributed, coalesce(bool_or(determination = 'crowdsourced_crawler'), false) AS has_crowdsourced,
+ count(*) FILTER (determination = 'distributed_crawler') AS distributed_crawler_count, count(*) FILTER (determination = 'crowdsourced_crawler') AS crowdsourced_crawler_count, count(*) FILTER (determination = 'suspicious') AS suspicious_count FROM ver""")
 def assessment(spark, d):
     return C.global_assessment(C.fusion(_named(spark, d), 120))
 
@@ -381,12 +428,73 @@ def run_summary(spark, d):
     return C.run_summary(Se.rule_verdicts(f).join(f.select("session_id", "true_category"), "session_id").withColumnRenamed("verdict", "determination"))
 
 
-@query("u04_path_overlap", V.with_(V.REQ) + """, p AS (SELECT source_ip, list(DISTINCT path) AS paths FROM req WHERE user_id < 20 GROUP BY 1)
- SELECT a.source_ip AS a, b.source_ip AS b, round(len(list_intersect(a.paths, b.paths)) / len(list_distinct(list_concat(a.paths, b.paths))), 6) AS overlap FROM p a JOIN p b ON a.source_ip < b.source_ip""")
+@query("u04_path_overlap", V.with_(V.REQ) + """, p AS (SELECT source_ip, coalesce(list(DISTINCT path) FILTER (status < 400), []) AS fine, coalesce(list(DISTINCT path) FILTER (status >= 400), []) AS bad FROM req GROUP BY 1)
+ SELECT source_ip, CASE WHEN len(fine) + len(bad) = 0 THEN 0e0 ELSE round(len(list_intersect(fine, bad)) / len(list_distinct(list_concat(fine, bad))), 6) END AS overlap FROM p""")
 def overlap(spark, d):
-    p = V.requests(spark, d).filter("user_id < 20").groupBy("source_ip").agg(F.collect_set("path").alias("paths"))
-    q = p.toDF("b", "others")
-    return p.toDF("a", "paths").join(q, F.col("a") < F.col("b")).select("a", "b", F.round(S.jaccard("paths", "others"), 6).alias("overlap"))
+    """How far an address's answered and refused paths are the same."""
+    of = lambda c: F.collect_set(F.when(c, F.col("path")))
+    p = V.requests(spark, d).groupBy("source_ip").agg(of(F.col("status") < 400).alias("fine"), of(F.col("status") >= 400).alias("bad"))
+    return p.select("source_ip", F.round(S.jaccard("fine", "bad"), 6).alias("overlap"))
+
+
+@query("u03_path_union", V.with_(V.REQ) + "SELECT category, count(DISTINCT path) AS n_paths, md5(string_agg(DISTINCT path, ' ' ORDER BY path)) AS digest FROM req GROUP BY 1")
+def path_union(spark, d):
+    g = V.requests(spark, d).groupBy("category", "user_id").agg(F.collect_set("path").alias("paths"))
+    u = g.select("category", F.explode("paths").alias("path")).distinct().groupBy("category").agg(F.sort_array(F.collect_list("path")).alias("u"))
+    return u.select("category", F.size("u").cast("long").alias("n_paths"), F.md5(F.array_join("u", " ")).alias("digest"))
+
+
+@query("k01_global_order", V.with_(V.REQ) + "SELECT log_id, row_number() OVER (ORDER BY ts, log_id) AS row_no FROM req")
+def global_order(spark, d):
+    return O.with_row_number(V.requests(spark, d).select("log_id", "ts"), ["ts", "log_id"]).select("log_id", "row_no")
+
+
+@query("p04_parsable_times", V.with_(V.REQ) + "SELECT log_id, ts FROM req WHERE k % 10 > 1")
+def parsable_times(spark, d):
+    """Times as text, some of them broken; rows whose time can't be read go."""
+    raw = V.requests(spark, d).withColumn("ts", F.when(F.col("k") % 10 == 0, "no time").when(F.col("k") % 10 == 1, F.concat(F.lit("2024-13-"), F.col("ts").cast("string"))).otherwise(F.col("ts").cast("string")))
+    return Se.parsable(raw, "ts").select("log_id", "ts")
+
+
+@query("f14_f15_f18_f26_scalars", V.with_(V.REQ) + """SELECT log_id, round(log2(1 + k), 6) AS bits, round(k / 7e0, 3) AS rounded, md5(source_ip || '|' || path) AS id, CASE severity WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END AS rank,
+ upper(substr(severity, 1, 1)) || lower(substr(severity, 2)) AS severity_display FROM req""")
+def more_scalars(spark, d):
+    x = severity_flags(V.requests(spark, d))
+    return x.select("log_id", F.round(F.log2(1 + F.col("k")), 6).alias("bits"), F.round(F.col("k") / 7, 3).alias("rounded"), F.md5(F.concat_ws("|", "source_ip", "path")).alias("id"), severity_rank().alias("rank"), "severity_display")
+
+
+@query("f14_entropy", V.with_(V.REQ) + "SELECT endpoint, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT endpoint, n, sum(n) OVER (PARTITION BY endpoint) AS t FROM (SELECT endpoint, status, count(*)::DOUBLE AS n FROM req GROUP BY ALL)) GROUP BY 1")
+def entropy(spark, d):
+    n = V.requests(spark, d).groupBy("endpoint", "status").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    h = F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")
+    return n.groupBy("endpoint").agg(F.round(F.abs(h), 6).alias("entropy"))
+
+
+@query("f22_json", V.with_(V.REQ) + """SELECT log_id, '{"path":"' || replace(path, '"', '\\"') || '","status":' || status || '}' AS packed, CASE k % 3 WHEN 2 THEN NULL ELSE method END AS verdict, CASE k % 3 WHEN 2 THEN NULL ELSE k END AS score FROM req""")
+def json_text(spark, d):
+    """Structs to JSON; fields out of replies that wrap JSON in prose or fences, null where there is none."""
+    r = V.requests(spark, d)
+    body = F.to_json(F.struct(F.col("method").alias("verdict"), F.col("k").alias("score")))
+    reply = F.when(F.col("k") % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```\ndone"))).when(F.col("k") % 3 == 1, F.concat(F.lit("It is "), body)).otherwise("no answer")
+    found = F.from_json(S.json_part(reply), "verdict string, score int")
+    return r.select("log_id", F.to_json(F.struct("path", "status")).alias("packed"), found["verdict"].alias("verdict"), found["score"].alias("score"))
+
+
+@query("j04_features_with_raw", V.with_(V.REQ, V.SES, V.FEAT) + "SELECT session_id, request_count, count(log_id) AS raw_rows, min(path) AS first_path FROM feat LEFT JOIN ses USING (session_id) GROUP BY ALL")
+def features_with_raw(spark, d):
+    s = V.sessions(spark, d)
+    f = Se.session_features(s).select("session_id", "request_count")
+    return f.join(s.select("session_id", "log_id", "path"), "session_id", "left").groupBy("session_id", "request_count").agg(F.count("log_id").alias("raw_rows"), F.min("path").alias("first_path"))
+
+
+@query("j02_truth_by_row", V.with_(V.REQ) + """, t AS (SELECT row_number() OVER (ORDER BY log_id) AS row_no, log_id, (category <> 'normal')::INT AS y FROM req), p AS (SELECT row_number() OVER (ORDER BY ts, log_id) AS row_no, (status >= 400)::INT AS p FROM req)
+ SELECT row_no, log_id, y, p FROM t JOIN p USING (row_no)""")
+def truth_by_row(spark, d):
+    """Two tables without a common key, paired by their row numbers."""
+    r = V.requests(spark, d)
+    truth = r.select("log_id", S.flag(F.col("category") != "normal").alias("y"))
+    found = r.select(F.col("log_id").alias("_id"), "ts", S.flag(F.col("status") >= 400).alias("p"))
+    return O.by_row_number(truth, ["log_id"], found, ["ts", "_id"]).select("row_no", "log_id", "y", "p")
 
 
 @query("u05_distinct_values", V.with_(V.REQ) + "SELECT DISTINCT endpoint, severity, category FROM req")

@@ -6,6 +6,8 @@ import fnmatch
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +98,21 @@ def collect_sources(raw: dict[str, DataFrame], since: str | None = None, limit:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def collect_tolerant(readers: dict[str, Callable[[], DataFrame]], since: str | None = None, limit: int | None = None, adapters: dict[str, Callable[[DataFrame], DataFrame]] = ADAPTERS) -> tuple[DataFrame | None, dict[str, str]]:
+    """(records, failures): what ``collect_sources`` gives for the sources that can be read, and the others' errors by name.
+
+    A source fails when its reader does, when its columns don't fit, or while its rows are read: each is written by
+    itself before the union. A source without an adapter is a failure, too; no readable source gives None.
+    """
+    parts, failures = [], {}
+    for name, read in readers.items():
+        try:
+            parts.append(materialise(collect_sources({name: read()}, since, limit, {name: adapters[name]}), f"source-{name}"))
+        except (PySparkException, Py4JJavaError, OSError, KeyError) as e:
+            failures[name] = f"{type(e).__name__}: {e}"[:500]
+    return (reduce(lambda a, b: a.unionByName(b), parts) if parts else None), failures
+
+
 def count_by_source(records: DataFrame) -> DataFrame:
     return records.groupBy(F.coalesce("source_type", F.lit("unknown")).alias("source_type")).count()
 
