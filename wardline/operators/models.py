@@ -31,11 +31,11 @@ def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.7, bu
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Add ``weight`` = n / (classes * n of the class)."""
+    """Add ``weight`` = n / (classes * n of the class). The table of weights has a row a class; broadcasting it is left to Spark's check of its size."""
     counts = df.groupBy(label).count()
     total = counts.agg(F.sum("count").alias("_n"), F.count(F.lit(1)).alias("_k"))
     w = counts.crossJoin(F.broadcast(total)).select(label, (F.col("_n") / (F.col("_k") * F.col("count"))).alias("weight"))
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)
 
 
 def fit_forest(train: DataFrame, features: list[str], label: str = "label", trees: int = 200, depth: int = 15, least: int = 2, seed: int = 42) -> PipelineModel:
@@ -100,10 +100,11 @@ def isolation_scores(df: DataFrame, features: list[str], key: str, trees: int =
     import json
 
     n = df.count()
-    share = min(1.0, rows / max(n, 1))
-    # a row is in tree t if its hash with t falls in the share: each row is tested per tree in the JVM, few survive
-    picked = df.select(key, *features).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    picked = picked.filter(F.pmod(F.xxhash64(F.col(key), "tree", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # one hash picks the rows of all trees, about ``trees * rows``; only those are tested tree by tree
+    part = lambda *of: F.pmod(F.xxhash64(F.col(key), *of), F.lit(1 << 30)) / float(1 << 30)
+    some = min(1.0, trees * rows / max(n, 1))
+    picked = df.select(key, *features).filter(part(F.lit(-1), F.lit(seed)) < some).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    picked = picked.filter(part("tree", F.lit(seed)) < min(1.0, rows / max(n, 1)) / some)
 
     def grow(g: pd.DataFrame) -> pd.DataFrame:
         t = int(g["tree"].iloc[0])
@@ -122,7 +123,7 @@ def isolation_scores(df: DataFrame, features: list[str], key: str, trees: int =
 
     kind = dict(df.dtypes)[key]
     scored = df.select(key, *features).mapInPandas(score, f"{key} {kind}, anomaly_score double")
-    cut = scored.agg(F.percentile("anomaly_score", F.lit(1 - contamination)).alias("_cut"), F.min("anomaly_score").alias("_lo"), F.max("anomaly_score").alias("_hi"))
+    cut = scored.agg(F.percentile_approx("anomaly_score", 1 - contamination, 100_000).alias("_cut"), F.min("anomaly_score").alias("_lo"), F.max("anomaly_score").alias("_hi"))
     x = scored.crossJoin(F.broadcast(cut))
     scaled = min_max("anomaly_score", "_lo", "_hi")
     pred = F.when(F.col("anomaly_score") > F.col("_cut"), 1).otherwise(0)

@@ -33,12 +33,12 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def knn_join(queries: DataFrame, base: DataFrame, k: int = 1, metric: str = "cosine", query_key: str = "query_id", base_key: str = "base_id", chunk: int = 1024) -> DataFrame:
+def knn_join(queries: DataFrame, base: DataFrame, k: int = 1, metric: str = "cosine", query_key: str = "query_id", base_key: str = "base_id", chunk: int = 1024, but_itself: bool = False) -> DataFrame:
     """(query_key, base_key, distance, rank): the ``k`` nearest base vectors of each query, exactly.
 
     Both tables are cut by a hash into parts of about ``chunk`` rows, whatever their size; every part of the queries meets every
     part of the base by an equal key, each query keeps its ``k`` best there, and the winners of the parts are merged.
-    ``cosine`` is 1 - similarity, ``l2sq`` the squared distance.
+    ``cosine`` is 1 - similarity, ``l2sq`` the squared distance. With ``but_itself`` a base row with the query's key is no neighbour.
     """
     v = base.select(F.col(base_key).alias("_b"), F.col("embedding").alias("_e"))
     norm = lambda c: F.sqrt(dot(c, c))
@@ -53,15 +53,16 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int = 1, metric: str = "cos
     lists = v.groupBy(F.pmod(F.xxhash64("_b", "_e"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("_b", "_e")).alias("_rows"))
     lists = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     own = own.withColumn("_part", F.pmod(F.xxhash64(query_key, "embedding"), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    best = F.slice(F.sort_array(F.transform("_rows", lambda r: F.struct(distance(r["_e"]).alias("distance"), r["_b"].alias("_b")))), 1, k)
+    others = F.filter("_rows", lambda r: ~r["_b"].eqNullSafe(F.col(query_key))) if but_itself else F.col("_rows")
+    best = F.slice(F.sort_array(F.transform(others, lambda r: F.struct(distance(r["_e"]).alias("distance"), r["_b"].alias("_b")))), 1, k)
     each = own.join(lists, ["_part", "_block"]).select(query_key, F.explode(best).alias("x")).select(query_key, "x._b", "x.distance")
     w = Window.partitionBy(query_key).orderBy("distance", "_b")
     return each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_key, F.col("_b").alias(base_key), "distance", "rank")
 
 
-def similar_events(queries: DataFrame, base: DataFrame, k: int = 3, least: float = 0.8) -> DataFrame:
+def similar_events(queries: DataFrame, base: DataFrame, k: int = 3, least: float = 0.8, but_itself: bool = False) -> DataFrame:
     """(query_id, base_id, similarity, rank) with similarity 1 - distance of at least ``least``."""
-    return knn_join(queries, base, k).withColumn("similarity", 1 - F.col("distance")).filter(F.col("similarity") >= least).select("query_id", "base_id", "similarity", "rank")
+    return knn_join(queries, base, k, but_itself=but_itself).withColumn("similarity", 1 - F.col("distance")).filter(F.col("similarity") >= least).select("query_id", "base_id", "similarity", "rank")
 
 
 def first_hits(hits: DataFrame) -> DataFrame:

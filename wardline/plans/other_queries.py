@@ -112,12 +112,17 @@ def orders_by_region(spark, d):
 # ---- retrieval
 
 _KNN = """knn AS (SELECT query_id, base_id, distance, cast(row_number() OVER (PARTITION BY query_id ORDER BY distance, base_id) AS INT) AS rank FROM (SELECT q.vec_id AS query_id, b.vec_id AS base_id,
- round(1 - list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS distance FROM embeddings q, embeddings b WHERE b.vec_id % 10 = 0 AND q.vec_id % 10 <> 0))"""
+ round(1 - list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS distance FROM embeddings q, embeddings b WHERE q.vec_id % 50 = 0 AND b.vec_id <> q.vec_id))"""
 
 
-def _knn(spark, d, k):
+def _vectors(spark, d):
+    """The stated queries, ids divisible by 50, and the base, all rows."""
     e = V.table(spark, d, "embeddings")
-    return R.knn_join(e.filter("vec_id % 10 <> 0").withColumnRenamed("vec_id", "query_id"), e.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "base_id"), k)
+    return e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "base_id")
+
+
+def _knn(spark, d, k):
+    return R.knn_join(*_vectors(spark, d), k, but_itself=True)
 
 
 @query("j10_knn_join", V.with_(_KNN) + "SELECT query_id, base_id, distance, rank FROM knn WHERE rank <= 3")
@@ -127,9 +132,7 @@ def knn(spark, d):
 
 @query("r03_similar_events", V.with_(_KNN) + "SELECT query_id, base_id, round(1 - distance, 6) AS similarity, rank FROM knn WHERE rank <= 3 AND 1 - distance >= 0.3")
 def similar(spark, d):
-    e = V.table(spark, d, "embeddings")
-    x = R.similar_events(e.filter("vec_id % 10 <> 0").withColumnRenamed("vec_id", "query_id"), e.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "base_id"), 3, 0.3)
-    return x.withColumn("similarity", F.round("similarity", 6))
+    return R.similar_events(*_vectors(spark, d), 3, 0.3, but_itself=True).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("u06_first_hits", V.with_(_KNN) + "SELECT doc_id, query_no FROM (SELECT base_id AS doc_id, query_id AS query_no, row_number() OVER (PARTITION BY base_id ORDER BY query_id, rank) AS r FROM knn WHERE rank <= 3) WHERE r = 1")
@@ -171,12 +174,20 @@ def embedding(spark, d):
     return V.table(spark, d, "benchmark").select("item_id", R.hashed_embedding("text").alias("embedding"))
 
 
-@query("r08_prompts", V.with_(V.REQ) + """SELECT log_id, attack_type, 'Log ' || log_id || ': ' || path || ' [' || attack_type || '] past: none' AS prompt FROM req, (SELECT unnest(['directory traversal attack', 'cross-site scripting attack', 'unauthorized access attack', 'injection attack', 'performance issue', 'sensitive data leakage', 'invalid item value']) AS attack_type) WHERE status = 500""")
+_TYPES = "['directory traversal attack', 'cross-site scripting attack', 'unauthorized access attack', 'injection attack', 'performance issue', 'sensitive data leakage', 'invalid item value']"
+
+
+@query("r08_prompts", V.with_(V.REQ, """past AS (SELECT log_id, attack_type, string_agg(content, chr(10) ORDER BY r) AS past FROM (SELECT q.log_id, CASE q.k % 2 WHEN 0 THEN 'injection attack' ELSE 'performance issue' END AS attack_type, p.path AS content, row_number() OVER (PARTITION BY q.log_id ORDER BY q.log_id - p.log_id) AS r
+   FROM req q JOIN req p ON p.log_id BETWEEN q.log_id - 3 AND q.log_id - 1 WHERE q.status = 500) WHERE r <= 2 GROUP BY ALL)""")
+ + f"SELECT log_id, attack_type, 'Log ' || log_id || ': ' || path || ' [' || attack_type || '] past: ' || coalesce(past, 'none') AS prompt FROM req CROSS JOIN (SELECT unnest({_TYPES}) AS attack_type) LEFT JOIN past USING (log_id, attack_type) WHERE status = 500")
 def prompts(spark, d):
     t = R.attack_type_table(spark).select("attack_type", F.concat(F.lit("Log {log_id}: {log} ["), "attack_type", F.lit("] past: {history}")).alias("template"))
-    logs = V.requests(spark, d).filter("status = 500").selectExpr("log_id", "path AS log_text")
-    past = logs.limit(0).select("log_id", F.lit("").alias("attack_type"), F.lit("").alias("content"), F.lit(0).alias("rank"))
-    return R.prompt_table(logs, t, past)
+    r = V.requests(spark, d)
+    logs = r.filter("status = 500")
+    kind = F.when(F.col("k") % 2 == 0, "injection attack").otherwise("performance issue")
+    asked = logs.select("log_id", kind.alias("attack_type"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("rank"))
+    past = asked.join(r.select(F.col("log_id").alias("_p"), F.col("path").alias("content")), F.col("log_id") - F.col("rank") == F.col("_p")).drop("_p")
+    return R.prompt_table(logs.selectExpr("log_id", "path AS log_text"), t, past)
 
 
 _REPLY = "'Number|Type' || chr(10) || CASE k % 5 WHEN 0 THEN log_id || '|normal' WHEN 1 THEN (log_id + 3) || '|anomaly|xss|1.7|bad tag' WHEN 2 THEN (log_id + 500) || '|Anomaly|leak' WHEN 3 THEN 'found|injection attack here' ELSE 'no bar here' END"
@@ -271,7 +282,11 @@ def fuzzy(spark, d):
     return G.fuzzy_find(_graph(spark, d)[0], "NATION_1")
 
 
-@query("g05_shortest_path")
+_WALK = """bth AS (SELECT src, dst FROM edg WHERE type = 'in_region' UNION SELECT dst, src FROM edg WHERE type = 'in_region'),
+ wlk AS (SELECT 'n1' AS id, ['n1'] AS path UNION ALL SELECT dst, list_append(path, dst) FROM wlk JOIN bth ON src = id WHERE NOT list_contains(path, dst) AND len(path) <= 10)"""
+
+
+@query("g05_shortest_path", V.with_(_GRAPH, _WALK).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT (len(path) - 1)::INT AS length, array_to_string(path, '>') AS path FROM wlk WHERE id = 'n6' ORDER BY 1, 2 LIMIT 1")
 def path(spark, d):
     nodes, parts = _graph(spark, d)
     return G.shortest_path(G.build_edges(parts, nodes), "n1", "n6")
@@ -396,7 +411,8 @@ def stream_sessions(spark, d):
     return _run(spark, X.sessions(_stream(spark, d), f"{V.GAP} seconds"))
 
 
-@query("x03_stream_peak_rate")
+@query("x03_stream_peak_rate", V.with_(V.REQ) + """SELECT source_ip, start, count(*) AS n FROM (SELECT source_ip, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM req)
+ WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM req) GROUP BY ALL""")
 def stream_peaks(spark, d):
     return _run(spark, X.peak_rate(_stream(spark, d), "1 hour", "30 minutes"))
 
@@ -419,18 +435,27 @@ def stream_upsert(spark, d):
     s = s.selectExpr(*V._columns({c: V.INCIDENT[c] for c in ("id", "detected_at", "severity")}, V._SPARK_K))
     folder = new_path(spark, "stream-incidents")
     X.upsert_incidents(s, folder, new_path(spark, "stream-checkpoint")).awaitTermination()
-    return spark.read.parquet(f"{folder}/v0")
+    return X.latest_version(spark, folder)
+
+
+_RECORD = {"is_hit": "{k} >= 90", "api_endpoint": "event_type", "id": "event_id", "ts": "cast(ts AS timestamp)", "anomaly_count": "user_id % 4", "errors": "user_id % 2", "avg_rt": "value"}
+_LIVE = f"""rec AS (SELECT {', '.join(V._columns(_RECORD, V._DUCK_K))} FROM events), seq AS (SELECT *, row_number() OVER w AS rn, avg(CASE WHEN avg_rt > 0 THEN avg_rt END) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS base,
+   count(*) FILTER (is_hit) OVER (PARTITION BY api_endpoint ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS hits FROM rec WINDOW w AS (PARTITION BY api_endpoint ORDER BY ts, id)),
+ raw AS (SELECT *, 1e0 - (0.7e0 * anomaly_count / 10 + 0.4e0 * errors / 10) - CASE WHEN avg_rt > 0 AND avg_rt / base > 1.5 THEN least((avg_rt / base - 1.5e0) * 0.15e0, 0.2e0) ELSE 0e0 END - least(hits * 0.01e0, 0.3e0) AS s FROM seq),
+ liv(api_endpoint, rn, id, health_score) AS (SELECT api_endpoint, rn, id, greatest(0e0, least(1e0, s)) FROM raw WHERE rn = 1
+   UNION ALL SELECT raw.api_endpoint, raw.rn, raw.id, greatest(0e0, least(1e0, raw.s - CASE WHEN liv.health_score < 0.8 THEN 0.1e0 ELSE 0e0 END)) FROM liv JOIN raw ON raw.api_endpoint = liv.api_endpoint AND raw.rn = liv.rn + 1)"""
 
 
-@query("x05_stream_health")
+@query("x05_stream_health", V.with_(_LIVE).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT api_endpoint, id, round(health_score, 6) AS health_score, CASE WHEN health_score >= 0.8 THEN 'normal' WHEN health_score >= 0.5 THEN 'degraded' ELSE 'critical' END AS status FROM liv")
 def stream_health(spark, d):
     raw = V.table(spark, d, "events")
     s = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet*").parquet(d)
-    s = s.selectExpr("event_type AS api_endpoint", "event_id AS id", "cast(ts AS timestamp) AS ts", "10L AS total_requests", "user_id % 4 AS anomaly_count", "user_id % 2 AS errors", "value AS avg_rt")
+    s = s.selectExpr(*V._columns(_RECORD, V._SPARK_K), "10L AS total_requests")
+    s = s.withColumn("is_incident", F.explode(F.when(F.col("is_hit"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
     key = "spark.sql.streaming.stateStore.providerClass"
     old = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return _run(spark, X.health(s))
+        return _run(spark, X.health(s)).withColumn("health_score", F.round("health_score", 6))
     finally:
         spark.conf.set(key, old)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from typing import Any
 
@@ -40,9 +41,13 @@ def peak_rate(stream: DataFrame, size: str = "5 seconds", slide: str = "1 second
 
 
 def mass_attacks(stream: DataFrame, least: int = 3, size: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
-    """Windows in which more than ``least`` endpoints were hit."""
-    g = stream.withWatermark("ts", lateness).groupBy(F.window("ts", size).alias("w")).agg(F.collect_set("path").alias("p"))
-    return g.select(F.col("w.start").alias("minute"), F.size("p").alias("endpoints")).filter(F.col("endpoints") > least)
+    """Windows in which more than ``least`` endpoints were hit.
+
+    Two aggregations: the state holds a row for each endpoint of an open window, spread by both, and no sets.
+    """
+    hit = stream.withWatermark("ts", lateness).groupBy(F.window("ts", size).alias("w"), "path").agg(F.count(F.lit(1)).alias("n"))
+    g = hit.groupBy(F.window(F.window_time("w"), size).alias("v")).agg(F.count(F.lit(1)).alias("endpoints"))
+    return g.select(F.col("v.start").alias("minute"), F.col("endpoints").cast("int").alias("endpoints")).filter(F.col("endpoints") > least)
 
 
 def without_repeats(stream: DataFrame, key: str = "log_id", lateness: str = "10 minutes") -> DataFrame:
@@ -50,28 +55,37 @@ def without_repeats(stream: DataFrame, key: str = "log_id", lateness: str = "10
 
 
 class HealthState(StatefulProcessor):
-    """Per endpoint: the previous status and the last ten response times, in event-time order within a batch."""
+    """Per endpoint: the previous status, the last ten response times and the last day's incidents, in event-time order within a batch."""
+
+    DAY = 86_400_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("health", "status string, times array<double>")
+        self.state = handle.getValueState("health", "status string, times array<double>, hits array<long>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = self.state.get()
-        status, times = (held[0], list(held[1])) if held else ("normal", [])
-        batch = pd.concat(list(rows)).sort_values(["ts", "id"])
+        status, times, hits = (held[0], list(held[1]), deque(held[2])) if held else ("normal", [], deque())
+        batch = pd.concat(list(rows))
+        batch = batch.assign(late=~batch["is_incident"].astype(bool)).sort_values(["us", "late", "id"])
         out = []
         for r in batch.itertuples():
+            while hits and hits[0] < r.us - self.DAY:
+                hits.popleft()
+            if r.is_incident:
+                hits.append(r.us)
+                continue
             s, n = 1.0, max(r.total_requests, 1)
             if r.total_requests > 0:
                 s -= 2 * WEIGHTS["anomaly_rate"] * r.anomaly_count / n + 2 * WEIGHTS["error_rate"] * r.errors / n
             past = [t for t in times if t > 0]
             if r.avg_rt > 0 and past and r.avg_rt / (sum(past) / len(past)) > 1.5:
                 s -= min((r.avg_rt / (sum(past) / len(past)) - 1.5) * WEIGHTS["response_time"], 0.2)
+            s -= min(len(hits) * WEIGHTS["incident_frequency"] * 0.05, 0.3)
             s = max(0.0, min(1.0, s - (WEIGHTS["recency"] if status != "normal" else 0)))
             status = "normal" if s >= 0.8 else "degraded" if s >= 0.5 else "critical"
             times = [*times, float(r.avg_rt)][-10:]
             out.append((key[0], r.id, s, status))
-        self.state.update((status, times))
+        self.state.update((status, times, list(hits)))
         yield pd.DataFrame(out, columns=["api_endpoint", "id", "health_score", "status"])
 
     def close(self) -> None:
@@ -79,8 +93,15 @@ class HealthState(StatefulProcessor):
 
 
 def health(stream: DataFrame) -> DataFrame:
-    """Score and status of every record, given its endpoint's history; needs the RocksDB state store."""
-    return stream.groupBy("api_endpoint").transformWithStateInPandas(HealthState(), "api_endpoint string, id long, health_score double, status string", "Append", "None")
+    """Score and status of every record, given its endpoint's history; needs the RocksDB state store.
+
+    ``stream``: api_endpoint, id, ts, total_requests, anomaly_count, errors, avg_rt and maybe ``is_incident``; rows where that is
+    true are no records but count for those of the next 24 hours. A micro-batch's rows of an endpoint are held in
+    one task: bound the batches with ``files_per_trigger``.
+    """
+    x = stream.withColumn("is_incident", F.coalesce("is_incident", F.lit(False)) if "is_incident" in stream.columns else F.lit(False))
+    x = x.select("api_endpoint", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total_requests", "anomaly_count", "errors")), F.coalesce("avg_rt", F.lit(0.0)).alias("avg_rt"), "is_incident")
+    return x.groupBy("api_endpoint").transformWithStateInPandas(HealthState(), "api_endpoint string, id long, health_score double, status string", "Append", "None")
 
 
 def upsert_incidents(stream: DataFrame, folder: str, checkpoint: str, keep: int = 1000):
@@ -93,9 +114,17 @@ def upsert_incidents(stream: DataFrame, folder: str, checkpoint: str, keep: int
         old = spark.read.parquet(f"{folder}/v{epoch - 1}") if epoch else batch.limit(0)
         merge_incidents(batch, old, keep).write.mode("overwrite").parquet(f"{folder}/v{epoch}")
 
+    # the newest version is the one with the highest number: see ``latest_version``
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_version(spark: SparkSession, folder: str) -> DataFrame:
+    """The table as the last micro-batch left it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    return spark.read.parquet(f"{folder}/v{max(int(n[1:]) for n in names if n[1:].isdigit())}")
+
+
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, into Parquet, and read that."""
     q = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
