@@ -12,10 +12,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; where that is unset (tests), one temporary folder a process."""
+    """Folder named by ``spark.checkpoint.dir``; where that is unset and all runs on this machine (tests), one temporary folder a process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-wardline-", dir="/tmp")
     return _own["dir"]
