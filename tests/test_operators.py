@@ -223,3 +223,19 @@ def test_knn_join_in_chunks_equals_brute_force(spark, chunk):
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     want = {(q, int(b) + 50, k + 1) for q in range(50) for k, b in enumerate(np.argsort(-(u[50:] @ u[q]))[:3])}
     assert {(r.query_id, r.base_id, r["rank"]) for r in out.collect()} == want
+
+
+def test_anchored_windows_of_a_log_without_gaps(spark):
+    rng = random.Random(2)
+    times, t = [], 1_700_000_000_000_000
+    for k in range(3000):
+        t += rng.choice([0, 1, 300_000, 1_000_000, 1_200_000, 4_999_999, 5_000_000, 5_000_001] if k % 700 else [60_000_000])
+        times.append(t)
+    want, start = [], None
+    for x in times:
+        start = x if start is None or x - start > 5_000_000 else start
+        want.append(start)
+    d = spark.createDataFrame(list(enumerate(times)), "log_id long, us long").selectExpr("log_id", "timestamp_micros(us) AS ts")
+    for cell in (1, 3, 720):
+        assert [r.win for r in C.anchored_windows(d, 5, cell).orderBy("log_id").collect()] == want
+    assert C.anchored_windows(d.limit(0)).count() == 0

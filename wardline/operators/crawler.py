@@ -22,36 +22,52 @@ def grid_windows(records: DataFrame, seconds: int = 5) -> DataFrame:
     return records.withColumn("win", F.floor(F.unix_micros("ts") / (seconds * 1_000_000)).cast("long"))
 
 
-def anchored_windows(records: DataFrame, seconds: float = 5) -> DataFrame:
+def anchored_windows(records: DataFrame, seconds: float = 5, cell: int = 720) -> DataFrame:
     """Add ``win``: windows that start at the first event after the last one closed, and close ``seconds`` later.
 
-    A gap longer than ``seconds`` always starts a window, so the log is cut into islands at such gaps and each island
-    is folded by itself. Islands are found in two levels (days, then the log), not in one global window. A log
-    without gaps is one island; use ``grid_windows`` there.
+    Where a window starts depends on all before it, so the log is cut into cells of ``cell`` window lengths, each
+    folded by itself for every start it may be entered with. Starts soon fall together, so what a cell does to the start it
+    is given is a table of a few rows; these tables, a few rows a cell whatever the number of events, are chained
+    in one task, and each cell then gets its windows from the start it was really entered with.
     """
-    rows = records.filter("ts is not null").withColumns({"_us": F.unix_micros("ts"), "_day": F.floor(F.unix_micros("ts") / 86_400_000_000)})
-    w = Window.partitionBy("_day").orderBy("_us")
-    times = rows.select("_day", "_us").distinct()
-    days = times.groupBy("_day").agg(F.max("_us").alias("last"))
-    before = days.withColumn("_before", F.max("last").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))).select("_day", "_before")
-    cuts = times.join(F.broadcast(before), "_day").withColumn("_prev", F.coalesce(F.lag("_us").over(w), "_before"))
-    cuts = cuts.withColumn("_cut", F.when(F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") > seconds * 1e6), F.col("_us")))
-    heads = cuts.withColumn("_head", F.max("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    per_day = heads.groupBy("_day").agg(F.max("_cut").alias("head"))
-    carried = per_day.withColumn("_carry", F.max("head").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))).select("_day", "_carry")
-    islands = heads.join(F.broadcast(carried), "_day").select("_us", F.coalesce("_head", "_carry").alias("island"))
+    size = int(seconds * 1e6)
+    rows = records.filter("ts is not null").withColumn("_us", F.unix_micros("ts"))
+    times = rows.select("_us").distinct().withColumn("cell", F.floor(F.col("_us") / (size * cell)).cast("long"))
+
+    def ways(g: pd.DataFrame) -> pd.DataFrame:
+        us, c = np.sort(g["_us"].to_numpy()), int(g["cell"].iloc[0])
+        after = np.searchsorted(us, us + size, side="right")
+        last = np.where(after < len(us), after, np.arange(len(us)))
+        while (last[last] != last).any():
+            last = last[last]
+        first = last[: np.searchsorted(us, c * size * cell + size) + 1]  # the events a window from before may run up to
+        ends = np.flatnonzero(np.r_[first[1:] != first[:-1], True])
+        return pd.DataFrame({"cell": c, "upto": us[ends], "leave": us[first[ends]]})
+
+    def chain(g: pd.DataFrame) -> pd.DataFrame:
+        start, cells, starts = np.iinfo(np.int64).min // 2, [], []
+        for c, own in g.sort_values(["cell", "upto"]).groupby("cell"):
+            cells.append(c)
+            starts.append(start)
+            k = int(np.searchsorted(own["upto"].to_numpy(), start + size, side="right"))
+            start = int(own["leave"].iloc[k]) if k < len(own) else start
+        return pd.DataFrame({"cell": cells, "before": starts})
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(g["_us"].to_numpy())
-        out, start = np.empty(len(us), dtype=np.int64), us[0]
-        for i, t in enumerate(us):
-            if t - start > seconds * 1e6:
-                start = t
-            out[i] = start
-        return pd.DataFrame({"_us": us, "win": out})
-
-    wins = islands.groupBy("island").applyInPandas(fold, "_us long, win long")
-    return rows.join(wins, "_us").drop("_us", "_day")
+        us, start = np.sort(g["_us"].to_numpy()), int(g["before"].iloc[0])
+        at, cuts, wins = 0, [], []
+        while at < len(us):
+            to = int(np.searchsorted(us, start + size, side="right"))
+            cuts.append(to - at)
+            wins.append(start)
+            at = to
+            start = int(us[to]) if to < len(us) else start
+        return pd.DataFrame({"_us": us, "win": np.repeat(np.array(wins, dtype=np.int64), cuts)})
+
+    table = materialise(times.groupBy("cell").applyInPandas(ways, "cell long, upto long, leave long"), "window-ways")
+    before = table.groupBy(F.lit(0).alias("_all")).applyInPandas(chain, "cell long, before long")
+    wins = times.join(before, "cell").groupBy("cell").applyInPandas(fold, "_us long, win long")
+    return rows.join(wins, "_us").drop("_us")
 
 
 # ---- co-access
