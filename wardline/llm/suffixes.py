@@ -276,7 +276,9 @@ def removal(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int =
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removal(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    """The digests, and the remaining ``text`` (a character cut in two shows as a replacement character)."""
+    out = removal(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
