@@ -6,9 +6,9 @@ The lines are then aligned, by longest common subsequence, with those of the pag
 the same host, and shared lines, which the host's template brings, are deleted.
 
 If the page marks its content with <article> or <main>, its text is the lines there, and they are aligned with the lines
-that the neighbour marks. Articles on one host share quotations and whole copies, so a neighbour with which a page
-shares more than half its lines is passed over as a copy, and a shared line goes only if it is in ``LEAST_PAGES``
-or more different pages of the host.
+that the neighbour marks. Articles on one host share headlines, quotations and whole copies, so a neighbour with which a page
+shares more than half its lines is passed over as a copy, and a shared line is the template's only if it is in half or
+more of the host's different pages, and in ``LEAST_PAGES`` or more.
 
 Equal line lists of a host are one page. The different pages get their places in the order of host and path, and blocks
 of neighbouring places are worked on with the rows beside them, so that neither a partition's nor a batch's border hides a neighbour.
@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 
 from wardline.storage import materialise
 
-NEIGHBOURS, LEAST_PAGES, SALTS = 4, 3, 64
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
+NEIGHBOURS, LEAST_PAGES, LEAST_SHARE, SALTS = 4, 3, 0.5, 64
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "select", "title", "xmp"}
 _BLOCKS = set(
@@ -68,13 +70,36 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of each tag, comment and declaration, the latter two without a name.
+
+    The caller may send a place to go on from. An unclosed comment reaches to the end; what no ``>`` follows is text. If a
+    tag's quotes swallow the rest of the page, it ends at its first ``>``, and quotes aren't heeded from there on, so that
+    the time stays in proportion to the page.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    while m := _OPEN.search(page, at, last + 1):
+        name = m[2] or ""
+        if not name:
+            close = page.find("-->", m.start() + 2) + 2 if m[0] == "<!--" else page.find(">", m.end())
+            end = close + 1 if close >= m.end() or m[0] != "<!--" else len(page)
+        else:
+            close = _QUOTED.match(page, m.end(), last + 1) if quotes else None
+            quotes = bool(close)
+            end = close.end() if close else page.find(">", m.end()) + 1
+        to = yield m.start(), end, m[1] or "", name.lower(), page[m.end() : end - 1] if name else ""
+        at = end if to is None else to
+        if to is not None:
+            yield 0, 0, "", "", ""
+
+
 def marked_lines(page: str) -> list[tuple[str, bool]]:
     """Lines that aren't plainly no content, each with whether it stands in <article> or <main>."""
     lines: list[tuple[str, bool]] = []
     piece: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # of elements other than inline ones: tag, unwanted, content
-    bad = inside = 0
-    at, end = 0, len(page)
+    held: Counter[str] = Counter()  # tags on the stack
+    bad = inside = at = 0
 
     def flush() -> None:
         if piece:
@@ -83,23 +108,25 @@ def marked_lines(page: str) -> list[tuple[str, bool]]:
             if text:
                 lines.append((text, inside > 0))
 
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            if not bad:
-                piece.append(page[at:])
-            break
-        if m.start() > at and not bad:
-            piece.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+    def drop(k: int) -> tuple[int, int]:
+        """Take the elements from place k off the stack: how many of them are unwanted, and content."""
+        gone = stack[k:]
+        del stack[k:]
+        held.subtract(t for t, _, _ in gone)
+        return sum(b for _, b, _ in gone), sum(c for _, _, c in gone)
+
+    tags = _tags(page)
+    for start, end, slash, tag, attributes in tags:
+        if start > at and not bad:
+            piece.append(page[at:start])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
-        if tag in _RAW and not m[1]:
-            if not m[3].endswith("/"):
+        if tag in _RAW and not slash:
+            if not attributes.endswith("/"):
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+                at = close.end() if close else len(page)
+                tags.send(at)
             continue
         if tag in _BLOCKS and not bad:
             flush()
@@ -107,25 +134,27 @@ def marked_lines(page: str) -> list[tuple[str, bool]]:
             piece.append(" ")
         if tag in _VOID:
             continue
-        if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None and (tag in _BLOCKS or k == len(stack) - 1 or all(s[0] not in _BLOCKS for s in stack[k + 1 :])):
-                for _, was_bad, was_in in stack[k:]:
-                    bad -= was_bad
-                    inside -= was_in
-                del stack[k:]
+        if slash:
+            k = len(stack) - 1 if held[tag] else -1
+            while k >= 0 and stack[k][0] != tag and (tag in _BLOCKS or stack[k][0] not in _BLOCKS):
+                k -= 1
+            if k >= 0 and stack[k][0] == tag:
+                was_bad, was_in = drop(k)
+                bad, inside = bad - was_bad, inside - was_in
             continue
-        unwanted = _unwanted(tag, m[3], inside > 0)
+        unwanted = _unwanted(tag, attributes, inside > 0)
         if tag not in _BLOCKS and not unwanted:
             continue
         if stack and stack[-1][0] in _IMPLIED.get(tag, ()):
-            _, was_bad, was_in = stack.pop()
-            bad -= was_bad
-            inside -= was_in
+            was_bad, was_in = drop(len(stack) - 1)
+            bad, inside = bad - was_bad, inside - was_in
         content = tag in _CONTENT
         stack.append((tag, unwanted, content))
+        held[tag] += 1
         bad += unwanted
         inside += content
+    if not bad:
+        piece.append(page[at:])
     flush()
     return lines
 
@@ -137,26 +166,59 @@ def text_lines(page: str) -> tuple[list[str], bool, list[str]]:
     return (declared, True, every) if declared else (every, False, every)
 
 
-def shared_lines(a: list, b: list) -> set[int]:
-    """Places in ``a`` of a longest common subsequence of ``a`` and ``b`` (Hunt and Szymanski's method)."""
+def _rows(a: list, b: list) -> Iterator[int]:
+    """After each line of ``a``, the bits of ``b``'s places that do not lengthen the longest common subsequence."""
     places: dict = {}
     for j, x in enumerate(b):
-        places.setdefault(x, []).append(j)
-    ends: list[int] = []
-    links: list = []
-    for i, x in enumerate(a):
-        for j in reversed(places.get(x, ())):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            elif j < ends[k]:
-                ends[k], links[k] = j, link
-    out, link = set(), links[-1] if links else None
-    while link:
-        out.add(link[0])
-        link = link[1]
+        places[x] = places.get(x, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    v = every
+    for x in a:
+        u = v & places.get(x, 0)
+        v = (v + u | v - u) & every
+        yield v
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` and each prefix of ``b``."""
+    v = (1 << len(b)) - 1
+    for v in _rows(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(bits == 0)]
+
+
+def shared_lines(a: list, b: list, most_bits: int = 1 << 28) -> set[int]:
+    """Places in ``a`` of a longest common subsequence of ``a`` and ``b``.
+
+    A row of the comparison is one whole number with a bit for every line of ``b``; if all rows together have more
+    than ``most_bits``, ``a`` is halved and ``b`` cut where the halves' lengths add up to most.
+    """
+    lo, n, m = 0, len(a), len(b)
+    while lo < min(n, m) and a[lo] == b[lo]:
+        lo += 1
+    while lo < min(n, m) and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    out = {*range(lo), *range(n, len(a))}
+    x, y = a[lo:n], b[lo:m]
+    if not x or not y:
+        return out
+    if len(x) > 1 and len(x) * len(y) > most_bits:
+        half = len(x) // 2
+        total = _lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]
+        cut = int(total.argmax())
+        own = shared_lines(x[:half], y[:cut], most_bits) | {half + i for i in shared_lines(x[half:], y[cut:], most_bits)}
+        return out | {lo + i for i in own}
+    rows = list(_rows(x, y))
+    i, j = len(x), len(y)
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> j - 1 & 1:
+            j -= 1
+            out.add(lo + i)
     return out
 
 
@@ -230,7 +292,7 @@ def _shared(distinct: DataFrame, neighbours: int) -> DataFrame:
     return rows.mapInPandas(walk, "host string, same long, salts array<int>, declared boolean, gone array<int>, lines array<long>")
 
 
-def main_text(pages: DataFrame, neighbours: int = NEIGHBOURS, least_pages: int = LEAST_PAGES) -> DataFrame:
+def main_text(pages: DataFrame, neighbours: int = NEIGHBOURS, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page; ``pages``: page_id, url, html and maybe more columns, which are ignored.
 
     Null and empty pages have an empty text. A null URL counts as a host and a path of its own kind. A page
@@ -256,6 +318,8 @@ def main_text(pages: DataFrame, neighbours: int = NEIGHBOURS, least_pages: int =
     spread = 16
     marked = F.filter("hashes", lambda x, i: F.get(F.col("marks"), i))
     counts = distinct.select("host", F.explode(F.array_distinct(marked)).alias("line")).groupBy("host", "line").count().filter(F.col("count") >= least_pages)
+    hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.join(hosts, "host").filter(F.col("count") >= F.col("n") * least_share)
     counts = counts.select("host", "line", F.explode(F.array(*map(F.lit, range(spread)))).alias("s"))
     maybe = shared.filter("declared").select("host", "same", "salts", F.explode(F.arrays_zip("gone", "lines")).alias("x"))
     maybe = maybe.select("host", "same", "salts", F.col("x.gone").alias("k"), F.col("x.lines").alias("line"), F.pmod(F.xxhash64("same"), F.lit(spread)).cast("int").alias("s"))
