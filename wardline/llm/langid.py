@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm.batches import in_fold, in_sample, runs, text_bytes
 
-ORDER, TRAIN_DOCS, MAX_LANGS, UNKNOWN = 4, 300, 200, "und"
+ORDER, TRAIN_DOCS, UNKNOWN = 4, 300, "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -142,13 +142,15 @@ class ContextTrees:
         return total
 
 
-def sample_texts(docs: DataFrame, label: str, per_label: int, max_labels: int = MAX_LANGS) -> dict[str, list[str]]:
-    """At most ``per_label`` whole texts of each of the ``max_labels`` most frequent labels, chosen by a hash of doc_id."""
-    n = docs.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
+def sample_texts(docs: DataFrame, label: str, per_label: int, max_labels: int | None = None) -> dict[str, list[str]]:
+    """At most ``per_label`` whole texts of each label, chosen by a hash of doc_id; of all labels unless ``max_labels`` keeps the most frequent."""
+    n = docs.groupBy(label).count().orderBy(F.desc("count"), label)
+    n = (n.limit(max_labels) if max_labels else n).collect()
     if not n:
         return {}
     share = F.coalesce(*(F.when(F.col(label) == r[0], F.lit(min(1.0, (per_label + 3 * per_label**0.5) / r["count"]))) for r in n), F.lit(0.0))
-    rows = docs.filter(in_sample("doc_id", share)).select(label, "text", F.xxhash64("doc_id").alias("h")).limit(2 * per_label * len(n)).collect()
+    h = F.xxhash64("doc_id").alias("h")
+    rows = docs.filter(in_sample("doc_id", share)).select(label, "text", h).orderBy("h", label, "text").limit(2 * per_label * len(n)).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["h"], r["text"])):
         if len(out.setdefault(r[0], [])) < per_label:

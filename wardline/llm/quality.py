@@ -2,25 +2,30 @@
 
 Every line is good or bad. A line's evidence is a linear function of its own features (shares of letter cases,
 digits and every punctuation mark, repeated words, word and line length) and of those of the lines before and after it; a
-2 x 2 table scores neighbouring labels. Lines of a labelled document take its label in training. A document's
+2 x 2 table scores neighbouring labels. In training a line takes its document's label; some further chains are spliced, the
+first half of a good document's lines with the second half of a bad one's or the other way round, so that the table also
+learns where labels change. A document's
 score is the mean of its lines' forward-backward marginals, weighted by length.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.batches import in_fold, in_sample, runs, text_bytes
+from wardline.llm.batches import in_fold, in_sample, runs, runs_of, text_bytes
 
-TRAIN_DOCS = 3000
+TRAIN_DOCS, TRAIN_BYTES = 3000, 16 << 20  # bounds of the sample the field is fitted on
+RUN_BYTES = 1 << 19  # texts whose features are made at once: these are a hundred times as large
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-_KIND = np.full(256, 4, dtype=np.int64)  # 0 lower, 1 upper, 2 digit, 3 white space, 4 other, then each mark
+_KIND = np.full(256, 4, dtype=np.int32)  # 0 lower, 1 upper, 2 digit, 3 white space, 4 other, then each mark
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 0, 1, 2
 _KIND[[9, 10, 11, 12, 13, 32]] = 3
 _KIND[list(_MARKS)] = 5 + np.arange(len(_MARKS))
@@ -35,7 +40,8 @@ def _repeats(data: np.ndarray, space: np.ndarray, begins: np.ndarray, of: np.nda
     """Of each line: words that repeat the word before, and distinct words; words are compared by hash."""
     if not len(begins):
         return np.zeros(lines), np.zeros(lines)
-    place = np.arange(len(data)) - np.maximum.accumulate(np.where(np.r_[True, space[:-1]] & ~space, np.arange(len(data)), 0))
+    at = np.arange(len(data), dtype=np.int32)
+    place = at - np.maximum.accumulate(np.where(np.r_[True, space[:-1]] & ~space, at, 0))
     mixed = np.where(space, np.uint64(0), _CODE[data] * _PLACE[np.minimum(place, 63)])
     word = np.add.reduceat(mixed, begins)
     again = np.bincount(of[1:], (word[1:] == word[:-1]) & (of[1:] == of[:-1]), lines)
@@ -52,7 +58,7 @@ def line_features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.r_[0, ends[:-1] + 1]
     length = ends - starts
     doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), starts, side="right")
-    line = np.repeat(np.arange(len(ends)), length + 1)
+    line = np.repeat(np.arange(len(ends), dtype=np.int32), length + 1)
     kind = _KIND[data]
     counts = np.bincount(line * _KINDS + kind, minlength=len(ends) * _KINDS).reshape(-1, _KINDS).astype(np.float32)
     counts[:, 3] -= 1  # the line feed
@@ -112,28 +118,44 @@ class LineField:
         self.weights, self.pair = weights, pair
 
     @classmethod
-    def fit(cls, texts: list, good: list[int], rounds: int = 300, rate: float = 0.08, ridge: float = 1e-5) -> LineField:
-        """Adam on the conditional log-likelihood per line; without both labels a field of zeros (score 0.5)."""
+    def fit(cls, texts: list, good: list[int], rounds: int = 300, spliced: float = 1 / 8, rate: float = 0.08, ridge: float = 1e-5) -> LineField:
+        """Adam on the conditional log-likelihood per line; without both labels a field of zeros (score 0.5).
+
+        ``spliced``: how many chains are spliced of two documents, as a share of the documents.
+        """
         weights, pair = np.zeros(FEATURES), np.zeros((2, 2))
         if len(set(good)) < 2:
             return cls(weights, pair)
-        parts, docs = [], []
-        for i, j in runs(texts, 1 << 19):  # features in short runs: what they need on the way is many times the text
-            features, _, doc = line_features(texts[i:j])
-            parts.append(features)
-            docs.append(doc + i)
-        x, doc = np.concatenate(parts).astype(np.float64), np.concatenate(docs)
-        y = np.array(good, dtype=float)[doc]
+        chains, labels = cls._spliced(texts, good, int(len(texts) * spliced))
+        y = np.concatenate(labels)
+        x, doc, at = np.empty((len(y), FEATURES), dtype=np.float32), np.empty(len(y), dtype=np.int64), 0
+        for i, j in runs(chains, RUN_BYTES):
+            features, _, own = line_features(chains[i:j])
+            x[at : at + len(own)], doc[at : at + len(own)] = features, own + i
+            at += len(own)
         inner = np.flatnonzero(doc[1:] == doc[:-1]) + 1
         told = np.array([[np.sum((y[inner] == b) & (y[inner - 1] == a)) for b in (0, 1)] for a in (0, 1)], dtype=float)
         theta, m, v = np.zeros(FEATURES + 4), 0.0, 0.0
         for k in range(1, rounds + 1):
-            p, joint, _ = forward_backward(x @ theta[:FEATURES], doc, theta[FEATURES:].reshape(2, 2))
-            g = np.r_[x.T @ (y - p), (told - joint).ravel()] / len(y) - ridge * theta
+            p, joint, _ = forward_backward((x @ theta[:FEATURES].astype(np.float32)).astype(float), doc, theta[FEATURES:].reshape(2, 2))
+            g = np.r_[x.T @ (y - p).astype(np.float32), (told - joint).ravel()] / len(y) - ridge * theta
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         return cls(theta[:FEATURES], theta[FEATURES:].reshape(2, 2))
 
+    @staticmethod
+    def _spliced(texts: list, good: list[int], n: int) -> tuple[list, list[np.ndarray]]:
+        """The texts and ``n`` spliced ones, and the labels of their lines."""
+        texts = [t if isinstance(t, str) else "" for t in texts]
+        chains, labels = list(texts), [np.full(t.count("\n") + 1, float(g)) for t, g in zip(texts, good)]
+        rng, of = np.random.default_rng(11), [np.flatnonzero(np.array(good) == g) for g in (0, 1)]
+        for k in range(n):
+            a, b = (texts[rng.choice(of[g])].split("\n") for g in (k % 2, 1 - k % 2))
+            a, b = a[: (len(a) + 1) // 2], b[len(b) // 2 :]
+            chains.append("\n".join([*a, *b]))
+            labels.append(np.r_[np.full(len(a), float(k % 2)), np.full(len(b), float(1 - k % 2))])
+        return chains, labels
+
     def scores(self, texts: list) -> np.ndarray:
         """Length-weighted mean marginal of each text."""
         x, length, doc = line_features(texts)
@@ -142,14 +164,27 @@ class LineField:
         return np.clip(np.bincount(doc, good * length, n) / np.bincount(doc, length, n), 0, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs: int = TRAIN_DOCS) -> LineField:
-    """Fit on a bounded sample, about ``train_docs`` labelled documents chosen by a hash of doc_id (all if there are fewer)."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> LineField:
+    """Fit on a bounded sample: about ``train_docs`` labelled documents chosen by a hash of doc_id (all if there are fewer).
+
+    Their whole texts have at most ``train_bytes`` in all; a document of more than a sixteenth of that isn't learned from.
+    """
     known = labels.filter(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.max(label).alias("good"))
     n = known.count()
     some = known.filter(in_sample("doc_id", min(1.0, train_docs / max(n, 1)))).limit(2 * train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").limit(4 * train_docs).collect()
+    size = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("size")
+    sizes = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(size, F.max("good").alias("good")).collect()
+    chosen, room = {}, train_bytes
+    for r in sorted(sizes, key=lambda r: zlib.crc32(str(r["doc_id"]).encode())):
+        if r["size"] <= min(room, train_bytes // 16):
+            chosen[r["doc_id"]] = int(r["good"])
+            room -= r["size"]
+    if not chosen:
+        return LineField(np.zeros(FEATURES), np.zeros((2, 2)))
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()  # what the sizes above allow
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return LineField.fit([r["text"] for r in rows], [int(r["good"]) for r in rows])
+    return LineField.fit([r["text"] for r in rows], [chosen[r["doc_id"]] for r in rows])
 
 
 def score(docs: DataFrame, model: LineField, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -163,8 +198,9 @@ def score(docs: DataFrame, model: LineField, keep: tuple[str, ...] = ("doc_id",)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(len(names)).to_pylist()
-            parts = [model.scores(texts[i:j]) for i, j in runs(texts)]
+            texts = b.column(len(names))
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            parts = [model.scores(texts.slice(i, j - i).to_pylist()) for i, j in runs_of(sizes, RUN_BYTES)]
             scores = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], scores], [*names, "score"])
 
@@ -182,5 +218,6 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
     """Pipeline stage: documents whose score is at least ``threshold``; learns from the labels of ``sf_dir``."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~in_fold("doc_id", 3, 1)))
-    scored = score(docs, model, tuple(docs.columns)).toDF(*docs.columns, "quality_score_of_stage")
-    return scored.filter(F.col("quality_score_of_stage") >= threshold).drop("quality_score_of_stage")
+    own = next(c for c in ("quality_score", *(f"quality_score_{k}" for k in range(len(docs.columns)))) if c not in {x.lower() for x in docs.columns})
+    scored = score(docs, model, tuple(docs.columns)).toDF(*docs.columns, own)
+    return scored.filter(F.col(own) >= threshold).drop(own)
