@@ -13,7 +13,9 @@ anchors: one *segment* of text, with a hash of its gram (the suffix's sort key)
    segments that occur twice are repeated, and one of each (a repeated passage's edges, mostly) is taken apart into
    blocks of strings counted from the anchor, whose key is what a block's strings share; blocks that match in part
    are taken apart into single strings. Each level goes through the index family in the same way.
-3. A document's repeated segments and strings make intervals; their union is removed.
+3. A document's repeated segments and strings make intervals; their union is removed. With ``keep_first`` the first of
+   a class of equal segments (least doc_id, then place) is no repeat, and as the one that is taken apart it stands
+   for its class on the next level, so that of every string just the first occurrence stays.
 
 All counts are pre-aggregated before they are gathered by key, and the joins end in shuffles on both sides, so that
 a passage shared by a third of all documents is spread. Keys are compared as pairs of 64-bit hashes.
@@ -34,6 +36,7 @@ from wardline.llm.batches import text_bytes
 from wardline.storage import drop_table, materialise, unclustered
 
 LENGTH, GRAM, BATCHES, CHUNK = 400, 128, 8, 1 << 22
+STAGE_LENGTH, STAGE_GRAM = 200, 64  # of the pipeline's stage: a passage of over 50 words is longer, texts of one's own hardly share as much
 _rng = np.random.default_rng(20_240_601)
 _CODE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -205,29 +208,33 @@ def _repeated_grams(suffixes: DataFrame, batches: int) -> DataFrame:
     return arrays.repartition("gram").sortWithinPartitions("batch", "gram").mapInPandas(scan, "gram long, differ boolean")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int = BATCHES, steps: tuple[int, ...] = (16, 1)) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int = BATCHES, steps: tuple[int, ...] = (16, 1), keep_first: bool = False) -> DataFrame:
     """(doc_id, th, start, end): byte intervals whose union holds just the bytes in repeated strings of ``length`` bytes.
 
-    ``docs``: doc_id, text and ``th``, a hash of the text. Rows alike in all three share their intervals.
+    ``docs``: doc_id, text and ``th``, a hash of the text. Rows alike in all three share their intervals. With
+    ``keep_first`` a string's occurrence with the least (doc_id, th, start), null ids first, is no repeat.
     """
     spark, key = docs.sparkSession, ["doc_id", "th"]
     span = lambda df: df.select(*key, F.col("lo").alias("start"), (F.col("lo") + F.col("more") + length).alias("end"))
+    place = F.struct("doc_id", "th", "lo", "more")
     rows = materialise(_rows(docs, lambda data: segments(data, length, k)), "suffixes")
     found = None
     for level, size in enumerate((0, *steps)):
         if level:
-            todo = classes.select("one.*").groupBy(*key).agg(F.collect_list(F.struct("lo", "more")).alias("todo"))  # noqa: F821
+            todo = classes.filter("differ").select("one.*").groupBy(*key).agg(F.collect_list(F.struct("lo", "more")).alias("todo"))  # noqa: F821
             same = [docs[c].eqNullSafe(todo[c]) for c in key]
             some = docs.join(todo, same).select(docs["doc_id"], docs["th"], "text", "todo").dropDuplicates(key)
             cut = lambda data, todo, n=size: np.concatenate([blocks(data, int(x["lo"]), int(x["more"]), n, length, k, steps[0]) for x in todo])
             rows = materialise(_rows(some, cut, "todo"), "suffix-blocks")
         hits = materialise(rows.join(_repeated_grams(rows, batches), "gram"), "suffix-matches")
         drop_table(spark, rows.inputFiles()[0].rsplit("/", 1)[0]) if rows.inputFiles() else None
-        differ = hits.filter("differ")
-        one = F.min(F.struct("doc_id", "th", "lo", "more"))
-        classes = differ.groupBy("gram", "seg").agg(F.count(F.lit(1)).alias("n"), one.alias("one"))
-        many = classes.filter("n > 1").select(unclustered("gram"), "seg")
-        here = span(hits.filter("not differ")).union(span(differ.join(many, ["gram", "seg"])))
+        classed = hits if keep_first else hits.filter("differ")
+        classes = classed.groupBy("gram", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.first("differ").alias("differ"))
+        many = classes.filter("n > 1").select(unclustered("gram"), "seg", "one")
+        if keep_first:
+            here = span(hits.join(many, ["gram", "seg"]).filter(~place.eqNullSafe(F.col("one"))))
+        else:
+            here = span(hits.filter("not differ")).union(span(hits.filter("differ").join(many, ["gram", "seg"])))
         found = here if found is None else found.union(here)
     return found
 
@@ -243,16 +250,16 @@ def union_spans(spans) -> list[tuple[int, int]]:
     return out
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int = BATCHES) -> DataFrame:
+def with_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int = BATCHES, keep_first: bool = False) -> DataFrame:
     """``docs`` with ``_spans``: the intervals of ``repeated_spans`` (null if there are none)."""
     keyed = docs.withColumn("_suffix_id", F.col("doc_id").cast("long")).withColumn("_suffix_th", F.xxhash64(F.coalesce("text", F.lit(""))))
     base = keyed.select(F.col("_suffix_id").alias("doc_id"), F.col("_suffix_th").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(base, length, k, batches).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    spans = repeated_spans(base, length, k, batches, keep_first=keep_first).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     spans = materialise(spans, "suffix-spans").withColumnsRenamed({"doc_id": "_sid", "th": "_sth"})
     return keyed.join(spans, F.col("_suffix_id").eqNullSafe(F.col("_sid")) & (F.col("_suffix_th") == F.col("_sth")), "left").drop("_sid", "_sth", "_suffix_th")
 
 
-def removal(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int = BATCHES) -> DataFrame:
+def removal(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int = BATCHES, keep_first: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every text; ``kept``: the remaining bytes.
 
     A null text is empty; texts shorter than ``length`` lose nothing; rows that repeat each other lose all they
@@ -271,7 +278,7 @@ def removal(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int =
             out.insert(0, "doc_id", b["_suffix_id"].astype("Int64").to_numpy())
             yield out
 
-    cut = with_spans(docs.select("doc_id", "text"), length, k, batches).select("_suffix_id", "text", "_spans")
+    cut = with_spans(docs.select("doc_id", "text"), length, k, batches, keep_first).select("_suffix_id", "text", "_spans")
     return cut.mapInPandas(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
@@ -282,7 +289,10 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without their repeated strings; a character cut in two goes; texts left blank go."""
+    """Pipeline stage: texts without strings of ``STAGE_LENGTH`` bytes that also start earlier; texts left blank go.
+
+    A string's first occurrence stays. A character cut in two goes.
+    """
 
     at = docs.columns.index("text")
 
@@ -297,6 +307,6 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
 
-    out = with_spans(docs).select(*docs.columns, "_spans").mapInArrow(each, docs.schema)
+    out = with_spans(docs, STAGE_LENGTH, STAGE_GRAM, keep_first=True).select(*docs.columns, "_spans").mapInArrow(each, docs.schema)
     out = out.filter((F.length(F.trim("text")) > 0) | F.col("text").isNull())
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
