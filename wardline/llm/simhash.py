@@ -19,11 +19,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.llm.batches import chunk_count, chunk_pairs, groups
 from wardline.operators.components import connected_components
 from wardline.storage import materialise, unclustered
 
 RADIUS, SEED, BUCKET_ROWS = 4, 42, 4096
-NEAR_WORDS, NEAR_JACCARD, PARTS, CLUSTER_ROWS, SPREAD = 5, 0.8, 3, 32, 16
+NEAR_WORDS, NEAR_JACCARD, PARTS, CLUSTER_ROWS, SPREAD, CHUNK_BYTES = 5, 0.8, 3, 32, 16, 8 << 20
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -201,57 +202,81 @@ def _clusters(fp: np.ndarray, n: np.ndarray, radius: int, jaccard: float) -> Ite
         yield members, edges
 
 
-def _walk_buckets(rows: DataFrame, radius: int, jaccard: float, whole: bool) -> DataFrame:
-    """Candidates (a, b) of each bucket of ``rows`` (bucket, node, fp, n, component).
+def _walk_buckets(rows: DataFrame, radius: int, jaccard: float) -> DataFrame:
+    """Candidates (a, b, over) of each bucket of ``rows`` (bucket, node, fp, n).
 
-    All pairs of groups of CLUSTER_ROWS or fewer. Of a larger group a spanning tree, and its rows as (bucket, node, over = true);
-    if ``whole``, all its pairs between different components.
+    All pairs of groups of CLUSTER_ROWS or fewer; of a larger group a spanning tree from its least node (over = true).
     """
 
-    def pairs(node: np.ndarray, fp: np.ndarray, n: np.ndarray, comp: np.ndarray) -> list[tuple[int, int, bool]]:
-        out = []
-        for i, near in _near(fp, n, radius, jaccard):
-            r, c = (near & (comp[i : i + len(near), None] != comp)).nonzero()
-            out += [(a, b, False) for a, b in zip(node[r + i].tolist(), node[c].tolist()) if a < b]
-        return out
-
-    def search(bucket: int, node: np.ndarray, fp: np.ndarray, n: np.ndarray, comp: np.ndarray) -> list[tuple[int, int, bool]]:
-        if len(node) < 2:
-            return []
-        if whole:
-            return pairs(node, fp, n, comp)
-        out = []
+    def search(node: np.ndarray, fp: np.ndarray, n: np.ndarray) -> list[tuple[int, int, bool]]:
+        out, order = [], np.argsort(node)
+        node, fp, n = node[order], fp[order], n[order]
         for members, edges in _clusters(fp, n, radius, jaccard):
-            if len(members) <= CLUSTER_ROWS:
-                out += pairs(node[members], fp[members], n[members], comp[members])
-            else:
-                out += [(int(node[x]), int(node[y]), False) for x, y in edges] + [(bucket, int(node[x]), True) for x in members]
+            if len(members) > CLUSTER_ROWS:
+                out += [(int(node[x]), int(node[y]), True) for x, y in edges]
+                continue
+            own = node[members]
+            for i, near in _near(fp[members], n[members], radius, jaccard):
+                r, c = near.nonzero()
+                out += [(a, b, False) for a, b in zip(own[r + i].tolist(), own[c].tolist()) if a < b]
         return out
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, []
+        out: list[tuple[int, int, bool]] = []
         frame = lambda out: pd.DataFrame(out, columns=["a", "b", "over"]).astype({"a": "int64", "b": "int64", "over": bool})
+        for g in groups(batches, ["bucket"]):
+            if len(g) > 1:
+                out += search(g["node"].to_numpy(), g["fp"].to_numpy().view(np.uint64), g["n"].to_numpy())
+            if len(out) > 50_000:
+                yield frame(out)
+                out = []
+        yield frame(out)
+
+    rows = rows.select("bucket", "node", "fp", "n").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInPandas(walk, "a long, b long, over boolean")
 
-        def flush() -> list[tuple[int, int, bool]]:
-            if not held:
-                return []
-            node, fp, n, comp = (np.concatenate(x) for x in zip(*held))
-            return search(last, node, fp, n, comp)
 
-        for b in batches:
-            out: list[tuple[int, int, bool]] = []
-            key, node, fp, n, comp = (b[c].to_numpy() for c in ("bucket", "node", "fp", "n", "component"))
-            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
-            for i, j in zip(cuts, [*cuts[1:], len(key)]):
-                if int(key[i]) != last:
-                    out += flush()
-                    last, held = int(key[i]), []
-                held.append((node[i:j], fp[i:j].view(np.uint64), n[i:j], comp[i:j]))
-            yield frame(out)
-        yield frame(flush())
-
-    rows = rows.select("bucket", "node", "fp", "n", "component").repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInPandas(walk, "a long, b long, over boolean")
+def _links_between(rows: DataFrame, radius: int, words: int, jaccard: float) -> DataFrame:
+    """Links (a, b) that connect the components inside each group of ``rows`` (grp, node, fp, n, component, text) which similar members connect.
+
+    Chunks of a group meet in pairs, in tasks of their own. A task holds two chunks, compares the fingerprints of all
+    their pairs of different components, verifies texts only where those are near, and returns a forest, so that what leaves it
+    is no more than what came in.
+    """
+    size = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).select(unclustered("grp"), "rows", "bytes")
+    chunks = F.greatest(chunk_count(F.col("rows")), F.ceil(F.col("bytes") / CHUNK_BYTES).cast("int"))
+    keys = ["grp", "a", "b"]
+    met = chunk_pairs(rows.join(size, "grp"), chunks).select(*keys, "part", "node", "fp", "n", "component", "text").repartition(*keys).sortWithinPartitions(*keys, "node")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, keys):
+            node, fp, n, part, text = g["node"].to_numpy(), g["fp"].to_numpy().view(np.uint64), g["n"].to_numpy(), g["part"].to_numpy(), g["text"].to_numpy()
+            _, own = np.unique(g["component"].to_numpy(), return_inverse=True)
+            root = np.arange(own.max() + 1)
+            left, right = (np.arange(len(node)),) * 2 if part[0] == 2 else (np.flatnonzero(part == 0), np.flatnonzero(part == 1))
+            known: dict[int, np.ndarray] = {}
+            out = []
+            for i in left:
+                near = right[(np.bitwise_count(fp[right] ^ fp[i]) <= radius) & (root[own[right]] != root[own[i]])]
+                near = near[np.minimum(n[near], n[i]) >= jaccard * np.maximum(n[near], n[i]) - 1e-9]
+                for j in near.tolist():
+                    if root[own[j]] == root[own[i]]:
+                        continue
+                    for k in (i, j):
+                        if k not in known:
+                            known[k] = np.unique(_shingles(_words(text[k]), words))
+                    if _similar(known[i], known[j], jaccard):
+                        out.append((int(node[i]), int(node[j])))
+                        root[root == root[own[j]]] = root[own[i]]
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return met.mapInPandas(walk, "a long, b long")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, jaccard: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= jaccard * (len(x) + len(y) - both) - 1e-9
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, jaccard: float) -> DataFrame:
@@ -265,8 +290,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, jaccard: float) ->
                 if a not in known:
                     known[a] = np.unique(_shingles(_words(ta), words))
                 x, y = known[a], np.unique(_shingles(_words(tb), words))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= jaccard * (len(x) + len(y) - both) - 1e-9)
+                keep.append(_similar(x, y, jaccard))
             yield b[["a", "b"]][np.array(keep, dtype=bool)]
 
     pairs = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SPREAD)))
@@ -299,26 +323,28 @@ def similar_groups(docs: DataFrame, words: int = NEAR_WORDS, jaccard: float = NE
     reach, bits = parts * (radius + 1) - 1, [list(range(64))[k::parts] for k in range(parts)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     masks = F.array(*[F.lit(signed(m)).cast("long") for own in bits for m in covering_masks(own, radius)])
-    rows = nodes.select("node", "fp", "n", F.col("node").alias("component"), F.posexplode(masks).alias("table", "mask"))
+    rows = nodes.select("node", "fp", "n", F.posexplode(masks).alias("table", "mask"))
     rows = rows.withColumn("bucket", F.xxhash64("table", F.col("fp").bitwiseAND(F.col("mask"))))
-    found = materialise(_walk_buckets(rows, reach, jaccard, False), "near-found")
-    pairs = materialise(found.filter("not over").select("a", "b").distinct(), "near-pairs")
+    found = _walk_buckets(rows, reach, jaccard).groupBy("a", "b").agg(F.bool_or("over").alias("over"))
+    pairs = materialise(found, "near-pairs")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
+    def texts_of(used: DataFrame) -> DataFrame:
+        used = used.join(nodes, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
         same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_text_hash() == F.col("_th"))
-        own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(used, same).groupBy("node").agg(F.first("text").alias("text"))
-        return materialise(own, "near-texts")
+        return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(used, same).groupBy("node").agg(F.first("text").alias("text"))
 
-    edges = materialise(_verified(pairs, texts_of(pairs), words, jaccard), "near-links")
+    texts = materialise(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "near-texts")
+    edges = materialise(_verified(pairs.select("a", "b"), texts, words, jaccard), "near-links")
     comp = materialise(connected_components(edges), "near-components")
-    over = found.filter("over").select(F.col("a").alias("bucket"), F.col("b").alias("node"))
+    over = pairs.filter("over").select("a", "b")
     if not over.isEmpty():
-        # trees may hold failed links where other pairs would hold: pairs between the components so far
-        rows = over.join(nodes.select("node", "fp", "n").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "node")
-        more = _walk_buckets(rows, reach, jaccard, True).select("a", "b").distinct()
-        more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-        edges = edges.union(materialise(_verified(more, texts_of(more), words, jaccard), "near-links"))
+        # pairs of a large group outside its tree may be similar where the tree's are not
+        group = connected_components(over).withColumnRenamed("component", "grp")
+        group = group.join(comp, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("component"))
+        open_ = group.groupBy("grp").agg((F.min("component") != F.max("component")).alias("open")).filter("open").select(unclustered("grp"))
+        group = materialise(group.join(open_, "grp"), "near-groups")
+        rows = group.join(nodes.select("node", "fp", "n"), "node").join(texts, "node")
+        edges = edges.union(materialise(_links_between(rows, reach, words, jaccard), "near-links"))
         comp = materialise(connected_components(edges), "near-components")
     named = nodes.select("node", "first").join(comp, "node", "left")
     return named.groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
