@@ -15,14 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.vectors import matrix, usable
+from wardline.llm.vectors import matrix, scaled, unit, usable
 from wardline.storage import materialise
 
-CURVES, SPANS, DIMS, BITS, ROWS, SALTS = 12, 16, 8, 7, 4096, 64
+CURVES, SPANS, DIMS, BITS, ROWS, ASKED, SALTS = 12, 16, 8, 7, 4096, 4096, 64
 
 
 def hilbert_keys(x: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -60,61 +60,79 @@ def curve_keys(x: np.ndarray, curve: int, dims: int = DIMS, bits: int = BITS) ->
 
 def _with_keys(rows: DataFrame, curves: int) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
+        for batch in batches:
+            for _, b in batch.groupby("dim"):
                 x = matrix(b["embedding"])
                 yield b.assign(keys=list(np.stack([curve_keys(x, c) for c in range(curves)], axis=1)))
 
     return rows.mapInPandas(each, T.StructType([*rows.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))]))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, curves: int = CURVES, spans: int = SPANS, rows: int = ROWS) -> DataFrame:
+def _best(x: np.ndarray, v: np.ndarray, ids: list, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of x, ids, scores) of the ``most`` nearest rows of ``v``; ``ids``: of each row of v, ascending. Ties go to smaller ids.
+
+    Unit vectors only choose whom to score: parallel vectors may differ in their last digits, dot(a, b) / sqrt(dot(a, a) dot(b, b)) does not.
+    """
+    near_x, near_v, size = unit(x), unit(v), (v * v).sum(axis=1)
+    for i in range(0, len(x), 512):
+        near = near_x[i : i + 512] @ near_v.T
+        some = min(most, near.shape[1])
+        least = np.partition(near, near.shape[1] - some, axis=1)[:, near.shape[1] - some]
+        for r in range(len(near)):
+            # all ties of the last one taken, with room for the product's rounding; then the smallest ids of each score
+            cols = np.flatnonzero(near[r] >= least[r] - 1e-9)
+            exact = (v[cols] * x[i + r]).sum(axis=1) / np.sqrt(size[cols] * (x[i + r] * x[i + r]).sum())
+            own = np.concatenate([np.asarray(ids[j], dtype=np.int64) for j in cols])
+            score = np.repeat(exact, [len(ids[j]) for j in cols])
+            order = np.lexsort((own, -score))[:most]
+            yield i + r, own[order], score[order]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, curves: int = CURVES, spans: int = SPANS, rows: int = ROWS, asked_rows: int = ASKED) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found by cosine of each row of ``queries``, itself excepted.
 
     Both tables: (vec_id, embedding); further columns are ignored. Unusable vectors (null, zero, null or non-finite
-    components) take no part, as queries too. Equal vectors are searched once and stand for their k + 1 smallest
-    ids. Ties go to the smaller id. Rows with a null vec_id take no part. Empty tables give an empty table.
+    components) take no part, as queries too, and vectors of different dimensions don't meet. Equal vectors are searched once and
+    stand for their k + 1 smallest ids; equal queries are asked once. Ties go to the smaller id. Rows with a null vec_id take no part.
+    Empty tables give an empty table. A task's group holds about ``rows`` stored vectors and ``asked_rows`` queries.
     """
     good = usable(vectors).filter("vec_id is not null")
-    lists = good.groupBy("embedding", F.pmod("vec_id", F.lit(SALTS)).alias("salt")).agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    nodes = lists.groupBy("embedding").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    lists = good.groupBy("embedding", F.pmod("vec_id", F.lit(SALTS)).alias("salt")).agg(F.first("dim").alias("dim"), F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
+    nodes = lists.groupBy("embedding").agg(F.first("dim").alias("dim"), F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
     base = materialise(_with_keys(nodes, curves), "curve-nodes")
-    asked = materialise(_with_keys(usable(queries).filter("vec_id is not null").select("vec_id", "embedding"), curves), "curve-queries")
-    n = base.count()
+    wanted = usable(queries).filter("vec_id is not null")
+    once = wanted.groupBy("embedding").agg(*(F.first(c).alias(c) for c in ("dim", "h", "g"))).withColumn("q", F.monotonically_increasing_id())
+    asked = materialise(_with_keys(once, curves), "curve-queries")
+
     cuts = base.agg(*[F.percentile_approx(F.col("keys")[c], [j / spans for j in range(1, spans)], 20_000).alias(f"c{c}") for c in range(curves)]).first()
     at = lambda c: F.size(F.filter(F.array(*[F.lit(int(v)) for v in (cuts[c] or [])]).cast("array<long>"), lambda v: v < F.col("keys")[c]))
-    parts = max(1, -(-3 * n // (2 * spans * rows)))  # of each span, so that a task's share of a span stays near ``rows``
-    place = F.array(*[F.struct(F.lit(c).alias("curve"), at(c).alias("span")) for c in range(curves)])
-    stored = base.withColumn("p", F.explode(place)).select("p.curve", "p.span", F.pmod(F.xxhash64("embedding"), F.lit(parts)).cast("int").alias("part"), F.lit(None).cast("long").alias("query_id"), "ids", "embedding")
-    sought = asked.withColumn("p", F.explode(place)).select("vec_id", "embedding", "p.curve", F.explode(F.array(*[F.col("p.span") + F.lit(o) for o in (-1, 0, 1)])).alias("span"))
-    sought = sought.filter((F.col("span") >= 0) & (F.col("span") < spans)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    sought = sought.select("curve", "span", "part", F.col("vec_id").alias("query_id"), F.lit(None).cast("array<long>").alias("ids"), "embedding")
+    place = F.explode(F.array(*[F.struct(F.lit(c).alias("curve"), at(c).alias("span")) for c in range(curves)]))
+    where = ["dim", "curve", "span"]
+    stored = base.withColumn("p", place).select("dim", "p.curve", "p.span", "ids", "embedding")
+    sought = asked.withColumn("p", place).select("dim", "p.curve", F.explode(F.array(*[F.col("p.span") + F.lit(o) for o in (-1, 0, 1)])).alias("span"), "q", "embedding")
+    # into how many parts a span's stored vectors and its queries go: each part meets each
+    parts = lambda df, most, name: df.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    plan = materialise(parts(stored, rows, "n").join(parts(sought, asked_rows, "m"), where), "curve-parts")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stored = stored.join(plan, where).select(*where, F.pmod(F.xxhash64("embedding"), F.col("n")).cast("int").alias("part"), each("m").alias("turn"), F.lit(None).cast("long").alias("q"), "ids", "embedding")
+    sought = sought.join(plan, where).select(*where, each("n").alias("part"), F.pmod(F.xxhash64("q"), F.col("m")).cast("int").alias("turn"), "q", F.lit(None).cast("array<long>").alias("ids"), "embedding")
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
-        ask = g["query_id"].notna().to_numpy()
-        q, ids = g["query_id"][ask].astype("int64").to_numpy(), g["ids"][~ask].tolist()
-        out: list[tuple[int, int, float]] = []
-        if len(q) and len(ids):
-            x, v = matrix(g["embedding"][ask]), matrix(g["embedding"][~ask])
-            for i in range(0, len(q), 512):
-                near = x[i : i + 512] @ v.T
-                some = min(k + 1, near.shape[1])
-                least = np.partition(near, near.shape[1] - some, axis=1)[:, near.shape[1] - some]
-                for r in range(len(near)):
-                    # all ties of the last one taken, with room for the product's rounding; then the smallest ids of each score
-                    cols = np.flatnonzero(near[r] >= least[r] - 1e-9)
-                    exact = (v[cols] * x[i + r]).sum(axis=1)
-                    own = np.concatenate([np.asarray(ids[j], dtype=np.int64) for j in cols])
-                    score = np.repeat(exact, [len(ids[j]) for j in cols])
-                    score, own = score[own != q[i + r]], own[own != q[i + r]]
-                    order = np.lexsort((own, -score))[: k + 1]
-                    out += [(int(q[i + r]), int(u), float(s)) for u, s in zip(own[order], score[order])]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = stored.union(sought).groupBy("curve", "span", "part").applyInPandas(search, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    top = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("t"))
-    return top.select("query_id", F.posexplode("t").alias("r", "x")).select("query_id", (F.col("r") + 1).alias("rank"), "x.vec_id", (-F.col("x.s")).alias("score"))
+        ask = g["q"].notna().to_numpy()
+        q, ids = g["q"][ask].astype("int64").to_numpy(), g["ids"][~ask].tolist()
+        found = [(np.full(len(own), q[r]), own, score) for r, own, score in _best(scaled(g["embedding"][ask]), scaled(g["embedding"][~ask]), ids, k + 1)] if len(q) and len(ids) else []
+        out = [np.concatenate(x) for x in zip(*found)] if found else [[], [], []]
+        return pd.DataFrame(dict(zip(("q", "vec_id", "score"), out))).astype({"q": "int64", "vec_id": "int64", "score": "float64"})
+
+    found = stored.union(sought).groupBy(*where, "part", "turn").applyInPandas(search, "q long, vec_id long, score double")
+    found = found.groupBy("q", "vec_id").agg(F.max("score").alias("score"))
+    order = [F.desc("score"), "vec_id"]
+    top = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(*order))).filter(F.col("r") <= k + 1)
+    top = top.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("t"))
+    top = materialise(asked.select("q", "h", "g").join(top, "q").select("h", "g", "t"), "curve-answers")
+    each_query = wanted.select(F.col("vec_id").alias("query_id"), "h", "g").join(top, ["h", "g"]).dropDuplicates(["query_id", "h", "g"])
+    own = F.slice(F.filter("t", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    return each_query.select("query_id", F.posexplode(own).alias("r", "x")).select("query_id", (F.col("r") + 1).alias("rank"), "x.vec_id", (-F.col("x.s")).alias("score"))
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

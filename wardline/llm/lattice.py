@@ -5,8 +5,9 @@ point of the E8 lattice. A vector is stored in its own cell and also probes the
 it) that it lies closest to. Pairs that meet in a cell are verified by cosine in double precision.
 
 Equal vectors are one node with a count. Cells are walked one at a time and give a spanning forest of their links;
-cells of more than ``chunk`` vectors are cut into chunks whose pairs go to different tasks, so none is skipped.
-Components follow; links are then counted exactly within each component, again in pairs of chunks.
+larger cells are cut into chunks whose pairs go to different tasks, so none is skipped.
+Components follow; links are then counted exactly within each component, again in pairs of chunks. Vectors are only
+compared with vectors of as many components.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.vectors import matrix, usable
+from wardline.llm.batches import CHUNK, chunk_count, chunk_pairs, groups
+from wardline.llm.vectors import is_usable, matrix, usable
 from wardline.operators.components import connected_components
 from wardline.storage import materialise, unclustered
 
-COSINE, TABLES, PROBES, SCALE, CHUNK = 0.95, 8, 6, 8.0, 2048
+COSINE, TABLES, PROBES, SCALE = 0.95, 8, 6, 8.0
 
 
 def _around() -> np.ndarray:
@@ -75,45 +77,16 @@ def cells(x: np.ndarray, table: int, probes: int = PROBES, scale: float = SCALE)
 
 def _cell_rows(nodes: DataFrame, tables: int, probes: int, scale: float) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            x, node = matrix(b["embedding"]), b["node"].to_numpy()
-            for t in range(tables):
-                key = cells(x, t, probes, scale)
-                own = np.zeros(key.shape, dtype=bool)
-                own[:, 0] = True
-                yield pd.DataFrame({"key": key.ravel(), "node": np.repeat(node, key.shape[1]), "own": own.ravel()})
-
-    return nodes.select("node", "embedding").mapInPandas(each, "key long, node long, own boolean")
-
-
-def _chunk_pairs(rows: DataFrame, size: str, chunk: int) -> DataFrame:
-    """Send each row to the pairs (a <= b) of its group's chunks that hold it; ``part``: 0 in a, 1 in b, 2 if a = b."""
-    n = F.ceil(F.col(size) / chunk).cast("int")
-    rows = rows.withColumn("_n", n).withColumn("_c", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    part = F.when(F.col("_c") == F.col("_o"), 2).when(F.col("_c") < F.col("_o"), 0).otherwise(1)
-    return rows.withColumns({"a": F.least("_c", "_o"), "b": F.greatest("_c", "_o"), "part": part}).drop("_n", "_c", "_o")
-
-
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Groups of equal keys of a sorted stream, one at a time."""
-    held, last = [], None
-    for b in batches:
-        if not len(b):
-            continue
-        k = b[keys].to_numpy()
-        cuts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)])
-        for i, j in zip(cuts, [*cuts[1:], len(b)]):
-            this = tuple(k[i])
-            if held and this != last:
-                yield held[0] if len(held) == 1 else pd.concat(held)
-                held = []
-            held.append(b.iloc[i:j])
-            last = this
-    if held:
-        yield pd.concat(held)
+        for batch in batches:
+            for dim, b in batch.groupby("dim"):
+                x, node = matrix(b["embedding"]), b["node"].to_numpy()
+                for t in range(tables):
+                    key = cells(x, t, probes, scale)
+                    own = np.zeros(key.shape, dtype=bool)
+                    own[:, 0] = True
+                    yield pd.DataFrame({"dim": np.int32(dim), "key": key.ravel(), "node": np.repeat(node, key.shape[1]), "own": own.ravel()})
+
+    return nodes.select("node", "dim", "embedding").mapInPandas(each, "dim int, key long, node long, own boolean")
 
 
 def _forest(x: np.ndarray, node: np.ndarray, own: np.ndarray, part: np.ndarray, cosine: float) -> list[tuple[int, int]]:
@@ -132,17 +105,17 @@ def _forest(x: np.ndarray, node: np.ndarray, own: np.ndarray, part: np.ndarray,
 
 
 def links(nodes: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, chunk: int = CHUNK) -> DataFrame:
-    """Verified links (a, b) among distinct vectors (node, embedding), a spanning forest of each cell's."""
+    """Verified links (a, b) among distinct vectors (node, dim, embedding), a spanning forest of each cell's."""
     rows = materialise(_cell_rows(nodes, tables, probes, scale), "lattice-cells")
-    met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any")).filter("n > 1 and any")
-    met = met.select(unclustered("key"), "n")
-    rows = _chunk_pairs(rows.join(met, "key"), "n", chunk)
-    keys = ["key", "a", "b"]
+    met = rows.groupBy("key", "dim").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any")).filter("n > 1 and any")
+    met = met.select(unclustered("key"), "dim", "n")
+    rows = chunk_pairs(rows.join(met, ["key", "dim"]), chunk_count(F.col("n"), chunk=chunk))
+    keys = ["dim", "key", "a", "b"]
     rows = rows.select(*keys, "node", "own", "part").join(nodes.select("node", "embedding"), "node").repartition(*keys).sortWithinPartitions(*keys, "node")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple[int, int]] = []
-        for g in _groups(batches, keys):
+        for g in groups(batches, keys):
             if len(g) > 1:
                 out += _forest(matrix(g["embedding"]), g["node"].to_numpy(), g["own"].to_numpy(), g["part"].to_numpy(), cosine)
             if len(out) > 50_000:
@@ -156,12 +129,12 @@ def links(nodes: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes
 def _degrees(members: DataFrame, cosine: float, chunk: int) -> DataFrame:
     """(node, links): how many vectors of its component each node is linked to, counting copies of the others."""
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select(unclustered("component"), "n")
-    rows = _chunk_pairs(members.join(sizes, "component"), "n", chunk)
+    rows = chunk_pairs(members.join(sizes, "component"), chunk_count(F.col("n"), chunk=chunk))
     keys = ["component", "a", "b"]
     rows = rows.select(*keys, "node", "copies", "part", "embedding").repartition(*keys).sortWithinPartitions(*keys, "node")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, keys):
+        for g in groups(batches, keys):
             x, n, part, node = matrix(g["embedding"]), g["copies"].to_numpy(), g["part"].to_numpy(), g["node"].to_numpy()
             if part[0] == 2:
                 near = x @ x.T >= cosine
@@ -178,21 +151,27 @@ def _degrees(members: DataFrame, cosine: float, chunk: int) -> DataFrame:
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, chunk: int = CHUNK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding); further columns are ignored.
 
-    Null, zero and non-finite vectors have no links and are their own component. Copies are linked to each other
-    whatever their number. A null vec_id has null component and is not kept. An empty table gives an empty table.
+    A row is a vector of its own, whatever its vec_id: rows that share an id or have none are linked like others.
+    ``component_id`` is the least known id of the rows reachable (null if none has one). Null, zero and non-finite
+    vectors have no links and are their own component; vectors of different dimensions aren't linked. Copies are linked to each other
+    whatever their number. A row without an id is not kept. An empty table gives an empty table.
     """
-    good = materialise(usable(vectors).withColumn("h", F.xxhash64("embedding", F.lit(7))), "lattice-vectors")
-    nodes = good.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("h").alias("h")).filter("node is not null")
-    nodes = materialise(nodes, "lattice-nodes")
-    comp = connected_components(materialise(links(nodes, cosine, tables, probes, scale, chunk), "lattice-links"))
+    good = usable(vectors)
+    nodes = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("dim", "h", "g")))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "lattice-nodes")
+    comp = materialise(connected_components(materialise(links(nodes, cosine, tables, probes, scale, chunk), "lattice-links")), "lattice-components")
     members = materialise(nodes.join(comp, "node"), "lattice-members")
-    degree = _degrees(members, cosine, chunk).join(members.select("node", "component"), "node")
-    named = nodes.select("node", "copies", "h").join(materialise(degree, "lattice-degrees"), "node", "left")
-    named = materialise(named.select("h", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "lattice-named")
-    out = good.select("vec_id", "h").join(named, "h").select("vec_id", "n_links", "component_id")
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("_e"))
-    rest = ids.join(good.select(F.col("vec_id").alias("_g")).distinct(), F.col("vec_id").eqNullSafe(F.col("_g")), "left_anti")
-    out = out.union(rest.select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    degree = _degrees(members, cosine, chunk)
+    roots = members.groupBy("component").agg(F.min("least").alias("component_id")).select(unclustered("component"), "component_id")
+    linked = members.select("node", "component").join(roots, "component").join(degree, "node").select("node", "component_id", "links")
+    named = nodes.select("node", "least", "copies", "h", "g").join(materialise(linked, "lattice-degrees"), "node", "left")
+    # a component of one vector and its copies is named by them, a larger one by all its members
+    name = F.when(F.col("links").isNull(), F.col("least")).otherwise(F.col("component_id"))
+    named = materialise(named.select("h", "g", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), name.alias("component_id")), "lattice-named")
+    out = good.join(named, ["h", "g"]).select("vec_id", "n_links", "component_id")
+    own = F.col("vec_id").cast("long")
+    rest = vectors.filter(~is_usable(F.col("embedding"))).select(own.alias("vec_id"), F.lit(0).cast("long").alias("n_links"), own.alias("component_id"))
+    out = out.union(rest)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -1,28 +1,40 @@
-"""What the two vector operators share: usable vectors and collapsed copies."""
+"""What the two vector operators share: usable vectors, and the distinct ones among them."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def is_usable(x: Column) -> Column:
+    """Whether a vector is not null, not zero, and holds no null or non-finite component."""
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return x.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists(x, lambda v: v != 0), F.lit(False))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of vectors that are not null, not zero, and hold no null or non-finite component.
+    """(vec_id, embedding, dim, h, g) of the usable vectors, whatever their number of components.
 
-    Vectors of another dimension than the most frequent one (the larger on ties) count as unusable.
+    ``h`` and ``g`` are independent 64-bit hashes; equal vectors are told by the pair.
     """
-    x = F.col("embedding")
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<float>").alias("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else x.cast("array<double>").alias("embedding"))
-    v = v.filter(F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("embedding", lambda e: e != 0))
-    top = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return v.filter(F.size("embedding") == (top["n"] if top else 0))
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    x = F.col("embedding").cast("array<float>" if single else "array<double>")
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding")).filter(is_usable(F.col("embedding")))
+    return v.withColumns({"dim": F.size("embedding"), "h": F.xxhash64(F.lit(7), "embedding"), "g": F.xxhash64(F.lit(11), "embedding")})
 
 
-def matrix(column: pd.Series) -> np.ndarray:
-    """Rows as unit vectors in double precision, scaled first so that squares neither overflow nor vanish."""
+def scaled(column: pd.Series) -> np.ndarray:
+    """Rows in double precision, times a power of two each, so that squares neither overflow nor vanish and no digit changes."""
     x = np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.zeros((0, 1))
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
+
+
+def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def matrix(column: pd.Series) -> np.ndarray:
+    """Rows as unit vectors in double precision."""
+    return unit(scaled(column))
