@@ -1,14 +1,17 @@
 """The numbered operators against brute force, exact round trips and held-out accuracy, with the odd rows each must take."""
 
+import bisect
 import collections
 import hashlib
 import io
 import random
+import time
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wardline.llm import batches, curves, langid, lattice, mixing, packing, pages, quality, simhash, suffixes, tokens, vectors, warc
 from wardline.storage import new_path
@@ -97,6 +100,29 @@ def test_plan_is_near_the_bound(seed):
     assert len({q + k for _, _, n, q, _ in runs.tolist() for k in range(n)}) <= 1.02 * -(-sizes.sum() // 1024) + 100
 
 
+def fewest_by_best_fit(counts):
+    """Sequences that plain best-fit decreasing needs."""
+    rooms, n = [], 0
+    for size in sorted(counts.elements(), reverse=True):
+        at = bisect.bisect_left(rooms, size)
+        room = rooms.pop(at) if at < len(rooms) else 1024
+        n += room == 1024
+        if room > size:
+            bisect.insort(rooms, room - size)
+    return n
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_no_worse_than_best_fit_decreasing(seed):
+    rng = np.random.default_rng(seed)
+    sizes = np.clip(rng.lognormal(5 + seed / 4, 0.9, 5000).astype(int), 1, 1024)
+    if seed % 2:
+        sizes = np.r_[sizes, np.full(2000, 1024), np.full(700, 341), rng.integers(300, 700, 2000)]
+    counts = collections.Counter(sizes.tolist())
+    runs = packing.plan_runs(counts)
+    assert len({q + k for _, _, n, q, _ in runs.tolist() for k in range(n)}) <= fewest_by_best_fit(counts)
+
+
 # ---- 2 mixing
 
 
@@ -118,6 +144,36 @@ def test_schedule_never_strays_a_block(spark):
     assert n == want
 
 
+@pytest.mark.parametrize("small", [40, 700])
+def test_mix_keeps_to_unrounded_targets(spark, small):
+    """A source of a third of the text, many small ones and a tiny one, at every place of the mix."""
+    rows = [(k, "big", "x" * 1000) for k in range(10 * small // 2)] + [(10_000 + k, f"s{k % small:03}", "y" * 1000) for k in range(10 * small)] + [(50_000, "tiny", "z")]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    shares = mixing.source_shares(d, block_chars=500)
+    target = {r.i: r.target for r in shares.collect()}
+    assert abs(sum(target.values()) - 1) < 1e-9
+    n = collections.Counter()
+    for r in mixing.period_schedule(shares).orderBy("slot").collect():
+        n[r.i] += 1
+        # one block by the schedule, one by whole shares, one for the tiny source, which has a slot though its target is less
+        assert all(abs(n[i] - w * (r.slot + 1)) < 3 for i, w in target.items())
+    out = mixing.mix(d, block_chars=500)
+    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r[0] for r in rows} and out.count() < 2 * len(rows)
+
+
+def test_scarce_sources_repeat_as_often_as_their_weight_asks(spark):
+    d = spark.createDataFrame([(k, "a" if k else "b", "x" * 1000) for k in range(101)], "doc_id long, source string, text string")
+    n = collections.Counter(r.doc_id for r in mixing.mix(d, weights={"b": 0.5}, block_chars=1000).collect())
+    assert 95 <= n[0] <= 110 and set(n) == set(range(101))
+    assert max(collections.Counter(r.doc_id for r in mixing.mix(d, weights={"b": 0.5}, block_chars=1000, max_epochs=4).collect()).values()) == 4
+
+
+def test_too_many_sources_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    with pytest.raises(ValueError):
+        mixing.mix(spark.createDataFrame([(k, f"s{k}", "t") for k in range(3)], "doc_id long, source string, text string"))
+
+
 def test_mixing_odd_rows(spark, odd, empty):
     out = mixing.mix(odd.withColumnRenamed("fp", "mix_slot"), weights={"s1": 0.7})
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in odd.collect()}
@@ -156,6 +212,46 @@ def test_removal_equals_brute_force(spark, length, k):
     assert got == sorted((str(i), *x) for i, x in zip(ids, brute_repeats(texts, length)))
 
 
+def brute_keep_first(texts, ids, n):
+    """What stays of every text if a string goes that starts earlier by (id, place)."""
+    seen, kept = set(), {}
+    for i, t in sorted(zip(ids, texts)):
+        raw = batches.text_bytes(t)
+        gone = np.zeros(len(raw), bool)
+        for k in range(len(raw) - n + 1):
+            s = raw[k : k + n]
+            if s in seen:
+                gone[k : k + n] = True
+            seen.add(s)
+        kept[i] = bytes(np.frombuffer(raw, np.uint8)[~gone])
+    return kept
+
+
+@pytest.mark.parametrize(("length", "k"), [(40, 12), (200, 64)])
+def test_first_occurrences_stay(spark, length, k):
+    rng = random.Random(5)
+    letters = "abcdefgh éü\n"
+    base = "".join(rng.choice(letters) for _ in range(2000))
+    texts = []
+    for _ in range(80):
+        part = lambda: (lambda r, a: base[a : a + rng.randint(10, 700)] if r < 0.5 else "ab" * rng.randint(5, 300) if r < 0.6 else "x" * rng.randint(5, 600) if r < 0.65 else "".join(rng.choice(letters) for _ in range(rng.randint(0, 500))))(rng.random(), rng.randrange(1900))
+        texts.append("".join(part() for _ in range(rng.randint(1, 4))))
+    texts += [texts[0], texts[1], "", None]
+    ids = rng.sample(range(1000), len(texts))
+    got = {r.doc_id: bytes(r.kept) for r in suffixes.removal(docs(spark, texts, ids), length, k, 3, keep_first=True).collect()}
+    assert got == brute_keep_first(texts, ids, length)
+
+
+def test_stage_keeps_one_copy_of_a_passage(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 6))) for _ in range(n))
+    passage = words(51)
+    texts = [f"{words(30)} {passage} {words(30)}" for _ in range(6)] + [words(80), "", None]
+    got = {r.doc_id: r.text for r in suffixes.remove_repeats(spark, docs(spark, texts), SF).collect()}
+    assert [k for k, t in got.items() if t and passage in t] == [0] and got[0] == texts[0] and got[6] == texts[6]
+    assert set(got) == {0, 1, 2, 3, 4, 5, 6, 8} and all(t is None or len(t) > 300 for t in got.values())
+
+
 def test_removal_of_nothing(spark, empty):
     assert suffixes.removal(empty).count() == 0
     assert [r.n_removed for r in suffixes.removal(docs(spark, ["short"])).collect()] == [0]
@@ -225,6 +321,35 @@ def test_quality_odd_rows(spark, odd, empty):
     assert quality.LineField.fit(["x"], [1]).scores([None])[0] == 0.5
 
 
+def test_lines_of_a_mixed_document_are_told_apart():
+    rng = random.Random(1)
+    good = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(9)) + "."
+    bad = lambda: "BUY $$$ NOW!!! " * 3
+    texts = ["\n".join((good if k % 2 else bad)() for _ in range(rng.randint(3, 9))) for k in range(200)]
+    m = quality.LineField.fit(texts, [k % 2 for k in range(200)])
+    x, _, doc = quality.line_features(["\n".join([*(good() for _ in range(6)), *(bad() for _ in range(6)), *(good() for _ in range(6))])])
+    p, _, _ = quality.forward_backward(x @ m.weights, doc, m.pair)
+    assert (p[1:5] > 0.5).all() and (p[7:11] < 0.5).all() and (p[13:17] > 0.5).all()
+
+
+def test_quality_of_a_text_of_very_many_lines():
+    m = quality.LineField(np.full(quality.FEATURES, 0.01), np.zeros((2, 2)))
+    assert 0.5 < m.scores(["a line\n" * 200_000])[0] <= 1
+
+
+def test_quality_learns_from_a_bounded_sample(spark):
+    d = docs(spark, [("fine words here. " * 50) if k % 2 else "$$$ !!! " * 100 for k in range(60)] + ["x" * 200_000])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(61)], "doc_id long, quality long")
+    seen = []
+    fit = quality.LineField.fit
+    try:
+        quality.LineField.fit = classmethod(lambda cls, texts, good: seen.extend(texts) or fit(texts, good))
+        quality.train(d, labels, train_bytes=20_000)
+    finally:
+        quality.LineField.fit = fit
+    assert 0 < sum(map(len, seen)) <= 20_000 and max(map(len, seen)) <= 1250
+
+
 # ---- 5 language
 
 
@@ -362,8 +487,10 @@ def brute_groups(texts, words=5, least=0.8):
     return {i for i in range(len(texts)) if find(i) == i}
 
 
-def test_near_stage_equals_brute_force_jaccard(spark, monkeypatch):
+@pytest.mark.parametrize("split", [256, 8])
+def test_near_stage_equals_brute_force_jaccard(spark, monkeypatch, split):
     monkeypatch.setattr(simhash, "CLUSTER_ROWS", 4)
+    monkeypatch.setattr(simhash, "chunk_count", lambda rows: batches.chunk_count(rows, split, 2 * split))
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(5000)}"
     texts = []
@@ -418,6 +545,24 @@ def test_near_vectors_equal_brute_force(spark, chunk):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _ in odd)
 
 
+def test_near_vectors_without_or_with_shared_ids(spark):
+    v, w = [1.0, 2.0] + [0.5] * 6, [2.0, -1.0] + [0.0] * 6
+    rows = [(None, v), (7, v), (3, v), (5, w), (5, None), (5, [x * 3 for x in w]), (None, None), (8, [1.0, 2.0]), (9, [1.0, 2.0]), (None, [0.0, 0.0, 1.0]), (1, [0.0, 0.0, 2.0])]
+    got = collections.Counter(map(tuple, lattice.near_duplicate_vectors(_vectors(spark, rows)).collect()))
+    want = [(None, 2, 3, False), (7, 2, 3, False), (3, 2, 3, True), (5, 1, 5, True), (5, 0, 5, True), (5, 1, 5, True), (None, 0, None, False), (8, 1, 8, True), (9, 1, 8, False), (None, 1, 1, False), (1, 1, 1, True)]
+    assert got == collections.Counter(want)
+
+
+@pytest.mark.parametrize("n", [300, 700])
+def test_components_are_split_over_tasks(spark, n):
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=64)
+    rows = [(i, (base + rng.normal(size=64) * 0.05).tolist()) for i in range(n)]
+    assert {tuple(r)[1:] for r in lattice.near_duplicate_vectors(_vectors(spark, rows)).collect()} == {(n - 1, 0, True), (n - 1, 0, False)}
+    groups = batches.chunk_pairs(spark.range(n).select(F.col("id").alias("node")), batches.chunk_count(F.lit(n))).groupBy("a", "b").count()
+    assert groups.agg(F.max("count")).first()[0] <= 2.5 * batches.SPLIT
+
+
 def test_no_vectors(spark):
     none = _vectors(spark, [])
     assert lattice.near_duplicate_vectors(none).count() == 0 and curves.nearest(none, none).count() == 0
@@ -469,6 +614,23 @@ def test_neighbours_of_many_ties(spark):
     assert by == {50: [0, 1, 2, 3, 4], 2: [0, 1, 3, 4, 5]}
 
 
+def test_neighbours_of_scaled_copies_and_other_dimensions(spark):
+    v = [3.0, 1.0, 2.0, 5.0, 1.0, 1.0, 2.0, 4.0]
+    rows = [(i, [x * i for x in v]) for i in range(1, 31)] + [(50, v), (50, v), (40, [1.0, 2.0]), (41, [2.0, 1.0]), (100, [1.0, 2.0])]
+    got = curves.nearest(_vectors(spark, rows), _vectors(spark, [r for r in rows if r[0] % 50 == 0]), rows=8, asked_rows=1).collect()
+    by = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by[r.query_id].append((r.vec_id, r.score))
+    assert by[50] == [(i, 1.0) for i in range(1, 6)] and by[100] == [(40, 1.0), (41, pytest.approx(0.8))] and len(by) == 2
+
+
+def test_neighbours_in_small_groups(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(400)]
+    want = {tuple(r) for r in curves.nearest(_vectors(spark, rows), _vectors(spark, rows[::10])).collect()}
+    assert {tuple(r) for r in curves.nearest(_vectors(spark, rows), _vectors(spark, rows[::10]), rows=16, asked_rows=3).collect()} == want and len(want) == 200
+
+
 # ---- 9 WARC
 
 
@@ -541,6 +703,59 @@ def test_differencing_decides_on_declared_pages(spark):
     assert got[10] == "one quotation\ntext 0\nmore 0" and got[22] == "a\nb\nc\nd\nedit 2"
 
 
+def test_pages_equal_brute_force(spark):
+    """Whole pages, undeclared and declared, on three hosts, against a plain restatement of the rule with a table of lengths."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        host, kind = rng.choice("abc"), rng.random() < 0.5
+        own = [f"own {i} {k}" for k in range(rng.randint(0, 4))] + [f"quotation {rng.randrange(6)}" for _ in range(rng.randint(0, 2))]
+        lines = [f"top of {host}", *own, f"end of {host}", f"made by {host}"]
+        body = "".join(f"<p>{x}</p>" for x in lines)
+        rows.append((i, f"http://{host}/p/{rng.randrange(40):02}", f"<nav>menu {i}</nav>" + (f"<main>{body}</main>" if kind else body)))
+    rows += [(200 + i, *rows[i][1:]) for i in range(0, 120, 7)]
+
+    distinct = {}
+    for _, url, page in rows:
+        host, path = url.split("/")[2], url[8:]
+        lines = tuple(pages.marked_lines(page))
+        same = (host, lines)
+        distinct[same] = min(distinct.get(same, path), path)
+    order = collections.defaultdict(list)
+    key = spark.createDataFrame([(h, [x for x in pages.line_hashes([t for t, _ in ls])], [m for _, m in ls]) for h, ls in distinct], "host string, hashes array<long>, marks array<boolean>")
+    same = {(r.host, tuple(r.hashes), tuple(r.marks)): r.same for r in key.withColumn("same", F.xxhash64("hashes", "marks")).collect()}
+    for (h, ls), path in distinct.items():
+        order[h].append((path, same[h, tuple(pages.line_hashes([t for t, _ in ls])), tuple(m for _, m in ls)], ls))
+    marked = lambda ls: [t for t, m in ls if m]
+    want = {}
+    for h, own in order.items():
+        own.sort()
+        n = collections.Counter(t for _, _, ls in own for t in set(marked(ls)))
+        for i, (_, _, ls) in enumerate(own):
+            lines, declared = (marked(ls), True) if marked(ls) else ([t for t, _ in ls], False)
+            kept = lines
+            for j in [j for d in range(1, 5) for j in (i - d, i + d) if 0 <= j < len(own)]:
+                other = marked(own[j][2]) if declared else [t for t, _ in own[j][2]]
+                if not other:
+                    continue
+                common = pages.shared_lines(lines, other)
+                if 2 * len(common) <= len(lines) if declared else len(common) < len(lines):
+                    gone = {k for k in common if not declared or n[lines[k]] >= max(3, len(own) / 2)}
+                    kept = [t for k, t in enumerate(lines) if k not in gone]
+                    break
+            want[h, ls] = "\n".join(kept)
+    got = _texts(spark, rows, 3)
+    assert got == {i: want[url.split("/")[2], tuple(pages.marked_lines(page))] for i, url, page in rows}
+    assert any(t and "top of" not in t for t in got.values())
+
+
+@pytest.mark.parametrize("page", ['<a "' * 2_500_000, "<a '>' " * 300_000, "<!" * 1_000_000, "</script" * 500_000, "<div>" * 300_000 + "</p>" * 300_000, "<p>x" * 200_000])
+def test_broken_pages_take_time_in_proportion(page):
+    began = time.perf_counter()
+    pages.marked_lines(page)
+    assert time.perf_counter() - began < 15
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_copies_and_borders_hide_no_neighbour(spark, parts):
     t = "<div>Top menu</div><p>{}<div>Bottom line</div>"
@@ -557,7 +772,12 @@ def test_common_subsequence_is_longest():
         for i in range(len(a)):
             for j in range(len(b)):
                 table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
-        assert len(pages.shared_lines(a, b)) == table[-1][-1]
+        for most_bits in (1 << 28, 8):
+            got = sorted(pages.shared_lines(a, b, most_bits))
+            rest = iter(b)
+            assert len(got) == table[-1][-1] and all(a[i] in rest for i in got)
+    began = time.perf_counter()
+    assert len(pages.shared_lines([1] * 5000 + [2], [2] + [1] * 5000)) == 5000 and time.perf_counter() - began < 5
 
 
 # ---- pipeline
@@ -585,5 +805,31 @@ def test_pipeline_stages(spark, odd):
         assert stage(spark, odd, SF).columns == odd.columns
 
 
+def test_pipeline_run(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, d in (("real", real), ("odd", odd.unionByName(docs(spark, ["more text of a fine document here"] * 3, [50, 51, 52]))), ("none", empty)):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{SF}/labels.parquet").limit(0 if name == "none" else 10**6).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        check_packing(rows)
+        assert bool(rows) == (name != "none")
+        assert all(r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) for r in rows)
+
+
+def test_packed_ids_give_the_texts_back_in_order(spark, tmp_path):
+    d = spark.read.parquet(f"{SF}/documents.parquet").repartition(1).orderBy(F.desc("doc_id"))
+    d.write.parquet(f"{tmp_path}/d")
+    rows = packing.pack_documents(spark, spark.read.parquet(f"{tmp_path}/d"), SF).collect()
+    of = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        of[r.doc_id] += r.ids
+    assert dict(of) == {r.doc_id: [*tokens.encode(r.text or ""), 2] for r in d.collect()}
+    assert [r.doc_id for r in sorted(rows, key=lambda r: (r.position, r.piece)) if r.piece == 0] == sorted(of, reverse=True)
+    full = sorted((r for r in rows if r.length == 1024 and r.offset == 0), key=lambda r: r.sequence_id)
+    assert [r.position for r in full] == sorted(r.position for r in full)
+
+
 def test_no_usable_vectors(spark):
     assert vectors.usable(_vectors(spark, [(1, None)])).count() == 0
