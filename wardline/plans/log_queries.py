@@ -122,8 +122,6 @@ def request_features(spark, d):
 
 def _signature_sql(x: str) -> str:
     """Best (confidence, first type) over the signature table, as a list maximum."""
-    each = ", ".join(f"CASE WHEN regexp_matches({x}, {_q(p)}) THEN {c}e0 ELSE 0e0 END" for ps in [SIGNATURES[t] for t in SIGNATURES] for p, c in ps)
-    del each
     per = [f"greatest({', '.join(f'CASE WHEN regexp_matches({x}, {_q(p)}) THEN {c}e0 ELSE 0e0 END' for p, c in ps)})" for ps in SIGNATURES.values()]
     return "[" + ", ".join(per) + "]"
 

@@ -8,11 +8,12 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.functions.scalars import col
+from wardline.operators.ordering import with_row_number
 from wardline.storage import materialise
 
 _INTS = ("status", "latency_ms")
@@ -188,8 +189,7 @@ def report_lines(sections: dict[str, DataFrame]) -> DataFrame:
         line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)), F.lit(" |"))
         spark = df.sparkSession
         head = spark.range(1).select(F.lit(k).alias("section"), F.lit(-1).cast("long").alias("ord"), F.lit(f"## {title}").alias("line"))
-        first = df.columns[0]
-        parts.append(head.union(df.select(F.lit(k), F.row_number().over(Window.partitionBy(F.lit(k)).orderBy(first)).cast("long"), line)))
+        parts.append(head.union(with_row_number(df, df.columns[:1], "_ord").select(F.lit(k), "_ord", line)))
     return reduce(lambda a, b: a.union(b), parts)
 
 
