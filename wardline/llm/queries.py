@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import centroids, curves, infill, langid, lattice, mixing, packing, pages, quality, simhash, suffixes, warc
+from wardline.llm import centroids, curves, infill, langid, lattice, mixing, packing, pages, quality, rules, simhash, suffixes, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_html_extraction": pages.op10_html_extraction,
     "op11_fill_in_middle": infill.op11_fill_in_middle,
+    "op12_quality_rules": rules.op12_quality_rules,
     "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_OP2, "op7_embedding_near_dedup": lattice.ORACLE_OP7, "op9_warc": warc.ORACLE_OP9, "op11_fill_in_middle": infill.ORACLE_OP11, "op13_centroid_clustering": centroids.ORACLE_OP13}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_OP2, "op7_embedding_near_dedup": lattice.ORACLE_OP7, "op9_warc": warc.ORACLE_OP9, "op11_fill_in_middle": infill.ORACLE_OP11, "op12_quality_rules": rules.ORACLE_OP12, "op13_centroid_clustering": centroids.ORACLE_OP13}
