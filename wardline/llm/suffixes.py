@@ -31,12 +31,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.llm.batches import text_bytes
 from wardline.storage import drop_table, materialise, unclustered
 
 LENGTH, GRAM, BATCHES, CHUNK = 400, 128, 8, 1 << 22
-STAGE_LENGTH, STAGE_GRAM = 200, 64  # of the pipeline's stage: a passage of over 50 words is longer, texts of one's own hardly share as much
+STAGE_LENGTH, STAGE_GRAM, STAGE_WORDS = 200, 64, 50  # of the pipeline's stage: strings that runs of more words are made of
 _rng = np.random.default_rng(20_240_601)
 _CODE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -251,12 +252,14 @@ def union_spans(spans) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int = BATCHES, keep_first: bool = False) -> DataFrame:
-    """``docs`` with ``_spans``: the intervals of ``repeated_spans`` (null if there are none)."""
-    keyed = docs.withColumn("_suffix_id", F.col("doc_id").cast("long")).withColumn("_suffix_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    base = keyed.select(F.col("_suffix_id").alias("doc_id"), F.col("_suffix_th").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(base, length, k, batches, keep_first=keep_first).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    spans = materialise(spans, "suffix-spans").withColumnsRenamed({"doc_id": "_sid", "th": "_sth"})
-    return keyed.join(spans, F.col("_suffix_id").eqNullSafe(F.col("_sid")) & (F.col("_suffix_th") == F.col("_sth")), "left").drop("_sid", "_sth", "_suffix_th")
+    """The columns of ``docs`` under the names c0, c1, ..., so that none can clash, with ``suffix_id`` and ``spans``: the intervals of ``repeated_spans`` (null if there are none)."""
+    names = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    keyed = docs.select(*names, F.col("doc_id").cast("long").alias("suffix_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("suffix_th"), F.coalesce("text", F.lit("")).alias("suffix_text"))
+    base = keyed.select(F.col("suffix_id").alias("doc_id"), F.col("suffix_th").alias("th"), F.col("suffix_text").alias("text"))
+    spans = repeated_spans(base, length, k, batches, keep_first=keep_first).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = materialise(spans, "suffix-spans").withColumnsRenamed({"doc_id": "sid", "th": "sth"})
+    same = F.col("suffix_id").eqNullSafe(F.col("sid")) & (F.col("suffix_th") == F.col("sth"))
+    return keyed.drop("suffix_text").join(spans, same, "left").drop("sid", "sth", "suffix_th")
 
 
 def removal(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int = BATCHES, keep_first: bool = False) -> DataFrame:
@@ -269,16 +272,16 @@ def removal(docs: DataFrame, length: int = LENGTH, k: int = GRAM, batches: int =
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for text, spans in zip(b["text"], b["_spans"]):
+            for text, spans in zip(b["c1"], b["spans"]):
                 data, gone = text_bytes(text), union_spans(spans)
                 edges = [0, *(x for s in gone for x in s), len(data)]
                 kept = b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2]))
                 rows.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            out.insert(0, "doc_id", b["_suffix_id"].astype("Int64").to_numpy())
+            out.insert(0, "doc_id", b["suffix_id"].astype("Int64").to_numpy())
             yield out
 
-    cut = with_spans(docs.select("doc_id", "text"), length, k, batches, keep_first).select("_suffix_id", "text", "_spans")
+    cut = with_spans(docs.select("doc_id", "text"), length, k, batches, keep_first).select("suffix_id", "c1", "spans")
     return cut.mapInPandas(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
@@ -288,25 +291,41 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
+def long_runs(data: bytes, spans, words: int = STAGE_WORDS) -> list[tuple[int, int]]:
+    """The intervals of the union of ``spans`` that hold more than ``words`` whole words, from the first one's start to the last one's end."""
+    out = []
+    for a, b in union_spans(spans):
+        a += 0 if a == 0 or data[a - 1 : a].isspace() or data[a : a + 1].isspace() else len(data[a:b].split(None, 1)[0])
+        while a < b and b < len(data) and not data[b : b + 1].isspace() and not data[b - 1 : b].isspace():
+            b -= 1  # to the end of the word before
+        part = data[a:b]
+        if len(part.split()) > words:
+            out.append((a + len(part) - len(part.lstrip()), b - len(part) + len(part.rstrip())))
+    return out
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without strings of ``STAGE_LENGTH`` bytes that also start earlier; texts left blank go.
+    """Pipeline stage: texts without runs of more than STAGE_WORDS words that also occur earlier; texts that are blank then go.
 
-    A string's first occurrence stays. A character cut in two goes.
+    A run is made of strings of STAGE_LENGTH bytes that start earlier, too, and is cut at whole words. First occurrences
+    stay. Null texts, ids and repeated rows are documents like any other; columns of any name pass through.
     """
-
     at = docs.columns.index("text")
+    names = [f"c{i}" for i in range(len(docs.columns))]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for text, spans in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                data, gone = text_bytes(text), union_spans(spans)
+            texts, whole = [], []
+            for text, spans in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist()):
+                data = text_bytes(text) if spans else b""
+                gone = long_runs(data, spans) if spans else []
                 edges = [0, *(x for s in gone for x in s), len(data)]
                 texts.append(b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2])).decode("utf-8", "ignore") if gone else text)
-            columns = b.columns[:-1]
+                whole.append(texts[-1] is None or bool(texts[-1].strip()))
+            columns = b.columns[: len(names)]
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(whole, pa.bool_()))
 
-    out = with_spans(docs, STAGE_LENGTH, STAGE_GRAM, keep_first=True).select(*docs.columns, "_spans").mapInArrow(each, docs.schema)
-    out = out.filter((F.length(F.trim("text")) > 0) | F.col("text").isNull())
+    cut = with_spans(docs, STAGE_LENGTH, STAGE_GRAM, keep_first=True).select(*names, "spans")
+    out = cut.mapInArrow(each, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields)])).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
