@@ -109,8 +109,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents in the mix's order, those of scarce sources repeated."""
-    return mix(docs).orderBy("mix_slot", F.xxhash64("doc_id"), "mix_epoch").select(*docs.columns)
+    """Pipeline stage: the documents in the mix's order, those of scarce sources repeated; columns of any name pass through."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    mixed = mix(docs.select("doc_id", "source", "text", whole))
+    return mixed.orderBy("mix_slot", F.xxhash64("doc_id"), "mix_epoch").select("whole.*")
 
 
 ORACLE_OP2 = f"""

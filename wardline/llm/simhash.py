@@ -202,38 +202,74 @@ def _clusters(fp: np.ndarray, n: np.ndarray, radius: int, jaccard: float) -> Ite
         yield members, edges
 
 
-def _walk_buckets(rows: DataFrame, radius: int, jaccard: float) -> DataFrame:
+def _search(node: np.ndarray, fp: np.ndarray, n: np.ndarray, radius: int, jaccard: float) -> list[tuple[int, int, bool]]:
+    """Candidates (a, b, over) among nodes: all pairs of groups of CLUSTER_ROWS or fewer; of a larger group a spanning tree from its least node (over = true)."""
+    out, order = [], np.argsort(node)
+    node, fp, n = node[order], fp[order], n[order]
+    for members, edges in _clusters(fp, n, radius, jaccard):
+        if len(members) > CLUSTER_ROWS:
+            out += [(int(node[x]), int(node[y]), True) for x, y in edges]
+            continue
+        own = node[members]
+        for i, near in _near(fp[members], n[members], radius, jaccard):
+            r, c = near.nonzero()
+            out += [(a, b, False) for a, b in zip(own[r + i].tolist(), own[c].tolist()) if a < b]
+    return out
+
+
+_FOUND = "a long, b long, over boolean, bucket long, fp long, n int"
+
+
+def _found(pairs: list[tuple[int, int, bool]]) -> pd.DataFrame:
+    out = pd.DataFrame(pairs, columns=["a", "b", "over"]).astype({"a": "int64", "b": "int64", "over": bool})
+    return out.assign(bucket=pd.array([None] * len(out), dtype="Int64"), fp=np.int64(0), n=np.int32(0))
+
+
+def _walk_buckets(rows: DataFrame, radius: int, jaccard: float, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Candidates (a, b, over) of each bucket of ``rows`` (bucket, node, fp, n).
 
-    All pairs of groups of CLUSTER_ROWS or fewer; of a larger group a spanning tree from its least node (over = true).
+    A bucket of more than ``bucket_rows`` nodes is not searched where it lies: its chunks meet in pairs, in tasks of their own.
     """
 
-    def search(node: np.ndarray, fp: np.ndarray, n: np.ndarray) -> list[tuple[int, int, bool]]:
-        out, order = [], np.argsort(node)
-        node, fp, n = node[order], fp[order], n[order]
-        for members, edges in _clusters(fp, n, radius, jaccard):
-            if len(members) > CLUSTER_ROWS:
-                out += [(int(node[x]), int(node[y]), True) for x, y in edges]
-                continue
-            own = node[members]
-            for i, near in _near(fp[members], n[members], radius, jaccard):
-                r, c = near.nonzero()
-                out += [(a, b, False) for a, b in zip(own[r + i].tolist(), own[c].tolist()) if a < b]
-        return out
-
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple[int, int, bool]] = []
-        frame = lambda out: pd.DataFrame(out, columns=["a", "b", "over"]).astype({"a": "int64", "b": "int64", "over": bool})
-        for g in groups(batches, ["bucket"]):
-            if len(g) > 1:
-                out += search(g["node"].to_numpy(), g["fp"].to_numpy().view(np.uint64), g["n"].to_numpy())
+        last, held, size, out = None, [], 0, []
+
+        def searched() -> list[tuple[int, int, bool]]:
+            if size < 2 or size > bucket_rows:
+                return []
+            g = pd.concat(held) if len(held) > 1 else held[0]
+            return _search(g["node"].to_numpy(), g["fp"].to_numpy().view(np.uint64), g["n"].to_numpy(), radius, jaccard)
+
+        for b in batches:
+            key = b["bucket"].to_numpy()
+            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
+            for i, j in zip(cuts, [*cuts[1:], len(key)]):
+                if key[i] != last:
+                    out += searched()
+                    last, held, size = key[i], [], 0
+                held.append(b.iloc[i:j])
+                size += j - i
+                if size > bucket_rows:
+                    over = pd.concat(held)
+                    held = []
+                    yield pd.DataFrame({"a": over["node"], "b": 0, "over": False, "bucket": over["bucket"].astype("Int64"), "fp": over["fp"], "n": over["n"]})
             if len(out) > 50_000:
-                yield frame(out)
+                yield _found(out)
                 out = []
-        yield frame(out)
+        yield _found(out + searched())
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, ["bucket", "a", "b"]):
+            yield _found(_search(g["node"].to_numpy(), g["fp"].to_numpy().view(np.uint64), g["n"].to_numpy(), radius, jaccard))
 
     rows = rows.select("bucket", "node", "fp", "n").repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInPandas(walk, "a long, b long, over boolean")
+    first = materialise(rows.mapInPandas(walk, _FOUND), "near-buckets")
+    large = first.filter("bucket is not null").select("bucket", F.col("a").alias("node"), "fp", "n")
+    sizes = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).select(unclustered("bucket"), "rows")
+    keys = ["bucket", "a", "b"]
+    met = chunk_pairs(large.join(sizes, "bucket"), F.ceil(2 * F.col("rows") / bucket_rows).cast("int")).select(*keys, "node", "fp", "n")
+    met = met.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(meet, _FOUND)
+    return first.filter("bucket is null").union(met).select("a", "b", "over")
 
 
 def _links_between(rows: DataFrame, radius: int, words: int, jaccard: float) -> DataFrame:
@@ -351,7 +387,10 @@ def similar_groups(docs: DataFrame, words: int = NEAR_WORDS, jaccard: float = NE
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of similar documents (5-word shingles, Jaccard 0.8) the row with the least doc_id (null ids last) stays."""
-    kept = materialise(similar_groups(docs).select(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th")), "simhash-kept")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_text_hash() == F.col("_th"))
-    return docs.join(kept, same).dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    """Pipeline stage: of each group of similar documents (5-word shingles, Jaccard 0.8) the row with the least doc_id (null ids last) stays.
+
+    Columns of any name pass through.
+    """
+    kept = materialise(similar_groups(docs.select("doc_id", "text")).select(F.col("first.doc_id").alias("id"), F.col("first.th").alias("th")), "simhash-kept")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("own_id"), _text_hash().alias("own_th"))
+    return rows.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th"))).dropDuplicates(["id", "th"]).select("row.*")
