@@ -246,11 +246,18 @@ def fusion(records: DataFrame, seconds: int = 5, group: Column | None = None, ne
     )
 
 
-def cluster_rollup(verdicts: DataFrame) -> DataFrame:
-    """Size, mean fusion score, first ten members and verdict of every cluster."""
-    g = verdicts.filter("cluster_id is not null").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.avg("fusion_score").alias("s"), F.slice(F.sort_array(F.collect_list("session_id")), 1, 10).alias("m"))
-    verdict = F.when(F.col("s") >= 0.55, "distributed_crawler").when(F.col("s") >= 0.45, "suspicious").otherwise("normal")
-    return g.select("cluster_id", "size", F.round("s", 4).alias("avg_fusion_score"), F.array_join("m", ",").alias("members"), verdict.alias("determination"))
+def cluster_rollup(verdicts: DataFrame, members: int = 10) -> DataFrame:
+    """Size, mean fusion score, first ``members`` members and verdict of every cluster.
+
+    Scores have four digits: their mean is taken over whole ten-thousandths and rounded half up, so it is exact. A
+    large cluster's first members come from those of each task.
+    """
+    own = verdicts.filter("cluster_id is not null")
+    g = own.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.sum(F.round(F.col("fusion_score") * 10_000).cast("long")).alias("s"))
+    first = own.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("session_id"))).filter(F.col("_r") <= members)
+    names = first.groupBy("cluster_id").agg(F.array_join(F.sort_array(F.collect_list("session_id")), ",").alias("members"))
+    verdict = F.when(F.expr("s >= 5500 * size"), "distributed_crawler").when(F.expr("s >= 4500 * size"), "suspicious").otherwise("normal")
+    return g.join(names, "cluster_id").select("cluster_id", "size", (F.expr("(2 * s + size) div (2 * size)") / 10_000).alias("avg_fusion_score"), "members", verdict.alias("determination"))
 
 
 def global_assessment(verdicts: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.patterns import KNOWN_CRAWLERS, SENSITIVE_WORDS, SUSPICIOUS_AGENTS
 from wardline.functions.scalars import contains_any, flag, sigmoid
+from wardline.operators.scans import counted, numbered_runs, recent_counts
 
 
 def parsable(records: DataFrame, time: str = "ts") -> DataFrame:
@@ -14,16 +15,18 @@ def parsable(records: DataFrame, time: str = "ts") -> DataFrame:
     return records.withColumn(time, F.try_to_timestamp(F.col(time).cast("string"))).filter(F.col(time).isNotNull())
 
 
-def stitch(records: DataFrame, gap_seconds: float = 60, by: str = "source_ip") -> DataFrame:
+CELL_SECONDS = 3600  # a key's time is scanned in cells of this width: see ``scans``
+
+
+def stitch(records: DataFrame, gap_seconds: float = 60, by: str = "source_ip", cell_seconds: float = CELL_SECONDS) -> DataFrame:
     """Add ``session_no`` and ``session_start``: a new session of an address starts after a gap longer than ``gap_seconds``.
 
-    Rows without a time are dropped. A gap of just ``gap_seconds`` stays in the session. One shuffle by address.
+    Rows without a time are dropped. A gap of just ``gap_seconds`` stays in the session. An address is scanned in cells of time, so
+    that one that never rests is spread.
     """
-    w = Window.partitionBy(by).orderBy("ts", "log_id")
-    gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1e6
-    cut = records.filter("ts is not null").withColumn("_new", flag(gap > gap_seconds))
-    cut = cut.withColumn("session_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    return cut.withColumn("session_start", F.min("ts").over(Window.partitionBy(by, "session_no")))
+    gap = lambda prev, row: (F.unix_micros(row["ts"]) - F.unix_micros(prev["ts"])) / 1e6 > gap_seconds
+    cut = numbered_runs(records.filter("ts is not null"), [by], ["ts", "log_id"], ["ts"], gap, "session_no", cell_seconds, start_of="ts")
+    return cut.withColumnRenamed("session_no_start", "session_start").drop("_prev")
 
 
 def with_session_id(stitched: DataFrame, by: str = "source_ip") -> DataFrame:
@@ -43,41 +46,33 @@ def session_labels(stitched: DataFrame, by: str = "source_ip") -> DataFrame:
     return g.select(by, "session_no", F.concat_ws("_", F.lit("stitched"), tag, F.concat(F.col("n").cast("string"), F.lit("req")), head, suffix).alias("session_label"))
 
 
-def _ordered(key: str) -> Window:
-    return Window.partitionBy(key).orderBy("ts", "log_id")
-
-
-def peak_rate(seconds: int, key: str = "session_id") -> Column:
-    """Requests in the closed window of ``seconds`` that ends at the row."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
-    return F.count(F.lit(1)).over(w)
+def repeated_path_count(records: DataFrame, key: str = "session_id", cell_seconds: float = CELL_SECONDS) -> DataFrame:
+    """Add ``repetitive_path_count``: earlier requests of the session to the same path."""
+    return counted(records, [key, "path"], ["ts", "log_id"], "repetitive_path_count", cell_seconds)
 
 
-def repeated_path_count(records: DataFrame, key: str = "session_id") -> DataFrame:
-    """Add ``repetitive_path_count``: earlier requests of the session to the same path."""
-    return records.withColumn("repetitive_path_count", F.row_number().over(Window.partitionBy(key, "path").orderBy("ts", "log_id")) - 1)
+def path_runs(records: DataFrame, key: str = "session_id", cell_seconds: float = CELL_SECONDS) -> DataFrame:
+    """Add ``_run``, the number of the run of one path that a request is in, and ``_prev``, time and path of the request before."""
+    other = lambda prev, row: ~prev["path"].eqNullSafe(row["path"])
+    return numbered_runs(records, [key], ["ts", "log_id"], ["ts", "path"], other, "_run", cell_seconds)
 
 
-def longest_path_runs(records: DataFrame, key: str = "session_id") -> DataFrame:
+def longest_path_runs(records: DataFrame, key: str = "session_id", cell_seconds: float = CELL_SECONDS) -> DataFrame:
     """(key, max_consecutive_same_path): repeats in the longest run of one path."""
-    runs = records.withColumn("_run", F.row_number().over(_ordered(key)) - F.row_number().over(Window.partitionBy(key, "path").orderBy("ts", "log_id")))
-    return runs.groupBy(key, "path", "_run").count().groupBy(key).agg((F.max("count") - 1).alias("max_consecutive_same_path"))
+    return path_runs(records, key, cell_seconds).groupBy(key, "_run").count().groupBy(key).agg((F.max("count") - 1).alias("max_consecutive_same_path"))
 
 
-def session_features(records: DataFrame, key: str = "session_id") -> DataFrame:
+def session_features(records: DataFrame, key: str = "session_id", cell_seconds: float = CELL_SECONDS) -> DataFrame:
     """18 features of every session of at least two requests, its category (``mixed`` if several) and validity.
 
-    All windows and aggregations use the session's partitioning: one shuffle, but for the path counts.
+    Windows go by cells of a session's time, and counts are summed by run, path and session in turn, so that a session of
+    any length is spread.
     """
     low = F.lower("user_agent")
     known = contains_any(low, KNOWN_CRAWLERS)
     odd = contains_any(low, SUSPICIOUS_AGENTS)
-    w = _ordered(key)
-    rows = records.filter("ts is not null").withColumns({
-        "_interval": (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1e6,
-        "_p1": peak_rate(1, key), "_p5": peak_rate(5, key),
-        "_run": F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, "path").orderBy("ts", "log_id")),
-    })
+    rows = path_runs(recent_counts(records.filter("ts is not null"), [key], "ts", {"_p1": 1, "_p5": 5}, cell_seconds), key, cell_seconds)
+    rows = rows.withColumn("_interval", (F.unix_micros("ts") - F.unix_micros("_prev.ts")) / 1e6)
     runs = rows.groupBy(key, "path", "_run").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum("_interval").alias("gaps"), F.min("_interval").alias("gap"),
         F.max("_p1").alias("p1"), F.max("_p5").alias("p5"),

@@ -243,10 +243,10 @@ _RESCORE = """hin AS (SELECT hea.*, (SELECT count(*) FROM inc WHERE inc.api_endp
  raw AS (SELECT *, 1e0 - anomaly_count / total_requests * 0.7e0 - errors / total_requests * 0.4e0 - CASE WHEN avg_rt > 0 AND avg_rt / base > 1.5 THEN least((avg_rt / base - 1.5e0) * 0.15e0, 0.2e0) ELSE 0e0 END - least(incidents_24h * 0.01e0, 0.3e0) AS s FROM hin),
  res(api_endpoint, ts, rn, old_score, new_score, new_status) AS (
    SELECT api_endpoint, ts, rn, health_score, CASE WHEN abs(x - health_score) > 0.001 THEN round(x, 4) ELSE health_score END, CASE WHEN abs(x - health_score) > 0.001 THEN CASE WHEN x >= 0.8 THEN 'normal' WHEN x >= 0.5 THEN 'degraded' ELSE 'critical' END ELSE status END
-   FROM (SELECT *, greatest(0e0, least(1e0, s)) AS x FROM raw WHERE rn = 1)
+   FROM (SELECT *, round(greatest(0e0, least(1e0, s)), 6) AS x FROM raw WHERE rn = 1)
    UNION ALL
    SELECT api_endpoint, ts, rn, health_score, CASE WHEN abs(x - health_score) > 0.001 THEN round(x, 4) ELSE health_score END, CASE WHEN abs(x - health_score) > 0.001 THEN CASE WHEN x >= 0.8 THEN 'normal' WHEN x >= 0.5 THEN 'degraded' ELSE 'critical' END ELSE status END
-   FROM (SELECT raw.*, greatest(0e0, least(1e0, raw.s - CASE WHEN res.new_status IN ('degraded', 'critical') THEN 0.1e0 ELSE 0e0 END)) AS x FROM res JOIN raw ON raw.api_endpoint = res.api_endpoint AND raw.rn = res.rn + 1))"""
+   FROM (SELECT raw.*, round(greatest(0e0, least(1e0, raw.s - CASE WHEN res.new_status IN ('degraded', 'critical') THEN 0.1e0 ELSE 0e0 END)), 6) AS x FROM res JOIN raw ON raw.api_endpoint = res.api_endpoint AND raw.rn = res.rn + 1))"""
 
 
 @query("w08_rescore", V.with_(V.REQ, V.HEALTH, V.INC, _RESCORE).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT api_endpoint, ts, round(old_score, 6) AS old_score, round(new_score, 4) AS new_score, new_status FROM res")

@@ -350,8 +350,9 @@ def fusion(spark, d):
     return C.fusion(_named(spark, d), 120)
 
 
-@query("a31_cluster_rollup", _recursive(*_FUSION) + """SELECT cluster_id, count(*) AS size, round(avg(fusion_score), 4) AS avg_fusion_score, array_to_string(list_slice(list_sort(list(session_id)), 1, 10), ',') AS members,
- CASE WHEN avg(fusion_score) >= 0.55 THEN 'distributed_crawler' WHEN avg(fusion_score) >= 0.45 THEN 'suspicious' ELSE 'normal' END AS determination FROM ver WHERE cluster_id IS NOT NULL GROUP BY 1""")
+@query("a31_cluster_rollup", _recursive(*_FUSION) + """SELECT cluster_id, size, ((2 * s + size) // (2 * size)) / 10000 AS avg_fusion_score, members,
+ CASE WHEN s >= 5500 * size THEN 'distributed_crawler' WHEN s >= 4500 * size THEN 'suspicious' ELSE 'normal' END AS determination
+ FROM (SELECT cluster_id, count(*) AS size, cast(sum(cast(round(fusion_score * 10000) AS BIGINT)) AS BIGINT) AS s, array_to_string(list_slice(list_sort(list(session_id)), 1, 10), ',') AS members FROM ver WHERE cluster_id IS NOT NULL GROUP BY 1)""")
 def rollup(spark, d):
     return C.cluster_rollup(C.fusion(_named(spark, d), 120))
 

@@ -441,12 +441,12 @@ def stream_upsert(spark, d):
 _RECORD = {"is_hit": "{k} >= 90", "api_endpoint": "event_type", "id": "event_id", "ts": "cast(ts AS timestamp)", "anomaly_count": "user_id % 4", "errors": "user_id % 2", "avg_rt": "value"}
 _LIVE = f"""rec AS (SELECT {', '.join(V._columns(_RECORD, V._DUCK_K))} FROM events), seq AS (SELECT *, row_number() OVER w AS rn, avg(CASE WHEN avg_rt > 0 THEN avg_rt END) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS base,
    count(*) FILTER (is_hit) OVER (PARTITION BY api_endpoint ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS hits FROM rec WINDOW w AS (PARTITION BY api_endpoint ORDER BY ts, id)),
- raw AS (SELECT *, 1e0 - (0.7e0 * anomaly_count / 10 + 0.4e0 * errors / 10) - CASE WHEN avg_rt > 0 AND avg_rt / base > 1.5 THEN least((avg_rt / base - 1.5e0) * 0.15e0, 0.2e0) ELSE 0e0 END - least(hits * 0.01e0, 0.3e0) AS s FROM seq),
- liv(api_endpoint, rn, id, health_score) AS (SELECT api_endpoint, rn, id, greatest(0e0, least(1e0, s)) FROM raw WHERE rn = 1
-   UNION ALL SELECT raw.api_endpoint, raw.rn, raw.id, greatest(0e0, least(1e0, raw.s - CASE WHEN liv.health_score < 0.8 THEN 0.1e0 ELSE 0e0 END)) FROM liv JOIN raw ON raw.api_endpoint = liv.api_endpoint AND raw.rn = liv.rn + 1)"""
+ raw AS (SELECT *, 1e0 - anomaly_count / 10 * 0.7e0 - errors / 10 * 0.4e0 - CASE WHEN avg_rt > 0 AND avg_rt / base > 1.5 THEN least((avg_rt / base - 1.5e0) * 0.15e0, 0.2e0) ELSE 0e0 END - least(hits * 0.01e0, 0.3e0) AS s FROM seq),
+ liv(api_endpoint, rn, id, health_score) AS (SELECT api_endpoint, rn, id, round(greatest(0e0, least(1e0, s)), 6) FROM raw WHERE rn = 1
+   UNION ALL SELECT raw.api_endpoint, raw.rn, raw.id, round(greatest(0e0, least(1e0, raw.s - CASE WHEN liv.health_score < 0.8 THEN 0.1e0 ELSE 0e0 END)), 6) FROM liv JOIN raw ON raw.api_endpoint = liv.api_endpoint AND raw.rn = liv.rn + 1)"""
 
 
-@query("x05_stream_health", V.with_(_LIVE).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT api_endpoint, id, round(health_score, 6) AS health_score, CASE WHEN health_score >= 0.8 THEN 'normal' WHEN health_score >= 0.5 THEN 'degraded' ELSE 'critical' END AS status FROM liv")
+@query("x05_stream_health", V.with_(_LIVE).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT api_endpoint, id, health_score, CASE WHEN health_score >= 0.8 THEN 'normal' WHEN health_score >= 0.5 THEN 'degraded' ELSE 'critical' END AS status FROM liv")
 def stream_health(spark, d):
     raw = V.table(spark, d, "events")
     s = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet*").parquet(d)
@@ -456,6 +456,6 @@ def stream_health(spark, d):
     old = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return _run(spark, X.health(s)).withColumn("health_score", F.round("health_score", 6))
+        return _run(spark, X.health(s))
     finally:
         spark.conf.set(key, old)

@@ -55,16 +55,19 @@ def without_repeats(stream: DataFrame, key: str = "log_id", lateness: str = "10
 
 
 class HealthState(StatefulProcessor):
-    """Per endpoint: the previous status, the last ten response times and the last day's incidents, in event-time order within a batch."""
+    """Per endpoint: the previous status, the last ten response times and incidents, in event-time order within a batch.
 
-    DAY = 86_400_000_000
+    More incidents in a day than MOST weigh no more, so the last MOST times are all that is ever asked for.
+    """
+
+    DAY, MOST = 86_400_000_000, 30
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("health", "status string, times array<double>, hits array<long>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = self.state.get()
-        status, times, hits = (held[0], list(held[1]), deque(held[2])) if held else ("normal", [], deque())
+        status, times, hits = (held[0], list(held[1]), deque(held[2], self.MOST)) if held else ("normal", [], deque(maxlen=self.MOST))
         batch = pd.concat(list(rows))
         batch = batch.assign(late=~batch["is_incident"].astype(bool)).sort_values(["us", "late", "id"])
         out = []
@@ -74,14 +77,13 @@ class HealthState(StatefulProcessor):
             if r.is_incident:
                 hits.append(r.us)
                 continue
-            s, n = 1.0, max(r.total_requests, 1)
-            if r.total_requests > 0:
-                s -= 2 * WEIGHTS["anomaly_rate"] * r.anomaly_count / n + 2 * WEIGHTS["error_rate"] * r.errors / n
             past = [t for t in times if t > 0]
-            if r.avg_rt > 0 and past and r.avg_rt / (sum(past) / len(past)) > 1.5:
-                s -= min((r.avg_rt / (sum(past) / len(past)) - 1.5) * WEIGHTS["response_time"], 0.2)
-            s -= min(len(hits) * WEIGHTS["incident_frequency"] * 0.05, 0.3)
-            s = max(0.0, min(1.0, s - (WEIGHTS["recency"] if status != "normal" else 0)))
+            slow = r.avg_rt / (sum(past) / len(past)) if r.avg_rt > 0 and past else 0.0
+            rates = (r.anomaly_count / r.total_requests, r.errors / r.total_requests) if r.total_requests > 0 else (0.0, 0.0)
+            s = 1.0 - rates[0] * (2 * WEIGHTS["anomaly_rate"]) - rates[1] * (2 * WEIGHTS["error_rate"])
+            s -= min((slow - 1.5) * WEIGHTS["response_time"], 0.2) if slow > 1.5 else 0.0
+            s -= min(len(hits) * (WEIGHTS["incident_frequency"] * 0.05), 0.3)
+            s = round(max(0.0, min(1.0, s - (WEIGHTS["recency"] if status != "normal" else 0.0))), 6)
             status = "normal" if s >= 0.8 else "degraded" if s >= 0.5 else "critical"
             times = [*times, float(r.avg_rt)][-10:]
             out.append((key[0], r.id, s, status))
