@@ -57,21 +57,54 @@ def fuzzy_find(nodes: DataFrame, fragment: str) -> DataFrame:
     return nodes.filter(F.contains("id", F.lit(fragment)) | F.contains("label", F.lit(fragment))).orderBy("id").limit(1)
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 10) -> DataFrame:
-    """(length, path): one shortest path, ignoring direction; of equals the one with the least predecessors. Empty if none."""
-    both = materialise(_both_ways(edges), "path-edges")
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(length, path): one shortest path of any length, ignoring direction; of equals the first in the order of its nodes. Empty if none.
+
+    A search from both ends, each hop of the smaller front; what is kept of a hop is a table of its nodes and their distance. When the
+    fronts meet, the nodes on shortest paths are those whose distances from both ends add up to the length, found backwards
+    from the meeting, a join a hop; the path is then walked from the source, one row of the next hop at a time.
+    """
     spark = edges.sparkSession
-    front = spark.range(1).select(F.lit(source).alias("id"), F.array(F.lit(source)).alias("path"))
-    seen = front
-    for _ in range(most + 1):
-        hit = front.filter(F.col("id") == target)
-        if hit.limit(1).count() or not front.limit(1).count():
-            return hit.select((F.size("path") - 1).alias("length"), F.array_join("path", ">").alias("path"))
-        nxt = front.join(both, front["id"] == both["src"]).groupBy("dst").agg(F.min("path").alias("path"))
-        nxt = nxt.select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        front = materialise(nxt.join(seen, "id", "left_anti"), "path-front")
-        seen = seen.union(front)
-    return front.limit(0).select(F.size("path").alias("length"), F.lit("").alias("path"))
+    both = materialise(_both_ways(edges), "path-edges")
+    empty = spark.createDataFrame([], "length int, path string")
+    ends = spark.createDataFrame([(source,), (target,)], "id string").distinct()
+    known = ends.join(both, ends["id"] == both["src"], "left_semi").count()
+    if source == target:
+        return spark.range(known).select(F.lit(0).alias("length"), F.lit(source).alias("path"))
+    if known < 2:
+        return empty
+    sides = [[spark.createDataFrame([(x,)], "id string")] for x in (source, target)]  # the nodes at 0, 1, ... hops from each end
+    seen, sizes = [side[0] for side in sides], [1, 1]
+    while True:
+        k = 0 if sizes[0] <= sizes[1] else 1
+        front = sides[k][-1]
+        step = front.join(both, front["id"] == both["src"]).select(F.col("dst").alias("id")).distinct()
+        front = materialise(step.join(seen[k], "id", "left_anti"), "path-front")
+        sizes[k], met = front.join(sides[1 - k][-1].withColumn("_met", F.lit(1)), "id", "left").agg(F.count(F.lit(1)), F.count("_met")).first()
+        if not sizes[k]:
+            return empty
+        sides[k].append(front)
+        seen[k] = seen[k].union(front)
+        if len(sides[k]) % 16 == 0:
+            seen[k] = materialise(seen[k], "path-seen")
+        if met:
+            break
+    # layers from the source: those of its side, and beyond the meeting those of the other side, nearest first
+    a, b = sides
+    onto = materialise(a[-1].join(b[-1], "id", "left_semi"), "path-layer")
+    layers = [onto]
+    for own in reversed(a[:-1]):
+        before = layers[0].join(both, layers[0]["id"] == both["dst"]).select(F.col("src").alias("id")).distinct()
+        layers.insert(0, materialise(before.join(own, "id", "left_semi"), "path-layer"))
+    for own in reversed(b[:-1]):
+        after = layers[-1].join(both, layers[-1]["id"] == both["src"]).select(F.col("dst").alias("id")).distinct()
+        layers.append(materialise(after.join(own, "id", "left_semi"), "path-layer"))
+    path = [source]
+    for own in layers[1:]:
+        # every node of a layer lies on a shortest path to the source; the least next one need not lead on to the target if it was
+        # reached from the source's side only, but layers before the meeting were found backwards from it
+        path.append(both.filter(F.col("src") == path[-1]).select(F.col("dst").alias("id")).join(own, "id", "left_semi").agg(F.min("id")).first()[0])
+    return spark.createDataFrame([(len(path) - 1, ">".join(path))], "length int, path string")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wardline.functions.patterns import ATTACK_TYPES
 from wardline.functions.scalars import contains_any, fill_template, when_chain
+from wardline.operators.neighbours import PivotIndex
+from wardline.storage import materialise
 
 
 def chunk_documents(docs: DataFrame, parts: list[str], metadata: list[str], key: str = "id") -> DataFrame:
@@ -29,35 +31,27 @@ def hashed_embedding(text: str = "content", dims: int = 64) -> Column:
     return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
 def knn_join(queries: DataFrame, base: DataFrame, k: int = 1, metric: str = "cosine", query_key: str = "query_id", base_key: str = "base_id", chunk: int = 1024, but_itself: bool = False) -> DataFrame:
-    """(query_key, base_key, distance, rank): the ``k`` nearest base vectors of each query, exactly.
+    """(query_key, base_key, distance, rank): the ``k`` nearest base vectors of each query, exactly; ties go to the smaller key.
 
-    Both tables are cut by a hash into parts of about ``chunk`` rows, whatever their size; every part of the queries meets every
-    part of the base by an equal key, each query keeps its ``k`` best there, and the winners of the parts are merged.
-    ``cosine`` is 1 - similarity, ``l2sq`` the squared distance. With ``but_itself`` a base row with the query's key is no neighbour.
+    ``cosine`` is 1 - similarity, ``l2sq`` the squared distance. With ``but_itself`` a base row with the query's key is no neighbour. Queries
+    visit only the parts of the base that may hold one of their neighbours: see ``neighbours``. Vectors that are null, empty or hold a null or
+    non-finite component, and for cosine zero ones, take no part; vectors of different dimensions don't meet. A query row that occurs twice is
+    answered twice.
     """
-    v = base.select(F.col(base_key).alias("_b"), F.col("embedding").alias("_e"))
-    norm = lambda c: F.sqrt(dot(c, c))
-
-    def distance(e: Column) -> Column:
-        if metric == "cosine":
-            return 1 - dot("embedding", e) / (norm("embedding") * norm(e))
-        return dot("embedding", "embedding") + dot(e, e) - 2 * dot("embedding", e)
-
-    own = queries.select(query_key, "embedding")
-    blocks, parts = (max(1, -(-t.count() // chunk)) for t in (v, own))
-    lists = v.groupBy(F.pmod(F.xxhash64("_b", "_e"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("_b", "_e")).alias("_rows"))
-    lists = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    own = own.withColumn("_part", F.pmod(F.xxhash64(query_key, "embedding"), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    others = F.filter("_rows", lambda r: ~r["_b"].eqNullSafe(F.col(query_key))) if but_itself else F.col("_rows")
-    best = F.slice(F.sort_array(F.transform(others, lambda r: F.struct(distance(r["_e"]).alias("distance"), r["_b"].alias("_b")))), 1, k)
-    each = own.join(lists, ["_part", "_block"]).select(query_key, F.explode(best).alias("x")).select(query_key, "x._b", "x.distance")
-    w = Window.partitionBy(query_key).orderBy("distance", "_b")
-    return each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_key, F.col("_b").alias(base_key), "distance", "rank")
+    own = materialise(queries.select(query_key, "embedding").withColumn("q", F.monotonically_increasing_id()), "knn-queries")
+    found, _ = PivotIndex(base, metric, base_key, chunk=chunk).rounds(own, k)
+    x = own.select(query_key, "q").join(found, "q")
+    x = x.filter(~F.col("b").eqNullSafe(F.col(query_key))) if but_itself else x
+    w = Window.partitionBy(query_key, "q").orderBy("distance", "b")
+    return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_key, F.col("b").alias(base_key), "distance", "rank")
+
+
+def knn_visits(queries: DataFrame, base: DataFrame, k: int = 1, metric: str = "cosine", query_key: str = "query_id", base_key: str = "base_id") -> DataFrame:
+    """(query_key, visited, parts): how many of the base's parts each query had to search."""
+    own = materialise(queries.select(query_key, "embedding").withColumn("q", F.monotonically_increasing_id()), "knn-queries")
+    _, visits = PivotIndex(base, metric, base_key).rounds(own, k)
+    return own.select(query_key, "q").join(visits, "q").drop("q")
 
 
 def similar_events(queries: DataFrame, base: DataFrame, k: int = 3, least: float = 0.8, but_itself: bool = False) -> DataFrame:
