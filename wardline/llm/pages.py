@@ -12,6 +12,8 @@ more of the host's different pages, and in ``LEAST_PAGES`` or more.
 
 Equal line lists of a host are one page. The different pages get their places in the order of host and path, and blocks
 of neighbouring places are worked on with the rows beside them, so that neither a partition's nor a batch's border hides a neighbour.
+A page whose next ``NEIGHBOURS`` places on both sides hold copies only lies in a run of copies (a run starts at a page that is no
+copy of those just before it); it is compared with the first pages of the runs around its own, in widening circles until one is no copy.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.storage import materialise
@@ -49,9 +51,27 @@ _WORDS = set(
     "widgets pagination pager toolbar paywall".split()
 )
 _PAGE_WORDS = {"header", "masthead", "topbar", "skip", "site-header"}
+# what may stand beside such a word in a compound name: places, shapes and parts, not matters
+_LAYOUT = set(
+    "area banner bar block body bottom box btn button buttons center col column container content cta fixed float footer form global grid head "
+    "header holder icon icons image img inner item items js large layout left link links list main mobile module nav outer overlay page pane "
+    "panel primary region right row section secondary shell side site slot small sticky strip sub tab tabs title toggle top ui unit view widget "
+    "wrap wrapper zone".split()
+)
 _IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 
 
+def _names_furniture(value: str, names: set[str]) -> bool:
+    """Whether a class or id names page furniture: a whole token does, or one of its parts while the others say where or how it stands."""
+    for token in value.split():
+        if token in names:
+            return True
+        parts = [x for x in re.split(r"[_-]+", token) if x]
+        if len(parts) > 1 and any(x in names for x in parts) and all(x in names or x in _LAYOUT or x.isdigit() for x in parts):
+            return True
+    return False
+
+
 def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
     if tag in _NEVER or tag == "header" and not inside:
         return True
@@ -63,10 +83,8 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "role" and value in _ROLES:
             return True
-        if name in ("class", "id"):
-            words = set(re.split(r"[\s_-]+", value)) | set(value.split())
-            if words & _WORDS or not inside and words & _PAGE_WORDS:
-                return True
+        if name in ("class", "id") and (_names_furniture(value, _WORDS) or not inside and _names_furniture(value, _PAGE_WORDS)):
+            return True
     return False
 
 
@@ -226,16 +244,28 @@ def line_hashes(lines: list[str]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) - (1 << 63) for x in lines]
 
 
-def shared_with_nearest(own: list[int], others: list[list[int]], declared: bool) -> list[int]:
-    """Places of the lines ``own`` shares with the first of the ``others`` that is no copy; none if all are.
+def is_copy(own: list[int], other: list[int], gone: set[int], declared: bool) -> bool:
+    """Whether a page that shares the places ``gone`` with ``other`` is its copy: it has all lines of an undeclared page, or more than half those of a declared one."""
+    return 2 * len(gone) > len(own) if declared else len(gone) == len(own)
 
-    A copy has all lines of an undeclared page, or more than half those of a declared one.
-    """
+
+def shared_with_nearest(own: list[int], others: list[list[int]], declared: bool) -> list[int] | None:
+    """Places of the lines ``own`` shares with the first of the ``others`` that is no copy; None if all are."""
     for other in others:
         gone = shared_lines(own, other)
-        if 2 * len(gone) <= len(own) if declared else len(gone) < len(own):
+        if not is_copy(own, other, gone, declared):
             return sorted(gone)
-    return []
+    return None
+
+
+def _repeats_one(own: list[int], others: list[list[int]], declared: bool) -> bool:
+    """Whether ``own`` is a copy of any of the others; pages with too few common lines aren't aligned."""
+    for other in others:
+        held = set(other)
+        common = sum(x in held for x in own)
+        if (2 * common > len(own) if declared else common == len(own)) and is_copy(own, other, shared_lines(own, other), declared):
+            return True
+    return False
 
 
 def _places(distinct: DataFrame) -> tuple[DataFrame, int]:
@@ -253,6 +283,9 @@ def _places(distinct: DataFrame) -> tuple[DataFrame, int]:
     return rows.withColumn("place", F.col("start") + F.col("place") - F.shiftleft("part", 33)).drop("part", "start"), total
 
 
+_SHARED = "host string, same long, salts array<int>, declared boolean, gone array<int>, lines array<long>"
+
+
 def _shared(distinct: DataFrame, neighbours: int) -> DataFrame:
     """(host, same, salts, declared, gone, lines): places and hashes of the lines each different page shares with its nearest one."""
     rows, total = _places(distinct)
@@ -262,7 +295,7 @@ def _shared(distinct: DataFrame, neighbours: int) -> DataFrame:
     rows = rows.select("block", "place", "mine", "host", "same", "salts", "marks", "hashes").repartition("block").sortWithinPartitions("block", "place")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["host", "same", "salts", "declared", "gone", "lines"]
+        names = ["host", "same", "salts", "declared", "gone", "lines", "block", "place", "start", "open"]
         last, held = None, []
 
         def flush() -> Iterator[pd.DataFrame]:
@@ -275,9 +308,10 @@ def _shared(distinct: DataFrame, neighbours: int) -> DataFrame:
                     continue
                 near = [j for d in range(1, neighbours + 1) for j in (i - d, i + d) if 0 <= j < len(held) and hosts[j] == hosts[i]]
                 own, side = (marked[i], marked) if marked[i] else (every[i], every)
-                gone = shared_with_nearest(own, [side[j] for j in near if side[j]], bool(marked[i]))
-                if gone:
-                    out.append((r.host, r.same, r.salts, bool(marked[i]), gone, [own[k] for k in gone]))
+                declared = bool(marked[i])
+                gone = shared_with_nearest(own, [side[j] for j in near if side[j]], declared)
+                start = not _repeats_one(own, [side[j] for j in near if j < i and side[j]], declared)
+                out.append((r.host, r.same, r.salts, declared, gone or [], [own[k] for k in gone or []], r.block, r.place, start, gone is None and bool(near)))
             if out:
                 yield pd.DataFrame(out, columns=names)
 
@@ -289,7 +323,48 @@ def _shared(distinct: DataFrame, neighbours: int) -> DataFrame:
                 held.append(r)
         yield from flush()
 
-    return rows.mapInPandas(walk, "host string, same long, salts array<int>, declared boolean, gone array<int>, lines array<long>")
+    found = materialise(rows.mapInPandas(walk, f"{_SHARED}, block long, place long, start boolean, open boolean"), "page-near")
+    done = found.filter("size(gone) > 0").select("host", "same", "salts", "declared", "gone", "lines")
+    open_ = found.filter("open")
+    if open_.isEmpty():
+        return done
+    # the number of a page's run on its host: starts in the blocks before, and in its own up to it
+    starts = F.when(F.col("start"), 1).otherwise(0)
+    sums = found.groupBy("host", "block").agg(F.sum(starts).alias("n"))
+    sums = sums.select("host", "block", F.coalesce(F.sum("n").over(Window.partitionBy("host").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    upto = Window.partitionBy("host", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    runs = materialise(found.withColumn("k", F.sum(starts).over(upto)).join(sums, ["host", "block"]).select("host", "same", "salts", "declared", "start", "open", (F.col("k") + F.col("base")).alias("run")), "page-runs")
+    heads = materialise(runs.filter("start").select("host", "same", "run").join(distinct.select("host", "same", "hashes", "marks"), ["host", "same"]).select("host", "run", "hashes", "marks"), "page-heads")
+    todo = runs.filter("open").select("host", "same", "salts", "run").join(distinct.select("host", "same", "hashes", "marks"), ["host", "same"])
+    todo = materialise(todo, "page-open")
+    most = runs.groupBy("host").agg((F.max("run") - F.min("run")).alias("n")).agg(F.max("n")).first()[0]
+    low, high = 1, neighbours
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                own = [h for h, m in zip(r.hashes, r.marks) if m]
+                declared = bool(own)
+                own = own or list(r.hashes)
+                others = [[h for h, m in zip(x["hashes"], x["marks"]) if m] if declared else list(x["hashes"]) for x in sorted(r.heads, key=lambda x: (x["far"], x["run"]))]
+                gone = shared_with_nearest(own, [x for x in others if x], declared)
+                out.append((r.host, r.same, r.salts, declared, gone, [own[k] for k in gone or []]))
+            yield pd.DataFrame(out, columns=["host", "same", "salts", "declared", "gone", "lines"])
+
+    while low <= most:
+        reach = F.array(*[F.col("run") + x for d in range(low, high + 1) for x in (-d, d)])
+        near = todo.withColumn("at", F.explode(reach)).join(heads.select("host", F.col("run").alias("at"), F.col("hashes").alias("hh"), F.col("marks").alias("mm")), ["host", "at"])
+        head = F.struct(F.abs(F.col("at") - F.col("run")).alias("far"), F.col("at").alias("run"), F.col("hh").alias("hashes"), F.col("mm").alias("marks"))
+        near = near.groupBy("host", "same").agg(*(F.first(c).alias(c) for c in ("salts", "hashes", "marks")), F.collect_list(head).alias("heads"))
+        told = materialise(near.select("host", "same", "salts", "hashes", "marks", "heads").mapInPandas(compare, _SHARED), "page-wider")
+        settled = told.filter("gone is not null")
+        done = done.union(settled.filter("size(gone) > 0"))
+        todo = materialise(todo.join(settled.select("host", "same"), ["host", "same"], "left_anti"), "page-open")
+        if todo.isEmpty():
+            break
+        low, high = high + 1, 3 * high
+    return done
 
 
 def main_text(pages: DataFrame, neighbours: int = NEIGHBOURS, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -311,6 +386,7 @@ def main_text(pages: DataFrame, neighbours: int = NEIGHBOURS, least_pages: int =
         "host": F.lower(F.regexp_extract(bare, r"^[^/?#]*", 0)), "path": F.regexp_replace(F.regexp_replace(bare, r"^[^/?#]*", ""), r"[?#].*$", ""),
         "same": F.xxhash64("hashes", "marks"), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"),
     })
+    keyed = materialise(keyed, "page-lines")
     distinct = keyed.groupBy("host", "same").agg(F.min("path").alias("path"), F.collect_set("salt").alias("salts"), F.first("hashes").alias("hashes"), F.first("marks").alias("marks"))
     distinct = materialise(distinct, "page-distinct")
     shared = materialise(_shared(distinct, neighbours), "page-shared")
