@@ -16,12 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.batches import in_fold, in_sample, runs, text_bytes
+from wardline.storage import materialise
 
 ORDER, TRAIN_DOCS, UNKNOWN = 4, 300, "und"
+TRAIN_BYTES, BLOCK = 8 << 20, 8  # bytes of all training texts; languages whose trees share their tables
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -125,7 +127,7 @@ class ContextTrees:
         return out
 
     def code_lengths(self, texts: list, step: int = 1 << 20) -> np.ndarray:
-        """Bits of each text in each language; long texts are walked in steps that carry their context along."""
+        """Bits of each text in each language of the block; long texts are walked in steps that carry their context along."""
         pad, total = b"\0" * self.order, np.zeros((len(texts), len(self.langs)))
         raw = [prepare(t) for t in texts]
         data = np.frombuffer(pad + pad.join(raw), dtype=np.uint8)
@@ -142,28 +144,47 @@ class ContextTrees:
         return total
 
 
-def sample_texts(docs: DataFrame, label: str, per_label: int, max_labels: int | None = None) -> dict[str, list[str]]:
-    """At most ``per_label`` whole texts of each label, chosen by a hash of doc_id; of all labels unless ``max_labels`` keeps the most frequent."""
-    n = docs.groupBy(label).count().orderBy(F.desc("count"), label)
-    n = (n.limit(max_labels) if max_labels else n).collect()
-    if not n:
+class Model:
+    """Context trees of blocks of BLOCK languages each: what is held grows with the training bytes, not with their product with the languages."""
+
+    def __init__(self, texts: dict[str, list[str]], order: int = ORDER, block: int = BLOCK):
+        self.langs = sorted(texts)
+        self.trees = [ContextTrees({x: texts[x] for x in self.langs[i : i + block]}, order) for i in range(0, len(self.langs), block)]
+
+    def code_lengths(self, texts: list) -> np.ndarray:
+        return np.hstack([t.code_lengths(texts) for t in self.trees])
+
+
+def sample_texts(docs: DataFrame, label: str, per_label: int, most_bytes: int = TRAIN_BYTES) -> dict[str, list[str]]:
+    """At most ``per_label`` whole texts of each label, chosen by a hash of doc_id, of ``most_bytes`` UTF-8 bytes in all labels together.
+
+    Each label has an equal room; texts of more than a quarter of it are not chosen. Labels are counted and joined, not
+    listed in the plan, and only the chosen texts reach the driver.
+    """
+    n = materialise(docs.groupBy(label).count(), "language-counts")
+    labels = n.count()
+    if not labels:
         return {}
-    share = F.coalesce(*(F.when(F.col(label) == r[0], F.lit(min(1.0, (per_label + 3 * per_label**0.5) / r["count"]))) for r in n), F.lit(0.0))
-    h = F.xxhash64("doc_id").alias("h")
-    rows = docs.filter(in_sample("doc_id", share)).select(label, "text", h).orderBy("h", label, "text").limit(2 * per_label * len(n)).collect()
+    room = most_bytes // labels
+    rows = docs.select("doc_id", label, "text", F.octet_length("text").alias("size")).filter(F.col("size") <= room // 4)
+    share = F.least(F.lit(1.0), (per_label + 3 * per_label**0.5) / F.col("count"))
+    rows = rows.join(n, label).filter(in_sample("doc_id", share)).withColumn("h", F.xxhash64("doc_id"))
+    order = Window.partitionBy(label).orderBy("h", "text")
+    some = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_label)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    some = some.withColumn("bytes", F.sum("size").over(upto)).filter(F.col("bytes") <= room)
     out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["h"], r["text"])):
-        if len(out.setdefault(r[0], [])) < per_label:
-            out[r[0]].append(r["text"])
+    for r in sorted(some.select(label, "text", "h").collect(), key=lambda r: (r["h"], r["text"])):
+        out.setdefault(r[0], []).append(r["text"])
     return out
 
 
-def train(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS) -> ContextTrees:
-    """Fit on a bounded sample: ``train_docs`` documents a language, with non-null text and lang."""
-    return ContextTrees(sample_texts(docs.filter("text is not null and lang is not null"), "lang", train_docs), order)
+def train(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on a bounded sample: ``train_docs`` documents a language, with non-null text and lang, of ``train_bytes`` in all."""
+    return Model(sample_texts(docs.filter("text is not null and lang is not null"), "lang", train_docs, train_bytes), order)
 
 
-def predict(docs: DataFrame, model: ContextTrees) -> DataFrame:
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text; score: the best language's probability given equal priors.
 
     Null texts, texts without a letter, and all texts if nothing was learned are ``und`` with score 0; ties go to
