@@ -97,8 +97,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, curves: int = CU
     Empty tables give an empty table. A task's group holds about ``rows`` stored vectors and ``asked_rows`` queries.
     """
     good = usable(vectors).filter("vec_id is not null")
-    lists = good.groupBy("embedding", F.pmod("vec_id", F.lit(SALTS)).alias("salt")).agg(F.first("dim").alias("dim"), F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    nodes = lists.groupBy("embedding").agg(F.first("dim").alias("dim"), F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    # the k + 1 smallest ids of each salt of an equal vector, then of all salts: no list is longer than that
+    salted = Window.partitionBy("h", "g", "salt").orderBy("vec_id")
+    some = good.withColumn("salt", F.pmod("vec_id", F.lit(SALTS))).withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= k + 1)
+    ids = F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1)
+    nodes = some.groupBy("h", "g").agg(F.first("embedding").alias("embedding"), F.first("dim").alias("dim"), ids.alias("ids")).drop("h", "g")
     base = materialise(_with_keys(nodes, curves), "curve-nodes")
     wanted = usable(queries).filter("vec_id is not null")
     once = wanted.groupBy("embedding").agg(*(F.first(c).alias(c) for c in ("dim", "h", "g"))).withColumn("q", F.monotonically_increasing_id())
