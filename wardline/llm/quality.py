@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from wardline.llm.batches import in_fold, in_sample, runs, runs_of, text_bytes
 
 TRAIN_DOCS, TRAIN_BYTES = 3000, 16 << 20  # bounds of the sample the field is fitted on
-RUN_BYTES = 1 << 19  # texts whose features are made at once: these are a hundred times as large
+RUN_BYTES = 1 << 18  # texts whose features are made at once: these are a hundred times as large
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _KIND = np.full(256, 4, dtype=np.int32)  # 0 lower, 1 upper, 2 digit, 3 white space, 4 other, then each mark
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 0, 1, 2
