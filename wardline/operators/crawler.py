@@ -89,8 +89,44 @@ def co_access(windowed: DataFrame, chunk: int = 256) -> DataFrame:
     return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def window_members(windowed: DataFrame) -> DataFrame:
+    """(win, session_id): the distinct named sessions of every window."""
+    return windowed.filter(F.coalesce("session_id", F.lit("")) != "").select(F.col("win").cast("long").alias("win"), "session_id").distinct()
+
+
+def star_edges(members: DataFrame) -> DataFrame:
+    """(a, b, weight): every session of a window with the window's least one: the components of all pairs from n - 1 edges a window."""
+    least = members.groupBy("win").agg(F.min("session_id").alias("a")).select(unclustered("win"), "a")
+    return members.join(least, "win").filter("a < session_id").select("a", F.col("session_id").alias("b"), F.lit(1).alias("weight")).distinct()
+
+
+def peers_met(members: DataFrame, exact: int = 10_000) -> DataFrame:
+    """(session_id, peers): how many other sessions each session shares a window with.
+
+    A session of one window meets the window's others, so no pairs are made for it. Of a session of several windows the union of their members is
+    counted: by distinct pairs up to ``exact`` members in all, beyond by merging a sketch a window (HyperLogLog with 2^14 registers: a
+    standard error of 0.8 %).
+    """
+    size = members.groupBy("win").agg(F.count(F.lit(1)).alias("n")).select(unclustered("win"), "n")
+    sized = members.join(size, "win")
+    own = sized.groupBy("session_id").agg(F.count(F.lit(1)).alias("wins"), F.sum("n").alias("total"))
+    single = own.filter("wins = 1").select("session_id", (F.col("total") - 1).alias("peers"))
+    several = members.join(own.filter("wins > 1").select("session_id", "total"), "session_id")
+    few = several.filter(F.col("total") <= exact).select("win", "session_id").join(members.withColumnRenamed("session_id", "peer"), "win")
+    few = few.filter("peer <> session_id").select("session_id", "peer").distinct().groupBy("session_id").agg(F.count(F.lit(1)).alias("peers"))
+    many = several.filter(F.col("total") > exact).select("win", "session_id")
+    # sketches are only made for windows of such sessions; a large window's members are pre-aggregated in their tasks
+    wide = many.select("win").distinct()
+    sketches = members.join(wide, "win", "left_semi").groupBy("win").agg(F.hll_sketch_agg("session_id", 14).alias("sketch")).select(unclustered("win"), "sketch")
+    many = many.join(sketches, "win").groupBy("session_id").agg((F.hll_sketch_estimate(F.hll_union_agg("sketch")) - 1).alias("peers"))
+    return single.union(few).union(many)
+
+
 def clusters(edges: DataFrame, least_weight: int = 1, least_size: int = 3) -> DataFrame:
-    """(session_id, cluster_id, cluster_size): components of the co-access graph; the id is the least member."""
+    """(session_id, cluster_id, cluster_size): components of the co-access graph; the id is the least member.
+
+    ``edges``: of ``star_edges`` where one shared window links, of ``co_access`` where more are asked for.
+    """
     strong = edges.filter(F.col("weight") >= least_weight)
     names = strong.select(F.col("a").alias("session_id")).union(strong.select("b")).distinct()
     coded = names.withColumn("node", F.xxhash64("session_id"))
@@ -100,19 +136,25 @@ def clusters(edges: DataFrame, least_weight: int = 1, least_size: int = 3) -> Da
     return members.join(size, "component").select("session_id", "cluster_id", "cluster_size")
 
 
-def co_access_scores(members: DataFrame, edges: DataFrame, records: DataFrame, peers: int = 10) -> DataFrame:
-    """(session_id, co_access): mean of the share of cluster mates it meets and its path overlap with the first ``peers`` of them."""
-    paths = records.groupBy("session_id").agg(F.collect_set("path").alias("paths"))
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("session_id", "peer")
-    mates = members.select(F.col("session_id").alias("peer"), F.col("cluster_id").alias("peer_cluster"))
-    met = both.join(members, "session_id").join(mates, "peer").filter("cluster_id = peer_cluster")
-    met = met.groupBy("session_id").agg((F.count(F.lit(1)) / (F.max("cluster_size") - 1)).alias("peer_ratio"))
+def co_access_scores(members: DataFrame, met: DataFrame, records: DataFrame, peers: int = 10) -> DataFrame:
+    """(session_id, co_access): mean of the share of cluster mates it meets (``met``: session_id, peers) and its path overlap with the first ``peers`` of them.
+
+    All whom a session meets are in its cluster. Overlaps are counted over distinct paths, not over sets in a row.
+    """
+    share = members.join(met, "session_id").select("session_id", (F.col("peers") / (F.col("cluster_size") - 1)).alias("peer_ratio"))
     first = members.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("session_id"))).filter(F.col("_r") <= peers + 1)
     pairs = members.join(first.select("cluster_id", F.col("session_id").alias("peer"), "_r"), "cluster_id").filter("session_id <> peer")
-    pairs = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("session_id").orderBy("_r"))).filter(F.col("_k") <= peers)
-    sims = pairs.join(paths, "session_id").join(paths.select(F.col("session_id").alias("peer"), F.col("paths").alias("other")), "peer")
-    sims = sims.groupBy("session_id").agg(F.avg(jaccard("paths", "other")).alias("overlap"))
-    return met.join(sims, "session_id").select("session_id", F.round((F.col("peer_ratio") + F.col("overlap")) / 2, 4).alias("co_access"))
+    # the first peers + 1 of the cluster without the session itself, at most peers of them: the last goes if the session is not among them
+    mine = first.select("session_id", F.lit(True).alias("_own"))
+    pairs = pairs.join(mine, "session_id", "left").filter(F.col("_own").isNotNull() | (F.col("_r") <= peers)).select("session_id", "peer")
+    paths = records.select("session_id", "path").distinct()
+    n = paths.groupBy("session_id").agg(F.count("path").alias("n"))
+    common = pairs.join(paths.filter("path is not null"), "session_id").join(paths.select(F.col("session_id").alias("peer"), "path"), ["peer", "path"])
+    common = common.groupBy("session_id", "peer").agg(F.count(F.lit(1)).alias("both"))
+    sims = pairs.join(n, "session_id").join(n.select(F.col("session_id").alias("peer"), F.col("n").alias("m")), "peer").join(common, ["session_id", "peer"], "left")
+    both = F.coalesce("both", F.lit(0))
+    sims = sims.groupBy("session_id").agg(F.avg(ratio(both.cast("double"), F.col("n") + F.col("m") - both)).alias("overlap"))
+    return share.join(sims, "session_id").select("session_id", F.round((F.col("peer_ratio") + F.col("overlap")) / 2, 4).alias("co_access"))
 
 
 # ---- coverage
@@ -197,6 +239,38 @@ def network_scores(sessions: DataFrame, similarity: DataFrame, group: str = "pat
     return sessions.join(similarity, group).select("session_id", score.alias("network_score"))
 
 
+PREFIXES = {8: 0.2, 16: 0.3, 24: 0.5}  # bits of an address's prefix, and the weight of its level
+
+
+def _prefix(bits: int) -> Column:
+    return F.substring_index("source_ip", ".", bits // 8)
+
+
+def prefix_rollup(records: DataFrame, group: str = "pattern") -> DataFrame:
+    """(group, bits, prefixes, requests, entropy, divergence): how a group's requests are spread over address prefixes.
+
+    ``entropy`` of the group's own distribution; ``divergence`` from all requests' distribution (Kullback-Leibler), both in bits: 0 where the
+    group comes from everywhere as all do, large where it sits in few prefixes. Requests without an address are left out.
+    """
+    level = F.explode(F.array(*(F.struct(F.lit(b).alias("bits"), _prefix(b).alias("prefix")) for b in PREFIXES)))
+    own = records.filter("source_ip is not null").select(group, level.alias("x")).groupBy(group, "x.bits", "x.prefix").agg(F.count(F.lit(1)).cast("double").alias("f"))
+    every = own.groupBy("bits", "prefix").agg(F.sum("f").alias("all"))
+    total = every.groupBy("bits").agg(F.sum("all").alias("t"))
+    mine = own.groupBy(group, "bits").agg(F.sum("f").alias("n"))
+    x = own.join(every, ["bits", "prefix"]).join(mine.select(F.col(group).alias("_g"), F.col("bits").alias("_b"), "n"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("bits") == F.col("_b"))).join(total, "bits")
+    p = F.col("f") / F.col("n")
+    g = x.groupBy(group, "bits").agg(F.count(F.lit(1)).alias("prefixes"), F.max("n").cast("long").alias("requests"), F.sum(-p * F.log2(p)).alias("entropy"), F.sum(p * F.log2(p / (F.col("all") / F.col("t")))).alias("divergence"))
+    return g.select(group, "bits", "prefixes", "requests", F.round(F.abs("entropy"), 6).alias("entropy"), F.round(F.greatest("divergence", F.lit(0.0)), 6).alias("divergence"))
+
+
+def prefix_scores(records: DataFrame, group: str = "pattern") -> DataFrame:
+    """(session_id, network_score): its group's concentration, the weighted mean over the levels of 1 - 2^-divergence, without any name's hint."""
+    weight = when_chain((F.col("bits") == b, F.lit(w)) for b, w in PREFIXES.items())
+    score = prefix_rollup(records, group).groupBy(group).agg(F.round(F.sum(weight * (1 - F.pow(F.lit(2.0), -F.col("divergence")))), 4).alias("network_score"))
+    of = records.groupBy("session_id").agg(F.min(group).alias("_g"))
+    return of.join(score, F.col("_g").eqNullSafe(F.col(group)), "left").select("session_id", F.coalesce("network_score", F.lit(0.0)).alias("network_score"))
+
+
 def crowd_stats(sessions: DataFrame) -> DataFrame:
     """Share of the malicious sessions with at most two requests."""
     bad = F.contains("session_id", F.lit("malicious"))
@@ -218,9 +292,9 @@ def fusion(records: DataFrame, seconds: int = 5, group: Column | None = None, ne
     rows = materialise(rows.select("session_id", "pattern", "path", "ts"), "fusion-rows")  # five branches read these columns
     sessions = rows.groupBy("session_id").agg(F.first("pattern").alias("pattern"), F.count(F.lit(1)).alias("n"), F.collect_set("path").alias("paths"))
     windowed = anchored_windows(rows, seconds) if anchored else grid_windows(rows, seconds)
-    edges = materialise(co_access(windowed), "fusion-edges")
-    members = materialise(clusters(edges), "fusion-members")
-    score = co_access_scores(members, edges, rows)
+    inside = materialise(window_members(windowed), "fusion-windows")
+    members = materialise(clusters(star_edges(inside)), "fusion-members")
+    score = co_access_scores(members, peers_met(inside), rows)
     net = network if network is not None else network_scores(sessions, group_similarity(sessions))
     cov = coverage(rows, "pattern").withColumnRenamed("grp", "_grp")
     names = ["coverage_entropy", "coverage_completeness", "sequential_score", "idle_session_ratio", "suspicious_low_entropy", "suspicious_fragmented"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.patterns import ATTACK_TYPES
 from wardline.functions.scalars import ratio
+from wardline.storage import materialise
 
 
 def _n(condition: Column) -> Column:
@@ -28,13 +29,22 @@ def confusion(df: DataFrame, truth: str = "y", predicted: str = "p", by: list[st
 def roc_auc(df: DataFrame, truth: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """Exact area under the ROC curve by ranks over distinct scores; 0 with a single class.
 
-    Only the counts per distinct score pass the running sum's window, not the rows.
+    A prefix sum in two levels: the counts per distinct score are cut into ranges of scores, each range is summed, the
+    ranges' sums are scanned (a row a range), and every range is scanned from what lies below it. So scores that are
+    all different, without groups, are no one task's.
     """
     keys = by or []
     counts = df.groupBy(*keys, score).agg(_n(F.col(truth) == 1).alias("pos"), _n(F.col(truth) != 1).alias("neg"))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(score)
-    ranked = counts.withColumn("below", F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    g = ranked.groupBy(*keys).agg(F.sum(F.col("pos") * (F.coalesce("below", F.lit(0.0)) + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
+    counts = materialise(counts.repartitionByRange(score).withColumn("_range", F.spark_partition_id()), "auc-ranges")
+    over = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy(*keys, "_range").agg(F.sum("neg").alias("neg")).select(*(F.col(c).alias(f"_{c}") for c in keys), F.col("_range").alias("_r"), F.coalesce(F.sum("neg").over(over), F.lit(0.0)).alias("_base"))
+    here = Window.partitionBy(*keys, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("below", F.coalesce(F.sum("neg").over(here), F.lit(0.0)))
+    same = F.col("_range") == F.col("_r")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    ranked = ranked.join(ranges, same)
+    g = ranked.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("_base") + F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return g.select(*keys, ratio(F.col("u"), F.col("np") * F.col("nn")).alias("auc"))
 
 

@@ -9,12 +9,14 @@ from wardline.functions import requests as R
 from wardline.functions import scalars as S
 from wardline.functions.patterns import CATEGORY_TYPES, FAMILIES, SIGNATURES
 from wardline.operators import crawler as C
+from wardline.operators import latency as T
 from wardline.operators import metrics as M
 from wardline.operators import ordering as O
 from wardline.operators import sessions as Se
 from wardline.operators.incidents import severity_flags, severity_rank
 from wardline.plans import views as V
 from wardline.sources import logs as L
+from wardline.storage import materialise
 
 QUERIES, SQL = {}, {}
 
@@ -172,6 +174,26 @@ def traversal_decision(spark, d):
     return p.select("page_id", R.traversal_decision().alias("flagged"))
 
 
+_RUNS = """seq AS (SELECT *, coalesce(response_time <= lag(response_time) OVER w, false)::INT AS cut FROM req WHERE response_time > 0 WINDOW w AS (PARTITION BY endpoint ORDER BY ts, log_id)),
+ num AS (SELECT *, sum(cut) OVER (PARTITION BY endpoint ORDER BY ts, log_id ROWS UNBOUNDED PRECEDING) AS run FROM seq)"""
+
+
+@query("q01_rising_latency", V.with_(V.REQ, _RUNS) + """SELECT endpoint, cast(run AS BIGINT) AS run, arg_min(log_id, (ts, log_id)) AS first_id, arg_max(log_id, (ts, log_id)) AS last_id, count(*) AS steps, min(response_time) AS first_ms, max(response_time) AS last_ms
+ FROM num GROUP BY ALL HAVING max(response_time) > 2 * min(response_time)""")
+def rising(spark, d):
+    return T.rising_latency(V.requests(spark, d))
+
+
+_SLOW_RUNS = """slo AS (SELECT *, coalesce(response_time > CASE WHEN contains(lower(path), '/admin') THEN 3000 WHEN regexp_matches(lower(path), 'report|export|sync|bulk') THEN 4000 WHEN method = 'GET' AND (contains(path, '?') OR regexp_matches(lower(path), 'search|batch')) THEN 3000 ELSE 2000 END OR response_time > 5000, false) AS slow FROM req),
+ seq AS (SELECT *, coalesce(slow <> lag(slow) OVER w, false)::INT AS cut FROM slo WINDOW w AS (PARTITION BY endpoint ORDER BY ts, log_id)),
+ num AS (SELECT *, sum(cut) OVER (PARTITION BY endpoint ORDER BY ts, log_id ROWS UNBOUNDED PRECEDING) AS run FROM seq)"""
+
+
+@query("q01_repeated_latency", V.with_(V.REQ, _SLOW_RUNS) + "SELECT endpoint, cast(run AS BIGINT) AS run, arg_min(log_id, (ts, log_id)) AS first_id, arg_max(log_id, (ts, log_id)) AS last_id, count(*) AS steps FROM num WHERE slow GROUP BY ALL HAVING count(*) >= 3")
+def repeated(spark, d):
+    return T.repeated_latency(V.requests(spark, d))
+
+
 @query("q04_q05_q06_text_decisions", """SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(password|secret|api[_-]?key|token)\\s*[:=]\\s*.?[*xX]{4,}') THEN 0e0
  WHEN regexp_matches(text, '(?i)(password|secret|api[_-]?key|private[_-]?key|token)\\W{0,3}[:=]\\s*[''"]?[^\\s''"*]{6,}') THEN 0.95e0
  WHEN regexp_matches(text, '\\b[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}\\b|\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b') THEN 0.85e0 WHEN regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}') THEN 0.7e0 ELSE 0e0 END AS leak,
@@ -257,8 +279,7 @@ _recursive = lambda *parts: V.with_(*parts).replace("WITH ", "WITH RECURSIVE ",
 
 @query("g01_clusters", _recursive(V.REQ, V.SES, _NAM, _MET, _CLU) + "SELECT * FROM clu")
 def clusters(spark, d):
-    s = V.sessions(spark, d)
-    return C.clusters(C.co_access(C.grid_windows(s, 120)))
+    return C.clusters(C.star_edges(C.window_members(C.grid_windows(V.sessions(spark, d), 120))))
 
 
 _CO = """pth AS (SELECT session_id, list(DISTINCT path) AS paths FROM nam GROUP BY 1), rto AS (SELECT x.session_id, count(*) / (any_value(x.cluster_size) - 1) AS peer_ratio FROM lnk JOIN clu x ON lnk.a = x.session_id GROUP BY 1),
@@ -270,8 +291,8 @@ _CO = """pth AS (SELECT session_id, list(DISTINCT path) AS paths FROM nam GROUP
 @query("a30_co_access_scores", _recursive(V.REQ, V.SES, _NAM, _MET, _CLU, _CO) + "SELECT * FROM coa")
 def co_access_scores(spark, d):
     s = V.sessions(spark, d)
-    edges = C.co_access(C.grid_windows(s, 120))
-    return C.co_access_scores(C.clusters(edges), edges, s)
+    inside = materialise(C.window_members(C.grid_windows(s, 120)), "windows")
+    return C.co_access_scores(C.clusters(C.star_edges(inside)), C.peers_met(inside), s)
 
 
 _COV = """hit AS (SELECT grp, session_id, path, count(*) AS n FROM (SELECT unnest([source_type, '*']) AS grp, session_id, path FROM ses) GROUP BY ALL),
@@ -350,6 +371,38 @@ def fusion(spark, d):
     return C.fusion(_named(spark, d), 120)
 
 
+_PFX = """lev AS (SELECT pattern, source_ip, session_id, unnest([8, 16, 24]) AS bits FROM nam), pre AS (SELECT pattern, bits, array_to_string(string_split(source_ip, '.')[1:bits // 8], '.') AS prefix, count(*)::DOUBLE AS f FROM lev WHERE source_ip IS NOT NULL GROUP BY ALL),
+ glo AS (SELECT bits, prefix, sum(f) AS every, sum(sum(f)) OVER (PARTITION BY bits) AS t FROM pre GROUP BY bits, prefix), own AS (SELECT *, sum(f) OVER (PARTITION BY pattern, bits) AS n FROM pre),
+ rol AS (SELECT pattern, bits, count(*) AS prefixes, cast(max(n) AS BIGINT) AS requests, round(abs(sum(-(f / n) * log2(f / n))), 6) AS entropy, round(greatest(sum(f / n * log2(f / n / (every / t))), 0e0), 6) AS divergence FROM own JOIN glo USING (bits, prefix) GROUP BY ALL),
+ pfx AS (SELECT session_id, coalesce(network_score, 0e0) AS network_score FROM (SELECT session_id, min(pattern) AS pattern FROM nam GROUP BY 1) LEFT JOIN
+   (SELECT pattern, round(sum(CASE bits WHEN 8 THEN 0.2e0 WHEN 16 THEN 0.3e0 ELSE 0.5e0 END * (1 - pow(2e0, -divergence))), 4) AS network_score FROM rol GROUP BY 1) USING (pattern))"""
+_AGENT = "nam AS (SELECT *, user_agent AS pattern FROM ses)"
+
+
+@query("m17_prefix_rollup", V.with_(V.REQ, V.SES, _AGENT, _PFX) + "SELECT pattern, cast(bits AS INT) AS bits, prefixes, requests, entropy, divergence FROM rol")
+def prefix_rollup(spark, d):
+    return C.prefix_rollup(V.sessions(spark, d).withColumn("pattern", F.col("user_agent")))
+
+
+@query("m17_prefix_scores", V.with_(V.REQ, V.SES, _AGENT, _PFX) + "SELECT * FROM pfx")
+def prefix_scores(spark, d):
+    return C.prefix_scores(V.sessions(spark, d).withColumn("pattern", F.col("user_agent")))
+
+
+_BY_PREFIX = [
+    x.replace("CASE one.pattern WHEN 'scraper' THEN round(least(1e0, coalesce(similarity, 0e0) * 1.5e0), 4) WHEN 'ddos_tool' THEN 0.9e0 WHEN 'crowdsourced' THEN 0.15e0 WHEN 'normal' THEN 0.1e0 WHEN 'legit' THEN 0.2e0 ELSE 0e0 END AS net", "coalesce(pfx.network_score, 0e0) AS net")
+    .replace("FROM one LEFT JOIN clu", "FROM one LEFT JOIN pfx USING (session_id) LEFT JOIN clu")
+    for x in [*_FUSION[:4], _PFX, *_FUSION[4:]]
+]
+
+
+@query("m18_fusion_by_prefix", _recursive(*_BY_PREFIX) + "SELECT * FROM ver")
+def fusion_by_prefix(spark, d):
+    """The same fusion with the network layer fed by address prefixes."""
+    x = _named(spark, d)
+    return C.fusion(x, 120, network=C.prefix_scores(x.withColumn("pattern", C.session_pattern())))
+
+
 @query("a31_cluster_rollup", _recursive(*_FUSION) + """SELECT cluster_id, size, ((2 * s + size) // (2 * size)) / 10000 AS avg_fusion_score, members,
  CASE WHEN s >= 5500 * size THEN 'distributed_crawler' WHEN s >= 4500 * size THEN 'suspicious' ELSE 'normal' END AS determination
  FROM (SELECT cluster_id, count(*) AS size, cast(sum(cast(round(fusion_score * 10000) AS BIGINT)) AS BIGINT) AS s, array_to_string(list_slice(list_sort(list(session_id)), 1, 10), ',') AS members FROM ver WHERE cluster_id IS NOT NULL GROUP BY 1)""")
