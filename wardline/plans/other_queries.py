@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -398,6 +400,18 @@ def _run(spark, df: DataFrame, mode: str = "append") -> DataFrame:
     return X.run_once(df, new_path(spark, "stream-out"), new_path(spark, "stream-checkpoint"), mode)
 
 
+@contextlib.contextmanager
+def _rocks(spark):
+    """The state store that arbitrary state needs, for the queries that are started inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 _LATE = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM req)"
 
 
@@ -417,6 +431,18 @@ def stream_peaks(spark, d):
     return _run(spark, X.peak_rate(_stream(spark, d), "1 hour", "30 minutes"))
 
 
+_DENSE = "den AS (SELECT '10.0.' || (user_id % 5) AS net, make_timestamp(epoch_us(ts) // 1000) AS ts FROM req)"
+
+
+@query("x03_exact_peaks", V.with_(V.REQ, _DENSE) + """SELECT DISTINCT net, ts, count(*) OVER (PARTITION BY net, ts) AS n, count(*) OVER (PARTITION BY net ORDER BY ts RANGE BETWEEN INTERVAL 1 SECOND PRECEDING AND CURRENT ROW) AS peak_1s,
+ count(*) OVER (PARTITION BY net ORDER BY ts RANGE BETWEEN INTERVAL 5 SECOND PRECEDING AND CURRENT ROW) AS peak_5s FROM den QUALIFY ts <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM den)""")
+def stream_exact_peaks(spark, d):
+    """The log a thousand times as dense, by network: spans of 1 and 5 seconds hold several requests."""
+    s = _stream(spark, d).select(F.concat(F.lit("10.0."), (F.col("user_id") % 5).cast("string")).alias("net"), F.timestamp_micros(F.expr("unix_micros(ts) div 1000")).alias("ts"))
+    with _rocks(spark):
+        return _run(spark, X.exact_peaks(s, "net"))
+
+
 @query("x04_stream_mass_attacks", V.with_(V.REQ) + f"SELECT minute, endpoints FROM (SELECT date_trunc('day', ts) AS minute, count(DISTINCT path)::INT AS endpoints FROM req GROUP BY 1) WHERE endpoints > 3 AND minute + INTERVAL 1 DAY <= {_LATE}")
 def stream_mass(spark, d):
     return _run(spark, X.mass_attacks(_stream(spark, d), size="1 day"))
@@ -452,10 +478,5 @@ def stream_health(spark, d):
     s = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet*").parquet(d)
     s = s.selectExpr(*V._columns(_RECORD, V._SPARK_K), "10L AS total_requests")
     s = s.withColumn("is_incident", F.explode(F.when(F.col("is_hit"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
-    key = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _rocks(spark):
         return _run(spark, X.health(s))
-    finally:
-        spark.conf.set(key, old)

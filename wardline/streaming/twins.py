@@ -6,6 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,64 @@ def peak_rate(stream: DataFrame, size: str = "5 seconds", slide: str = "1 second
     return g.select("source_ip", F.col("w.start").alias("start"), "n")
 
 
+class PeakState(StatefulProcessor):
+    """Per key: how many events each time of the last seconds and of the time not yet settled has.
+
+    A time is settled once the watermark has passed it, since no event can join it or come before it any more; a timer at the first
+    unsettled time wakes the key. What is held are the distinct times of the watermark's delay and of the longest span.
+    """
+
+    def __init__(self, spans: list[int]):
+        self.spans = [s * 1_000_000 for s in spans]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("events", "us array<long>, n array<long>, settled long")
+
+    def _held(self) -> tuple[np.ndarray, np.ndarray, int]:
+        held = self.state.get()
+        return (np.array(held[0], dtype=np.int64), np.array(held[1], dtype=np.int64), held[2]) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64), -(1 << 62))
+
+    def _keep(self, us: np.ndarray, n: np.ndarray, settled: int) -> None:
+        self.state.update((us.tolist(), n.tolist(), settled))
+        if len(us) and us[-1] > settled:
+            self.handle.registerTimer(int(-(-us[np.searchsorted(us, settled, side="right")] // 1000)))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        us, n, settled = self._held()
+        for b in rows:
+            new, count = np.unique(b["us"].to_numpy(dtype=np.int64), return_counts=True)
+            every, of = np.unique(np.r_[us, new], return_inverse=True)
+            us, n = every, np.bincount(of, np.r_[n, count], len(every)).astype(np.int64)
+        self._keep(us, n, settled)
+        return iter(())  # what is settled is given out when a timer expires
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        us, n, settled = self._held()
+        upto = max(settled, timerValues.getCurrentWatermarkInMs() * 1000)
+        i, j = np.searchsorted(us, [settled, upto], side="right")
+        sums = np.r_[0, np.cumsum(n)]
+        own = us[i:j]
+        peaks = np.stack([sums[i + 1 : j + 1] - sums[np.searchsorted(us, own - s, side="left")] for s in self.spans], axis=1)
+        old = int(np.searchsorted(us, upto - max(self.spans), side="left"))
+        self._keep(us[old:], n[old:], upto)
+        if len(own):
+            yield pd.DataFrame({"key": pd.Series([key[0]] * len(own), dtype=object), "us": own, "n": n[i:j], "peaks": peaks.tolist()})
+
+    def close(self) -> None:
+        pass
+
+
+def exact_peaks(stream: DataFrame, by: str = "session_id", seconds: tuple[int, ...] = (1, 5), lateness: str = "1 minute") -> DataFrame:
+    """(by, ts, n, peak_1s, peak_5s): the events at each time of a key, and those in the closed seconds that end there, as the batch form counts them.
+
+    Rows come in any order within ``lateness``; a time is given out once, when the watermark has passed it. Needs the RocksDB state store.
+    """
+    x = stream.filter("ts is not null").select(F.col(by).cast("string").alias("key"), "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", lateness)
+    out = x.groupBy("key").transformWithStateInPandas(PeakState(list(seconds)), "key string, us long, n long, peaks array<long>", "Append", "EventTime")
+    return out.select(F.col("key").alias(by), F.timestamp_micros("us").alias("ts"), "n", *(F.col("peaks")[k].alias(f"peak_{s}s") for k, s in enumerate(seconds)))
+
+
 def mass_attacks(stream: DataFrame, least: int = 3, size: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
     """Windows in which more than ``least`` endpoints were hit.
 
