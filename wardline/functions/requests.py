@@ -159,6 +159,38 @@ def leak_confidence(text: Column | str) -> Column:
     )
 
 
+def _route(path: str) -> Column:
+    return F.regexp_extract(F.lower(path), r"^[^?]*", 0)
+
+
+def auth_flow(path: str = "path") -> Column:
+    """Whether a path belongs to logging in, registering, or changing a password."""
+    return F.rlike(_route(path), F.lit(r"/(login|logout|register|signup|auth|oauth|token|password)(/|$)"))
+
+
+def leak_in_context(text: str = "response_body", path: str = "path", method: str = "method", identity: str = "user_identity") -> Column:
+    """``leak_confidence`` by what the request is for.
+
+    What users send and get back when they log in or register is no leak; nor are mail addresses and numbers where users read their own
+    profile, or admins the data they manage. Secrets count everywhere else.
+    """
+    c = leak_confidence(text)
+    own = F.rlike(_route(path), F.lit(r"/(profile|me|self)(/|$)"))
+    managed = (F.lower(identity) == "admin") & F.rlike(_route(path), F.lit(r"^(/api)?/(admin|metadata)(/|$)"))
+    return F.when(auth_flow(path) & (F.upper(method) == "POST"), 0.0).when((own | managed) & (c < 0.95), 0.0).otherwise(c)
+
+
+def injection_in_context(text: str, path: str = "path") -> Column:
+    """``injection_decision`` by kind of endpoint.
+
+    Stricter where users authenticate: a quote that a comment closes is enough. More lenient where users search or comment: a
+    statement counts only with a quote, a bracket, a semicolon or a comment to break out of its field.
+    """
+    plain, t = injection_decision(text), F.coalesce(F.col(text), F.lit(""))
+    free = F.rlike(_route(path), F.lit(r"/(search|find|comments?|reviews?|feedback)(/|$)"))
+    return F.when(auth_flow(path), plain | F.rlike(t, F.lit(r"'\s*(--|#|/\*)"))).when(free, plain & F.rlike(t, F.lit(r"['\");]|--"))).otherwise(plain)
+
+
 def injection_decision(text: Column | str) -> Column:
     """A whole hostile statement or a tautology; lone quotes, semicolons and keywords are normal."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -84,15 +84,23 @@ def layered_type(semantic: str = "semantic_type", semantic_distance: str = "sema
     )
 
 
-def report_queries(recall: DataFrame, questions: DataFrame, crawler_found: bool, cap: int = 10) -> DataFrame:
-    """Questions of the types with a recall under .9, and those about crawlers if one was found."""
+def report_queries(recall: DataFrame, questions: DataFrame, crawler_found: bool, cap: int = 10, per_type: int | None = 1) -> DataFrame:
+    """The first ``per_type`` questions (None: all) of the types with a recall under .9, and of those about crawlers if one was found."""
     weak = recall.filter(F.col("recall") < 0.9).select(F.col("expected").alias("attack_type"))
-    x = questions.join(weak, "attack_type", "left_semi")
+    asked = questions
+    if per_type is not None:
+        asked = questions.withColumn("_r", F.row_number().over(Window.partitionBy("attack_type").orderBy("query_no"))).filter(F.col("_r") <= per_type).drop("_r")
+    x = asked.join(weak, "attack_type", "left_semi")
     if crawler_found:
-        x = x.union(questions.filter("attack_type = 'crawler'").select(*x.columns))
+        x = x.union(asked.filter("attack_type = 'crawler'").select(*x.columns))
     return x.orderBy("attack_type", "query_no").limit(cap)
 
 
+def report_chunks(hits: DataFrame, most: int = 8) -> DataFrame:
+    """The ``most`` first documents that a report quotes: each once, in the order of the queries and of their ranks; ``hits``: doc_id, query_no, rank."""
+    return first_hits(hits).orderBy("query_no", "rank", "doc_id").limit(most)
+
+
 def attack_type_table(spark) -> DataFrame:
     return spark.createDataFrame([(i, t) for i, t in enumerate(ATTACK_TYPES)], "type_order int, attack_type string")
 

@@ -174,6 +174,29 @@ def traversal_decision(spark, d):
     return p.select("page_id", R.traversal_decision().alias("flagged"))
 
 
+_AUTH = "regexp_matches(regexp_extract(lower(path), '^[^?]*'), '/(login|logout|register|signup|auth|oauth|token|password)(/|$)')"
+
+
+@query("q04_leaks_in_context", V.with_(V.REQ) + f"""SELECT log_id, CASE WHEN {_AUTH} AND method = 'POST' THEN 0e0 WHEN user_identity = 'admin' AND regexp_matches(regexp_extract(lower(path), '^[^?]*'), '^(/api)?/(admin|metadata)(/|$)') AND c < 0.95 THEN 0e0 ELSE c END AS leak
+ FROM (SELECT *, CASE WHEN regexp_matches(t, '(?i)(password|secret|api[_-]?key|private[_-]?key|token)\\W{{0,3}}[:=]\\s*[''"]?[^\\s''"*]{{6,}}') THEN 0.95e0 WHEN regexp_matches(t, '\\b[0-9]{{4}}[- ]?[0-9]{{4}}[- ]?[0-9]{{4}}[- ]?[0-9]{{4}}\\b') THEN 0.85e0
+   WHEN regexp_matches(t, '[A-Za-z0-9._]+@[A-Za-z0-9-]+\\.[A-Za-z]{{2,}}') THEN 0.70e0 ELSE 0e0 END AS c FROM (SELECT *, request_body || ' ' || response_body AS t FROM req))""")
+def leaks_in_context(spark, d):
+    x = V.requests(spark, d).withColumn("t", F.concat_ws(" ", "request_body", "response_body"))
+    return x.select("log_id", R.leak_in_context("t").alias("leak"))
+
+
+_TRIED = ["union select products", "admin' --", "' or 1=1", "O'Brien; fine"]
+_HOSTILE = "(?i)union\\s+(all\\s+)?select|''\\s*(or|and)\\s+(''?\\w+''?)\\s*=\\s*''?\\w+"
+_QUOTED = ", ".join("'" + x.replace("'", "''") + "'" for x in _TRIED)
+
+
+@query("q05_injections_by_endpoint", V.with_(V.REQ) + f"""SELECT log_id, CASE WHEN {_AUTH} THEN regexp_matches(t, '{_HOSTILE}') OR regexp_matches(t, \'\'\'\\s*(--|#|/\\*)\') WHEN regexp_matches(regexp_extract(lower(path), '^[^?]*'), '/(search|find|comments?|reviews?|feedback)(/|$)')
+ THEN regexp_matches(t, '{_HOSTILE}') AND regexp_matches(t, '[\'\'");]|--') ELSE regexp_matches(t, '{_HOSTILE}') END AS injection FROM (SELECT *, [{_QUOTED}][k % 4 + 1] AS t FROM req)""")
+def injections_by_endpoint(spark, d):
+    tried = F.array(*map(F.lit, _TRIED))
+    return V.requests(spark, d).withColumn("t", F.get(tried, F.expr("cast(k % 4 AS int)"))).select("log_id", R.injection_in_context("t").alias("injection"))
+
+
 _RUNS = """seq AS (SELECT *, coalesce(response_time <= lag(response_time) OVER w, false)::INT AS cut FROM req WHERE response_time > 0 WINDOW w AS (PARTITION BY endpoint ORDER BY ts, log_id)),
  num AS (SELECT *, sum(cut) OVER (PARTITION BY endpoint ORDER BY ts, log_id ROWS UNBOUNDED PRECEDING) AS run FROM seq)"""
 

@@ -228,7 +228,18 @@ def quota(spark, d):
 def report_queries(spark, d):
     recall = V.table(spark, d, "labels").groupBy(F.concat(F.lit("grp"), (F.col("doc_id") % 3).cast("string")).alias("expected")).agg(F.avg("quality").alias("recall"))
     qs = recall.select(F.col("expected").alias("attack_type"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("query_no"))
-    return R.report_queries(recall, qs, False)
+    return R.report_queries(recall, qs, False, per_type=None)
+
+
+@query("r05_first_questions", "SELECT 'grp' || g AS attack_type, cast(0 AS BIGINT) AS query_no FROM range(3) t(g) WHERE g IN (SELECT doc_id % 3 FROM labels GROUP BY 1 HAVING avg(quality) < 0.9) ORDER BY 1 LIMIT 10")
+def first_questions(spark, d):
+    recall = V.table(spark, d, "labels").groupBy(F.concat(F.lit("grp"), (F.col("doc_id") % 3).cast("string")).alias("expected")).agg(F.avg("quality").alias("recall"))
+    return R.report_queries(recall, recall.select(F.col("expected").alias("attack_type"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("query_no")), False)
+
+
+@query("r05_report_chunks", V.with_(_KNN) + "SELECT doc_id, query_no, rank FROM (SELECT base_id AS doc_id, query_id AS query_no, rank, row_number() OVER (PARTITION BY base_id ORDER BY query_id, rank) AS r FROM knn WHERE rank <= 3) WHERE r = 1 ORDER BY query_no, rank LIMIT 8")
+def report_chunks(spark, d):
+    return R.report_chunks(_knn(spark, d, 3).select(F.col("base_id").alias("doc_id"), F.col("query_id").alias("query_no"), "rank"))
 
 
 # ---- graph
