@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions.patterns import KNOWN_CRAWLERS, SENSITIVE_WORDS, SUSPICIOUS_AGENTS
 from wardline.functions.scalars import contains_any, flag, sigmoid
 from wardline.operators.scans import counted, numbered_runs, recent_counts
+from wardline.storage import materialise
 
 
 def parsable(records: DataFrame, time: str = "ts") -> DataFrame:
@@ -71,8 +72,10 @@ def session_features(records: DataFrame, key: str = "session_id", cell_seconds:
     low = F.lower("user_agent")
     known = contains_any(low, KNOWN_CRAWLERS)
     odd = contains_any(low, SUSPICIOUS_AGENTS)
-    rows = path_runs(recent_counts(records.filter("ts is not null"), [key], "ts", {"_p1": 1, "_p5": 5}, cell_seconds), key, cell_seconds)
-    rows = rows.withColumn("_interval", (F.unix_micros("ts") - F.unix_micros("_prev.ts")) / 1e6)
+    own = records.filter("ts is not null").select(key, "log_id", "ts", "path", "status", "method", "user_agent", "category")
+    own = materialise(own, "session-rows")  # the scan reads it twice
+    rows = path_runs(own, key, cell_seconds).withColumn("_interval", (F.unix_micros("ts") - F.unix_micros("_prev.ts")) / 1e6).drop("_prev")
+    rows = recent_counts(rows, [key], "ts", {"_p1": 1, "_p5": 5}, cell_seconds)
     runs = rows.groupBy(key, "path", "_run").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum("_interval").alias("gaps"), F.min("_interval").alias("gap"),
         F.max("_p1").alias("p1"), F.max("_p5").alias("p5"),
