@@ -196,3 +196,19 @@ def test_clusters_of_large_components(spark):
     d = spark.createDataFrame(pd.DataFrame({"vec_id": [1, 2, 3, 4], "embedding": [[2e6] * 64, [-2e6] * 64, [1e300] * 64, [3e6] * 64]}), "vec_id long, embedding array<double>")
     got, _ = centroids.cluster_vectors(d, clusters=1)
     assert sorted((r.vec_id, r.distance) for r in got.collect()) == [(1, 64 * 128_000_000**2), (2, 64 * 128_000_000**2)]
+
+
+# ---- token ids
+
+
+def test_token_ids_of_random_unicode_equal_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from wardline.llm import tokens
+
+    whole, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(7)
+    kinds = [(0x20, 0x7E), (0xA0, 0x24F), (0x300, 0x36F), (0x370, 0x5FF), (0x900, 0x97F), (0x2000, 0x206F), (0x3040, 0x30FF), (0x4E00, 0x4FFF), (0x1F300, 0x1F6FF), (0x9, 0xD), (0, 0x1F)]
+    for _ in range(3000):
+        text = "".join(chr(rng.randint(*rng.choice(kinds))) if rng.random() < 0.7 else rng.choice([" ", "  ", "\n", "'s", "'LL", "the", "123", " ", "　", "\x85"]) for _ in range(rng.randint(1, 40)))
+        assert tokens.encode(text) == whole.encode(text, add_special_tokens=False).ids, text
