@@ -137,10 +137,15 @@ def clusters(edges: DataFrame, least_weight: int = 1, least_size: int = 3) -> Da
 
 
 def co_access_scores(members: DataFrame, met: DataFrame, records: DataFrame, peers: int = 10) -> DataFrame:
-    """(session_id, co_access): mean of the share of cluster mates it meets (``met``: session_id, peers) and its path overlap with the first ``peers`` of them.
+    """(session_id, co_access): mean of the share of cluster mates it meets and its path overlap with the first ``peers`` of them.
 
-    All whom a session meets are in its cluster. Overlaps are counted over distinct paths, not over sets in a row.
+    ``met``: (session_id, peers) of ``peers_met``, where one shared window links, so that all whom a session meets are in its cluster; or the edges (a, b)
+    of ``co_access``, of which those inside clusters count. Overlaps are counted over distinct paths, not over sets in a row.
     """
+    if "peers" not in met.columns:
+        both = met.select(F.col("a").alias("session_id"), F.col("b").alias("peer")).union(met.select("b", "a"))
+        mates = members.select(F.col("session_id").alias("peer"), F.col("cluster_id").alias("_c"))
+        met = both.join(members.select("session_id", "cluster_id"), "session_id").join(mates, "peer").filter("cluster_id = _c").groupBy("session_id").agg(F.count(F.lit(1)).alias("peers"))
     share = members.join(met, "session_id").select("session_id", (F.col("peers") / (F.col("cluster_size") - 1)).alias("peer_ratio"))
     first = members.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("session_id"))).filter(F.col("_r") <= peers + 1)
     pairs = members.join(first.select("cluster_id", F.col("session_id").alias("peer"), "_r"), "cluster_id").filter("session_id <> peer")
