@@ -2,6 +2,7 @@
 
 import fnmatch
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +60,35 @@ def test_a_path_of_39_hops(spark):
     names = [f"n{k:03}" for k in range(40)]
     edges = spark.createDataFrame([(b, a, "t") if k % 2 else (a, b, "t") for k, (a, b) in enumerate(zip(names, names[1:]))], "src string, dst string, type string")
     assert [(r.length, r.path) for r in graph.shortest_path(edges.coalesce(1), names[0], names[-1]).collect()] == [(39, ">".join(names))]
+
+
+def test_pieces_stand_in_every_match():
+    from wardline.functions.patterns import FAMILIES, SIGNATURES
+    from wardline.functions.scalars import required_pieces
+
+    assert required_pieces(r"union.*?select") == ["select", "union"] and required_pieces(r"ab?c+d*e{2}(f|g)[hi]j\.k") == ["j.k", "a", "c"]
+    assert required_pieces("a|b") == required_pieces(r"[<>]") == required_pieces(r"\d{4}") == [] and required_pieces("") == []
+    every = [p for ps in FAMILIES.values() for p in ps] + [p for ps in SIGNATURES.values() for p, _ in ps]
+    for p in every:
+        for text in (_SEEN + p).lower().split("\n") + every:
+            if re.search(p, text, re.IGNORECASE):
+                assert all(x in text.lower() for x in required_pieces(p)), (p, text)
+
+
+def test_guarded_counts_equal_plain_ones(spark):
+    from pyspark.sql import functions as F
+
+    from wardline.functions.patterns import FAMILIES
+    from wardline.functions.scalars import pattern_count
+
+    texts = [(t,) for t in [*_SEEN.split("\n"), _SEEN, "", None, "ALERT(1) İ K", "Union\nSelect", "x" * 200_000 + "../"]]
+    rows = spark.createDataFrame(texts, "t string").select("t", *(pattern_count("t", ps).alias(f) for f, ps in FAMILIES.items()))
+    for r in rows.collect():
+        for f, ps in FAMILIES.items():
+            assert r[f] == sum(len(re.findall(f"(?:{p})", r["t"] or "", re.IGNORECASE | re.ASCII)) for p in ps), (f, r["t"])
+
+
+_SEEN = """../../etc/passwd ..%2f ..%5C /proc/self /var/log/x ..\\\\.. <script>alert(1)</script> javascript: onerror = x
+' or 1=1 -- ' and 'a'='a' UNION ALL SELECT 1; drop  table x `id` $(id) ${x} $ne : 1 | cat
+password: "abcdefgh" api_key='0123456789ab' 1234-5678 9012 3456 email="a@b.cd" bearer abcdefghijklmnopqrstuv
+limit = 100000 order by a, group by b, with recursive {"a": {"b": [[1]]}} ""x"" test admin null %2F id=12345 user1=5 userd=7 x.php"""

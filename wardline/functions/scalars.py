@@ -18,10 +18,45 @@ def first_filled(*columns: Column | str) -> Column:
     return F.coalesce(*(F.when(F.trim(col(c).cast("string")) != "", col(c).cast("string")) for c in columns), F.lit(""))
 
 
-def pattern_count(text: Column | str, patterns: list[str]) -> Column:
-    """How often any of the patterns matches, without regard to case; null text counts as empty."""
+def required_pieces(pattern: str) -> list[str]:
+    """Lower-cased literals that every match of ``pattern`` holds, longest first; none if that can't be told from its top level."""
+    pieces, run, i, depth = set(), "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        step = 2 if c == "\\" else 1
+        if c == "[":  # a class, up to its bracket
+            step = pattern.index("]", i + 2 + (pattern[i + 1] == "^")) + 1 - i
+        literal = c == "\\" and not pattern[i + 1].isalnum() or c not in "\\[](){}|.^$*+?"
+        if c == "|" and not depth:
+            return []
+        if depth or not literal:
+            if c in "*?{" and not depth:
+                run = run[:-1]  # the character before may be missing
+            pieces.add(run)
+            run = ""
+            if c == "{" and not depth:
+                step = pattern.index("}", i) + 1 - i
+            depth += (c == "(") - (c == ")")
+        else:
+            run += pattern[i + step - 1]
+        i += step
+    return sorted({p.lower() for p in pieces | {run}} - {""}, key=lambda p: (-len(p), p))
+
+
+def pattern_count(text: Column | str, patterns: list[str], low: Column | str | None = None) -> Column:
+    """How often any of the patterns matches, without regard to case; null text counts as empty.
+
+    A pattern is only run on texts that hold its literal pieces, which most texts don't. ``low``: a column with the
+    lower-cased text, if there is one.
+    """
     x = F.coalesce(col(text), F.lit(""))
-    return reduce(lambda a, b: a + b, (F.regexp_count(x, F.lit(f"(?i){p}")) for p in patterns))
+    low = F.lower(x) if low is None else F.coalesce(col(low), F.lit(""))
+    return reduce(lambda a, b: a + b, (_guarded(low, p, F.regexp_count(x, F.lit(f"(?i){p}")), F.lit(0)) for p in patterns))
+
+
+def _guarded(low: Column, pattern: str, found: Column, none: Column) -> Column:
+    held = [F.contains(low, F.lit(p)) for p in required_pieces(pattern)]
+    return F.when(reduce(lambda a, b: a & b, held), found).otherwise(none) if held else found
 
 
 def contains_any(text: Column | str, words: list[str]) -> Column:
