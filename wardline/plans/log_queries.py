@@ -506,16 +506,16 @@ def run_summary(spark, d):
 @query("u04_path_overlap", V.with_(V.REQ) + """, p AS (SELECT source_ip, coalesce(list(DISTINCT path) FILTER (status < 400), []) AS fine, coalesce(list(DISTINCT path) FILTER (status >= 400), []) AS bad FROM req GROUP BY 1)
  SELECT source_ip, CASE WHEN len(fine) + len(bad) = 0 THEN 0e0 ELSE round(len(list_intersect(fine, bad)) / len(list_distinct(list_concat(fine, bad))), 6) END AS overlap FROM p""")
 def overlap(spark, d):
-    """How far an address's answered and refused paths are the same."""
-    of = lambda c: F.collect_set(F.when(c, F.col("path")))
-    p = V.requests(spark, d).groupBy("source_ip").agg(of(F.col("status") < 400).alias("fine"), of(F.col("status") >= 400).alias("bad"))
-    return p.select("source_ip", F.round(S.jaccard("fine", "bad"), 6).alias("overlap"))
+    """How far an address's answered and refused paths are the same, counted over its distinct paths."""
+    fine, bad = (F.max(S.flag(c)) for c in (F.col("status") < 400, F.col("status") >= 400))
+    p = V.requests(spark, d).groupBy("source_ip", "path").agg(fine.alias("fine"), bad.alias("bad"))
+    both, either = (F.sum(F.when(F.col("path").isNotNull(), x)) for x in (F.col("fine") * F.col("bad"), F.greatest("fine", "bad")))
+    return p.groupBy("source_ip").agg(F.round(S.ratio(both, either), 6).alias("overlap"))
 
 
 @query("u03_path_union", V.with_(V.REQ) + "SELECT category, count(DISTINCT path) AS n_paths, md5(string_agg(DISTINCT path, ' ' ORDER BY path)) AS digest FROM req GROUP BY 1")
 def path_union(spark, d):
-    g = V.requests(spark, d).groupBy("category", "user_id").agg(F.collect_set("path").alias("paths"))
-    u = g.select("category", F.explode("paths").alias("path")).distinct().groupBy("category").agg(F.sort_array(F.collect_list("path")).alias("u"))
+    u = V.requests(spark, d).select("category", "path").distinct().groupBy("category").agg(F.sort_array(F.collect_list("path")).alias("u"))
     return u.select("category", F.size("u").cast("long").alias("n_paths"), F.md5(F.array_join("u", " ")).alias("digest"))
 
 
