@@ -54,7 +54,7 @@ _ROW = T.StructType([T.StructField("log_id", T.LongType()), T.StructField("path"
 
 
 def _blocks(df):
-    """With ``block``, a number that 10,000 rows share at most: an array of rows stays bounded however many its key has."""
+    """With ``block``, a number that 10,000 rows share at most, and nearly all share with as many: arrays stay bounded, and their number is that of the rows by 10,000."""
     return df.withColumn("block", F.expr("monotonically_increasing_id() div 10000"))
 
 
@@ -62,7 +62,7 @@ def _blocks(df):
 def json_arrays(spark, d):
     """JSON arrays, one a file, and a table that isn't there, which is empty."""
     path = new_path(spark, "json-arrays")
-    r = _blocks(V.requests(spark, d)).groupBy("source_ip", "block").agg(F.to_json(F.collect_list(F.struct("log_id", "path"))).alias("value"))
+    r = _blocks(V.requests(spark, d)).groupBy("block").agg(F.to_json(F.collect_list(F.struct("log_id", "path"))).alias("value"))
     r.select("value").repartition(8).write.option("maxRecordsPerFile", 1).text(path)
     return L.read_json_table(spark, path, _ROW).union(L.read_json_table(spark, new_path(spark, "absent"), _ROW))
 
@@ -71,7 +71,7 @@ def json_arrays(spark, d):
 def labelled(spark, d):
     log = _api_log(spark, d)
     path = new_path(spark, "labelled") + ".json"
-    _blocks(log).groupBy("label", "block").agg(F.to_json(F.collect_list(F.struct(*log.columns))).alias("value")).select("value").repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+    _blocks(log).groupBy("block").agg(F.to_json(F.collect_list(F.struct(*log.columns))).alias("value")).select("value").repartition(8).write.option("maxRecordsPerFile", 1).text(path)
     kinds = {"csv": _as_csv(spark, log), "json": path}
     a, b = (L.read_labelled(spark, p, L.API_LOG).select(F.lit(k).alias("kind"), *log.columns) for k, p in kinds.items())
     return a.union(b)
