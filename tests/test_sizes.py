@@ -75,3 +75,19 @@ def test_exact_peaks_end_at_a_microsecond(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert got == [("a", at(10), 1, 1), ("a", at(700), 1, 2), ("b", at(700), 1, 1)]
+
+
+def test_peers_of_classes_of_windows(spark, monkeypatch):
+    """Counts of peers are exact however many members a session's windows have, and copies of a session meet as one class."""
+    from wardline.operators import crawler as C
+
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(8), rng.randint(1, 5))) for _ in range(40)]
+    rows = [(w, f"s{k}_{c}") for k, s in enumerate(sets) for c in range(1 + k % 3 * 4) for w in s]
+    met = {}
+    for w, s in rows:
+        met.setdefault(s, set()).update(p for v, p in rows if v == w and p != s)
+    df = spark.createDataFrame(rows, "win long, session_id string")
+    for long in (200, 3):
+        monkeypatch.setattr(C, "LONG", long)
+        assert {r.session_id: r.peers for r in C.peers_met(df, exact=1 if long == 200 else 10_000).collect()} == {s: len(p) for s, p in met.items()}
