@@ -77,6 +77,16 @@ def test_exact_peaks_end_at_a_microsecond(spark, tmp_path):
     assert got == [("a", at(10), 1, 1), ("a", at(700), 1, 2), ("b", at(700), 1, 1)]
 
 
+def test_every_trusted_document_counts(spark):
+    """No bound on the trusted documents: weights are those of all of them, and nothing is sampled."""
+    from wardline.llm import rules
+
+    labels = spark.range(41_000).selectExpr("id AS doc_id", "1 AS quality")
+    assert rules.trusted_ids(labels.union(labels)).count() == 41_000
+    docs = spark.range(41_000).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    assert not rules.bucket_weights(docs, labels, 64).any()  # all are trusted: both multinomials are the same
+
+
 def test_peers_of_classes_of_windows(spark, monkeypatch):
     """Counts of peers are exact however many members a session's windows have, and copies of a session meet as one class."""
     from wardline.operators import crawler as C

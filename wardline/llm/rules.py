@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.batches import in_sample, runs_of
+from wardline.llm.batches import runs_of
 
-BUCKETS, TRUSTED_DOCS, THRESHOLD = 1 << 16, 20_000, -100_000  # n-gram buckets; bound of the trusted sample; least mean, in millionths
+BUCKETS, THRESHOLD = 1 << 16, -100_000  # n-gram buckets; least mean, in millionths
 PRIOR = 16  # trusted n-grams a bucket that are taken to be spread as the corpus is
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8  # words; percent of words in repeated windows; words of a window
 SYMBOLS = "#*$%&|<>"
@@ -137,21 +137,20 @@ def _binary() -> Column:
     return F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
-    """(doc_id): about ``most`` documents labelled good, chosen by a hash of the id (all if there are fewer)."""
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    share = min(1.0, most / max(good.count(), 1))
-    return good.filter(in_sample("doc_id", share)).limit(2 * most) if share < 1 else good
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id): every document labelled good."""
+    return labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = TRUSTED_DOCS) -> np.ndarray:
+def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """log(trusted / all) of each bucket in millionths, from the n-grams of all documents.
 
     The ratio is (trusted + PRIOR) / (expected + PRIOR), where a bucket's expected count is its share of the corpus: what is
-    too rare to be expected weighs little. Each task sums its own documents; what is shuffled is a row a bucket and task.
+    too rare to be expected weighs little. Each task sums its own documents; what is shuffled is a row a bucket and task, and
+    the texts once where the trusted ids are too many for Spark to broadcast.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _binary())
-    marked = rows.join(F.broadcast(trusted_ids(labels, most).withColumn("good", F.lit(True))), "doc_id", "left").select("t", F.coalesce("good", F.lit(False)).alias("good"))
+    marked = rows.join(trusted_ids(labels).withColumn("good", F.lit(True)), "doc_id", "left").select("t", F.coalesce("good", F.lit(False)).alias("good"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, own = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
