@@ -101,3 +101,26 @@ def test_peers_of_classes_of_windows(spark, monkeypatch):
     for long in (200, 3):
         monkeypatch.setattr(C, "LONG", long)
         assert {r.session_id: r.peers for r in C.peers_met(df, exact=1 if long == 200 else 10_000).collect()} == {s: len(p) for s, p in met.items()}
+
+
+def _lower_bounds(df):
+    """Lower bounds of the window frames in the plan, other than the start."""
+    import re
+
+    return [x for x in re.findall(r"specifiedwindowframe\(\w+, ([^,]+),", df._jdf.queryExecution().optimizedPlan().toString().lower()) if not x.startswith("unbounded")]
+
+
+def test_incidents_of_a_day_by_a_running_sum(spark):
+    """Counts of closed days to the microsecond, equal times and days without records included; no frame that slides along the rows."""
+    import datetime as dt
+
+    rng, day, t0 = random.Random(12), 86_400_000_000, dt.datetime(2024, 1, 1)
+    at = lambda us: None if us is None else t0 + dt.timedelta(microseconds=us)
+    hits = [(rng.choice("ab"), rng.choice([0, day - 1, day, day + 1, 2 * day, rng.randrange(4 * day)])) for _ in range(200)] + [("c", day - 1), ("a", None)]
+    recs = [(k, rng.choice("abd"), rng.choice([0, 1, day - 1, day, 2 * day, 2 * day + 1, rng.randrange(6 * day)])) for k in range(100)] + [(100, "c", 2 * day - 1), (101, "c", 2 * day), (102, "a", None)]
+    r = spark.createDataFrame([(k, e, at(us)) for k, e, us in recs], "id long, api_endpoint string, ts timestamp")
+    i = spark.createDataFrame([(e, at(us)) for e, us in hits], "api_endpoint string, detected_at timestamp")
+    out = I.incidents_in_last_day(r, i)
+    want = {k: sum(e == f and None not in (us, u) and u <= us <= u + day for f, u in hits) for k, e, us in recs}
+    assert {x.id: x.incidents_24h for x in out.collect()} == want and want[100] == 1 and want[101] == 0
+    assert not _lower_bounds(out)
