@@ -124,3 +124,15 @@ def test_incidents_of_a_day_by_a_running_sum(spark):
     want = {k: sum(e == f and None not in (us, u) and u <= us <= u + day for f, u in hits) for k, e, us in recs}
     assert {x.id: x.incidents_24h for x in out.collect()} == want and want[100] == 1 and want[101] == 0
     assert not _lower_bounds(out)
+
+
+def test_trusted_documents_meet_texts_in_one_way_at_any_size(spark):
+    """No broadcast that gives way to a shuffle once the labels have grown, and no sort of texts."""
+    from wardline.llm import rules
+
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, None), (None, "d")], "doc_id long, text string")
+    out = rules.marked(docs, labels)
+    assert sorted((bytes(r.t), r.good) for r in out.collect()) == [(b"", False), (b"a", True), (b"b", True), (b"c", False), (b"d", False)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan

@@ -142,15 +142,23 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
+def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(t, good) of every document: its text as bytes, and whether it is trusted.
+
+    A shuffle of the texts at any size, so that disk grows in proportion and no broadcast grows with the labels. The ids are hashed and the
+    texts not sorted, so that none are spilled.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _binary())
+    trusted = trusted_ids(labels).withColumn("good", F.lit(True)).hint("shuffle_hash")
+    return rows.join(trusted, "doc_id", "left").select("t", F.coalesce("good", F.lit(False)).alias("good"))
+
+
 def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """log(trusted / all) of each bucket in millionths, from the n-grams of all documents.
 
     The ratio is (trusted + PRIOR) / (expected + PRIOR), where a bucket's expected count is its share of the corpus: what is
-    too rare to be expected weighs little. Each task sums its own documents; what is shuffled is a row a bucket and task, and
-    the texts once where the trusted ids are too many for Spark to broadcast.
+    too rare to be expected weighs little. Each task sums its own documents; what is shuffled then is a row a bucket and task.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _binary())
-    marked = rows.join(trusted_ids(labels).withColumn("good", F.lit(True)), "doc_id", "left").select("t", F.coalesce("good", F.lit(False)).alias("good"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, own = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
@@ -164,7 +172,7 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -
         at = np.flatnonzero(every)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(every[at]), pa.array(own[at])], ["bucket", "n", "good"])
 
-    sums = marked.mapInArrow(each, "bucket long, n long, good long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    sums = marked(docs, labels).mapInArrow(each, "bucket long, n long, good long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     weights, found = np.zeros(buckets, dtype=np.int64), sums.collect()  # a row a bucket
     total, good = sum(r["n"] for r in found), sum(r["good"] for r in found)
     for r in found:
