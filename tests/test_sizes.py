@@ -180,3 +180,20 @@ def test_health_state_holds_arrays(monkeypatch):
             got += [(r.id, r.health_score, r.status) for r in out.itertuples()]
     assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in want] and np.allclose([b for _, b, _ in got], [b for _, b, _ in want], atol=1.1e-6)
     assert len({c for *_, c in want}) == 3 and most <= 64
+
+
+def test_large_groups_are_joined_by_component(spark, monkeypatch):
+    """What is known to be one component goes into later searches for components as one node, not with all its edges."""
+    from wardline.llm import simhash as S
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (6, 1)], "a long, b long")
+    comp = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)], "node long, component long")
+    assert sorted(map(tuple, S._contracted(edges, comp).collect())) == [(1, 4), (1, 6)]
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    docs = [(k, " ".join(base[:60] + [f"x{k}"] + base[60:])) for k in range(80)] + [(k, " ".join(f"y{k}_{i}" for i in range(60))) for k in range(80, 90)]
+    sizes, own = [], S.connected_components
+    monkeypatch.setattr(S, "connected_components", lambda e: sizes.append(e.count()) or own(e))
+    groups = S.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.first.doc_id for r in groups.collect()) == [0, *range(80, 90)]
+    assert len(sizes) == 3 and max(sizes[1:]) < 40, sizes

@@ -334,6 +334,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, jaccard: float) ->
     return pairs.join(hubs, ["a", "s"]).join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
 
 
+def _contracted(edges: DataFrame, comp: DataFrame) -> DataFrame:
+    """The ``edges`` (a, b) as edges of the components ``comp`` that they join: those of a dense group soon lie inside one, and go."""
+    to = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    e = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    return e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, words: int = NEAR_WORDS, jaccard: float = NEAR_JACCARD, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
     """(root, first): groups of documents linked by Jaccard similarity of their sets of ``words``-word shingles, and each one's first row.
 
@@ -373,17 +380,17 @@ def similar_groups(docs: DataFrame, words: int = NEAR_WORDS, jaccard: float = NE
     edges = materialise(_verified(pairs.select("a", "b"), texts, words, jaccard), "near-links")
     comp = materialise(connected_components(edges), "near-components")
     over = pairs.filter("over").select("a", "b")
+    named = nodes.select("node", "first").join(comp, "node", "left").select(F.coalesce("component", "node").alias("root"), "first")
     if not over.isEmpty():
-        # pairs of a large group outside its tree may be similar where the tree's are not
-        group = connected_components(over).withColumnRenamed("component", "grp")
-        group = group.join(comp, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("component"))
-        open_ = group.groupBy("grp").agg((F.min("component") != F.max("component")).alias("open")).filter("open").select(unclustered("grp"))
-        group = materialise(group.join(open_, "grp"), "near-groups")
+        # pairs of a large group outside its tree may be similar where the tree's are not; groups of one component have no more to tell
+        group = connected_components(_contracted(over, comp)).select(F.col("node").alias("component"), F.col("component").alias("grp"))
+        inside = over.select(F.col("a").alias("node")).union(over.select("b")).distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        group = materialise(inside.join(group, "component"), "near-groups")
         rows = group.join(nodes.select("node", "fp", "n"), "node").join(texts, "node")
-        edges = edges.union(materialise(_links_between(rows, reach, words, jaccard), "near-links"))
-        comp = materialise(connected_components(edges), "near-components")
-    named = nodes.select("node", "first").join(comp, "node", "left")
-    return named.groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
+        more = materialise(_links_between(rows, reach, words, jaccard), "near-links")
+        merged = connected_components(_contracted(more, comp)).select(F.col("node").alias("root"), F.col("component").alias("to"))
+        named = named.join(merged, "root", "left").select(F.coalesce("to", "root").alias("root"), "first")
+    return named.groupBy("root").agg(F.min("first").alias("first"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
