@@ -197,3 +197,19 @@ def test_large_groups_are_joined_by_component(spark, monkeypatch):
     groups = S.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(r.first.doc_id for r in groups.collect()) == [0, *range(80, 90)]
     assert len(sizes) == 3 and max(sizes[1:]) < 40, sizes
+
+
+def test_forest_rows_are_dealt_to_tasks(spark, monkeypatch):
+    """A training table that lies in one partition is dealt out by rows, and the forest is the same from any number of partitions."""
+    from wardline.operators import models as Mo
+
+    rng = random.Random(8)
+    rows = [(k, rng.random(), rng.random(), rng.randint(0, 1)) for k in range(1000)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, label int")
+    parts, own = [], Mo.Pipeline.fit
+    monkeypatch.setattr(Mo, "TASK_ROWS", 100, raising=False)
+    monkeypatch.setattr(Mo.Pipeline, "fit", lambda self, d: parts.append(d.rdd.getNumPartitions()) or own(self, d))
+    models = [Mo.fit_forest(df.repartition(k), ["x", "y"], trees=3, depth=3, key="id") for k in (1, 5)]
+    assert parts == [10, 10]
+    a, b = ([r.p_attack for r in Mo.predict(m, df).orderBy("id").collect()] for m in models)
+    assert a == b

@@ -394,7 +394,7 @@ def request_forest(spark, d):
     x = request_features(r, ("log_id", "category"))
     names = [c for c in x.columns if c not in ("log_id", "category")]
     x = materialise(x.withColumn("label", F.when(F.col("category").isin("normal", "legit_crawler"), 0).otherwise(1)), "request-features")
-    model = Mo.fit_forest(x.filter("log_id % 10 < 7"), names, trees=20, depth=6)
+    model = Mo.fit_forest(x.filter("log_id % 10 < 7"), names, trees=20, depth=6, key="log_id")
     return Mo.predict(model, x.filter("log_id % 10 >= 7"), 0.1).select("log_id", "label", "p_attack", "pred")
 
 
