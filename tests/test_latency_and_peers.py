@@ -64,6 +64,17 @@ def test_peers_and_components_need_no_pairs(spark):
     assert stars == sorted(map(tuple, C.clusters(C.co_access(df)).collect())) and stars
 
 
+def test_clusters_are_found_over_windows(spark, monkeypatch):
+    """What goes into the search for components are edges of windows, whatever the number of sessions, and the clusters are the same."""
+    members = C.window_members(_windows(spark, 250)[1].union(spark.createDataFrame([(600 + k // 40, f"t{k}") for k in range(400)], "win long, session_id string")))
+    want = sorted(map(tuple, C.clusters(C.star_edges(members)).collect()))
+    seen, own = [], C.connected_components
+    monkeypatch.setattr(C, "connected_components", lambda e: seen.append(e.collect()) or own(e))
+    assert sorted(map(tuple, C.window_clusters(members).collect())) == want and len(want) > 400
+    wins = {r.win for r in members.collect()}
+    assert seen and {w for e in seen[0] for w in e} <= wins and len(seen[0]) <= 250
+
+
 def test_many_peers_are_counted_by_sketches(spark):
     df = spark.range(6000).select((F.col("id") % 2).alias("win"), F.concat(F.lit("s"), F.col("id")).alias("session_id")).union(spark.createDataFrame([(0, "both"), (1, "both")], "win long, session_id string"))
     got = {r.session_id: r.peers for r in C.peers_met(C.window_members(df), exact=1000).collect()}

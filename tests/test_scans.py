@@ -71,6 +71,28 @@ def test_no_group_is_a_whole_key(log):
     assert windows and all(scans.CELL in line for line in windows)
 
 
+def test_small_keys_are_scanned_whole_and_large_ones_in_cells(log, monkeypatch):
+    """Sessions and features are the same where all addresses are small, where one is large, and where all go in cells."""
+    x = log.withColumn("category", F.coalesce("category", F.lit("normal")))
+    cut = lambda **k: sessions.with_session_id(sessions.stitch(x, 30, **k))
+    want = cut(cell_seconds=60)
+    features = sessions.session_features(want, cell_seconds=60)
+    _same(cut().select(want.columns), want)
+    _same(sessions.session_features(cut(), within=("source_ip",)), features)
+    monkeypatch.setattr(scans, "WHOLE", 900, raising=False)
+    few, many = scans.split_keys(x, ["source_ip"])
+    assert {r[0] for r in many.select("source_ip").distinct().collect()} == {"hot"} and few.count() + many.count() == x.count()
+    _same(cut().select(want.columns), want)
+    _same(sessions.session_features(cut(), within=("source_ip",)), features)
+
+
+def test_features_of_small_sessions_move_rows_once(log):
+    """From the log to features by address: one shuffle, and the log is read once."""
+    f = sessions.session_features(sessions.with_session_id(sessions.stitch(log, 30)), within=("source_ip",))
+    plan = f._jdf.queryExecution().sparkPlan().toString(), f._jdf.queryExecution().executedPlan().toString()
+    assert plan[1].count("Exchange hashpartitioning") == 1 and "Join" not in plan[0]
+
+
 # ---- health
 
 
