@@ -110,6 +110,7 @@ def isolation_scores(df: DataFrame, features: list[str], key: str, trees: int =
     """
     import json
 
+    df = materialise(df.select(key, *features), "isolation-rows")  # counted, picked from and scored
     n = df.count()
     # one hash picks the rows of all trees, about ``trees * rows``; only those are tested tree by tree
     part = lambda *of: F.pmod(F.xxhash64(F.col(key), *of), F.lit(1 << 30)) / float(1 << 30)
@@ -133,7 +134,7 @@ def isolation_scores(df: DataFrame, features: list[str], key: str, trees: int =
             yield pd.DataFrame({key: b[key], "anomaly_score": 2.0 ** (-depth / max(norm, 1e-9))})
 
     kind = dict(df.dtypes)[key]
-    scored = df.select(key, *features).mapInPandas(score, f"{key} {kind}, anomaly_score double")
+    scored = materialise(df.select(key, *features).mapInPandas(score, f"{key} {kind}, anomaly_score double"), "anomaly-scores")  # read for the cut, and again
     cut = scored.agg(F.percentile_approx("anomaly_score", 1 - contamination, 100_000).alias("_cut"), F.min("anomaly_score").alias("_lo"), F.max("anomaly_score").alias("_hi"))
     x = scored.crossJoin(F.broadcast(cut))
     scaled = min_max("anomaly_score", "_lo", "_hi")
@@ -164,6 +165,7 @@ def compare(methods: dict[str, DataFrame]) -> DataFrame:
     from functools import reduce
 
     rows = reduce(lambda a, b: a.union(b), (df.select(F.lit(m).alias("method"), "y", "p", F.col("score").cast("double").alias("score")) for m, df in methods.items()))
+    rows = materialise(rows, "compared-methods")
     return confusion(rows, by=["method"]).join(roc_auc(rows, by=["method"]), "method")
 
 
