@@ -333,12 +333,15 @@ def export(spark, d):
 
 
 def _features(spark, d):
-    return Se.session_features_wide(Se.session_features(V.sessions(spark, d)))
+    return Se.session_features_wide(V.session_features(spark, d))
 
 
 @query("m03_stratified_split", V.with_(V.REQ, V.SES, V.FEAT) + ", r AS (SELECT session_id, (true_category = 'malicious_crawler')::INT AS label, row_number() OVER (PARTITION BY (true_category = 'malicious_crawler') ORDER BY md5(session_id), session_id) AS i, count(*) OVER (PARTITION BY (true_category = 'malicious_crawler')) AS n FROM feat) SELECT session_id, label, i <= floor(n * 0.7e0) AS is_train FROM r")
 def split(spark, d):
-    return Mo.stratified_split(_features(spark, d), "session_id", "label").select("session_id", "label", "is_train")
+    from wardline.storage import materialise
+
+    f = materialise(_features(spark, d).select("session_id", "label"), "session-labels")  # counted and ranked
+    return Mo.stratified_split(f, "session_id", "label").select("session_id", "label", "is_train")
 
 
 @query("m05_balanced_weights", V.with_(V.REQ, V.SES, V.FEAT) + "SELECT label, n, (SELECT count(*) FROM feat) / (2 * n) AS weight FROM (SELECT (true_category = 'malicious_crawler')::INT AS label, count(*) AS n FROM feat GROUP BY 1)")
@@ -346,11 +349,12 @@ def weights(spark, d):
     return Mo.class_weights(_features(spark, d).select("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"))
 
 
-def _forest(spark, d):
+def _forest(spark, d, features=None):
     from wardline.storage import materialise
 
-    f = materialise(Mo.stratified_split(_features(spark, d), "session_id", "label"), "session-features")
-    return f, Mo.fit_forest(f.filter("is_train"), Se.FEATURES, trees=20, depth=6)
+    f = materialise(_features(spark, d), "session-features") if features is None else Se.session_features_wide(features)
+    f = materialise(Mo.stratified_split(f, "session_id", "label"), "session-split")
+    return f, Mo.fit_forest(f.filter("is_train"), Se.FEATURES, trees=20, depth=6, key="session_id")
 
 
 @query("m06_session_forest")
@@ -375,7 +379,7 @@ def ensemble(spark, d):
     test = f.filter("not is_train")
     rf = Mo.predict(model, test)
     iso = Mo.isolation_scores(test, Se.FEATURES, "session_id", trees=50)
-    rule = Se.rule_verdicts(Se.session_features(V.sessions(spark, d)))
+    rule = Se.rule_verdicts(V.session_features(spark, d))
     e = Mo.ensemble(rf, iso, rule).join(test.select("session_id", "label"), "session_id")
     return Mo.compare({
         "forest": rf.selectExpr("label AS y", "pred AS p", "p_attack AS score"),

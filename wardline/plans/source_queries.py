@@ -143,8 +143,9 @@ def saved_model(spark, d):
     """A forest with its scaler and feature names, saved and loaded: how many sessions it scores, and how many of them differently."""
     from pyspark.ml import PipelineModel
 
-    f = materialise(Mo.stratified_split(Se.session_features_wide(Se.session_features(V.sessions(spark, d))), "session_id", "label"), "model-features")
-    model = Mo.fit_forest(f.filter("is_train"), Se.FEATURES, trees=20, depth=6)
+    f = materialise(Se.session_features_wide(V.session_features(spark, d)), "session-features")
+    f = materialise(Mo.stratified_split(f, "session_id", "label"), "model-features")
+    model = Mo.fit_forest(f.filter("is_train"), Se.FEATURES, trees=20, depth=6, key="session_id")
     path = new_path(spark, "model")
     Mo.save_model(model, path)
     test = f.filter("not is_train")
