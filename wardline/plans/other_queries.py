@@ -375,11 +375,14 @@ def isolation(spark, d):
 
 @query("m10_m19_ensemble")
 def ensemble(spark, d):
-    f, model = _forest(spark, d)
+    from wardline.storage import materialise
+
+    features = materialise(V.session_features(spark, d), "session-features")  # the rules read more of them than the forests
+    f, model = _forest(spark, d, features)
     test = f.filter("not is_train")
-    rf = Mo.predict(model, test)
+    rf = materialise(Mo.predict(model, test).select("session_id", "label", "p_attack", "pred"), "forest-votes")
     iso = Mo.isolation_scores(test, Se.FEATURES, "session_id", trees=50)
-    rule = Se.rule_verdicts(V.session_features(spark, d))
+    rule = Se.rule_verdicts(features)
     e = Mo.ensemble(rf, iso, rule).join(test.select("session_id", "label"), "session_id")
     return Mo.compare({
         "forest": rf.selectExpr("label AS y", "pred AS p", "p_attack AS score"),
