@@ -213,3 +213,28 @@ def test_forest_rows_are_dealt_to_tasks(spark, monkeypatch):
     assert parts == [10, 10]
     a, b = ([r.p_attack for r in Mo.predict(m, df).orderBy("id").collect()] for m in models)
     assert a == b
+
+
+def test_isolation_rows_are_computed_once(spark):
+    """Counted, picked from and scored: what computes the rows runs once."""
+    from wardline.operators import models as Mo
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.range(500).selectExpr("id", "id % 7 * 1.0D AS x", "id % 11 * 1.0D AS y").mapInPandas(rows, "id long, x double, y double")
+    assert Mo.isolation_scores(df, ["x", "y"], "id", trees=5).count() == 500 and seen.value == 500
+
+
+def test_ensemble_takes_sessions_from_the_log_once(spark, monkeypatch):
+    from wardline.plans import catalog
+    from wardline.plans import views as V
+
+    calls, own = [], V.sessions
+    monkeypatch.setattr(V, "sessions", lambda *a: calls.append(1) or own(*a))
+    got = catalog.queries()["m10_m19_ensemble"](spark, "/root/testdata/sf0.001")
+    assert {r.method for r in got.collect()} == {"forest", "isolation", "rules", "ensemble"} and len(calls) == 1
