@@ -238,3 +238,32 @@ def test_ensemble_takes_sessions_from_the_log_once(spark, monkeypatch):
     monkeypatch.setattr(V, "sessions", lambda *a: calls.append(1) or own(*a))
     got = catalog.queries()["m10_m19_ensemble"](spark, "/root/testdata/sf0.001")
     assert {r.method for r in got.collect()} == {"forest", "isolation", "rules", "ensemble"} and len(calls) == 1
+
+
+def test_co_access_shuffles_no_pairs(spark):
+    """Pairs of sessions are counted where they first meet, also of sessions over many windows and before the epoch; what is shuffled grows with the members, not with the pairs."""
+    from collections import Counter
+    from itertools import combinations
+
+    from wardline.operators import crawler
+
+    rng = random.Random(5)
+    long = [(w, f"long{k}") for k in range(6) for w in rng.sample(range(-200, 400), 90)]
+    mid = [(s + w, f"mid{k}") for k, s in enumerate(rng.sample(range(-150, 300), 12)) for w in [0, 63, *rng.sample(range(64), 9)]]
+    edge = [(w, f"edge{k}") for k, at in enumerate((0, 1, 63, 64, -64, -65)) for w in (at, at + 63)] + [(w, f"over{k}") for k in range(3) for w in (0, 64, 128)]
+    rows = long + mid + edge + [(7, f"s{k:03}") for k in range(300)] + [(8, "s000"), (8, "s001"), (8, "s001"), (9, None), (9, ""), (None, "s002"), (None, "s003")]
+    want = Counter(p for w in {w for w, _ in rows if w is not None} for p in combinations(sorted({s for v, s in rows if v == w and s}), 2))
+    df = spark.createDataFrame(rows, "win long, session_id string")
+    for chunk in (16, 4096):
+        edges = crawler.co_access(df, chunk)
+        got = [((r.a, r.b), r.weight) for r in edges.collect()]
+        assert len(got) == len(dict(got)) and dict(got) == want and max(want.values()) > 2
+    assert dict(edges.dtypes) == {"a": "string", "b": "string", "weight": "bigint"}
+
+    sc = spark.sparkContext._jsc.sc()
+    first = sc.dagScheduler().nextStageId()
+    big = spark.range(3000).selectExpr("7L AS win", "md5(string(id)) AS session_id")
+    assert crawler.co_access(big).selectExpr("count(*)", "sum(weight)").first() == (3000 * 2999 // 2,) * 2
+    sc.listenerBus().waitUntilEmpty()
+    stages = [sc.statusStore().lastStageAttempt(k) for k in range(first, sc.dagScheduler().nextStageId())]
+    assert 3000 <= sum(x.shuffleWriteRecords() for x in stages) < 100_000
