@@ -27,6 +27,18 @@ def test_globs_need_no_nested_loop(spark):
     assert globs.match_globs(v, "v", g, "g").count() == 111
 
 
+def test_grams_of_values_are_not_broadcast(spark):
+    """Endpoints' grams, hundreds a value, go neither through the driver nor to all executors, whatever the optimiser takes their size for."""
+    v = spark.range(20_000).select(F.concat(F.lit("https://www.example.org/en/"), F.md5(F.col("id").cast("string"))).alias("v"))
+    g = spark.createDataFrame([("*/en/*",), ("*//www.*",), ("*/fr/?",)], "g string")
+    met = globs.match_globs(v, "v", g, "g")
+    assert met.count() == 40_000
+    plan = met.groupBy().count()
+    plan.collect()
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BuildLeft" not in plan and "Generate" not in plan
+
+
 def _plain_path(edges, a, b):
     near = {}
     for x, y in edges:

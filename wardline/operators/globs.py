@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.scalars import glob_regex
+from wardline.storage import materialise
 
 GRAM = 4
 
@@ -38,14 +39,18 @@ def match_globs(values: DataFrame, value: str, globs: DataFrame, glob: str, size
     """(value, glob): the distinct values and globs of both tables that match. Nulls match nothing.
 
     How often a gram occurs is counted over the distinct values, for grams of globs alone. A glob one of whose grams no value holds
-    matches nothing and is dropped there.
+    matches nothing and is dropped there. A value's grams are far more bytes than the optimiser takes an exploded value for, so they are
+    never a join's broadcast side: they are the left side of a semi join with the globs' grams, a table whose size is known, and are merged with the index.
     """
-    own = values.select(F.col(value).alias("_value")).filter("_value is not null").distinct()
+    tasks = values.sparkSession.sparkContext.defaultParallelism
+    own = values.select(F.col(value).alias("_value")).filter("_value is not null").repartition(tasks, "_value").distinct()  # few bytes, but many grams
     filed = globs.select(F.col(glob).alias("_glob")).filter("_glob is not null").distinct()
-    filed = filed.select("_glob", F.explode(literal_grams(F.col("_glob"), size)).alias("_gram"))
+    filed = materialise(filed.select("_glob", F.explode(literal_grams(F.col("_glob"), size)).alias("_gram")), "glob-grams")
+    asked = materialise(filed.select("_gram").distinct(), "asked-grams")
     held = own.select("_value", F.explode(value_grams(F.col("_value"), list(range(size + 1)))).alias("_gram"))
-    often = held.join(filed.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    held = materialise(held.join(asked, "_gram", "left_semi").select("_value", "_gram"), "held-grams")
+    often = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = filed.join(often, "_gram", "left").groupBy("_glob").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("x"))
     index = rarest.filter("x.n > 0").select("_glob", glob_regex("_glob").alias("_regex"), F.col("x._gram").alias("_gram"))
-    met = held.join(index, "_gram").filter(F.rlike("_value", "_regex"))
+    met = held.join(index.hint("merge"), "_gram").filter(F.rlike("_value", "_regex"))
     return met.select(F.col("_value").alias(value), F.col("_glob").alias(glob))
