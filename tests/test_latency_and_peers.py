@@ -81,6 +81,21 @@ def test_many_peers_are_counted_by_sketches(spark):
     assert len(got) == 6001 and got["s0"] == 3000 and abs(got["both"] - 6000) <= 0.03 * 6000
 
 
+def test_peers_of_long_sessions_are_exact(spark):
+    """Sessions of more windows than pairs are listed for, with more members than were counted one by one: among them equal ones, ones that overlap, and short ones that several long ones meet."""
+    wins = list(range(-100, 150))
+    sets = {"long_a": wins, "long_b": wins, "long_c": wins[30:], "long_d": wins[:205]} | {f"two{k}": [wins[k], wins[k + 40]] for k in range(200)} | {f"also{k}": [wins[k], wins[k + 40]] for k in range(0, 200, 3)}
+    sets |= {f"one{k}": [wins[k % 250]] for k in range(12_000)} | {"away1": [500, 501], "away2": [500]}
+    inside = defaultdict(set)
+    for s, own in sets.items():
+        for w in own:
+            inside[w].add(s)
+    want = {s: len(set().union(*(inside[w] for w in own)) - {s}) for s, own in sets.items() if not s.startswith("one") or s.endswith("77")}
+    df = spark.createDataFrame([(w, s) for s, own in sets.items() for w in own], "win long, session_id string")
+    got = {r.session_id: r.peers for r in C.peers_met(df).collect()}
+    assert len(got) == len(sets) and {s: got[s] for s in want} == want and want["long_a"] > 12_000
+
+
 def test_prefixes_of_a_concentrated_group_stand_out(spark):
     rng = random.Random(3)
     rows = [(f"n{i % 200}", f"{rng.randint(1, 40)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}.{i % 250}", "normal") for i in range(3000)]
