@@ -131,3 +131,30 @@ def test_auc_of_continuous_scores(spark, by):
     want = {g: auc([(y, s) for h, y, s in rows if not by or h == g]) for g in ({r[0] for r in rows} if by else {None})}
     got = {r.g if by else None: r.auc for r in M.roc_auc(df.repartition(4), by=by).collect()}
     assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+
+
+@pytest.mark.parametrize("chunk", [1024, 7])
+def test_similarity_of_all_pairs_of_a_group(spark, chunk):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), f"s{k:03}", sorted(rng.sample([f"/p{i}" for i in range(9)], rng.choice([0, 1, 1, 2, 3, 6])))) for k in range(150)]
+    rows += [("one", "x", ["/p1"]), ("empty", "y", []), ("empty", "z", []), (None, "n", ["/p1"])]
+    df = spark.createDataFrame(rows, "pattern string, session_id string, paths array<string>")
+    want = {}
+    for g in {r[0] for r in rows}:
+        sets = [set(p) for h, _, p in sorted(rows, key=lambda r: r[1]) if h == g and g]
+        js = [len(a & b) / len(a | b) if a | b else 0.0 for k, a in enumerate(sets) for b in sets[k + 1 :]]
+        want[g] = sum(js) / len(js) if js else 0.0
+    got = {r.pattern: r.similarity for r in C.group_similarity(df, chunk=chunk).collect()}
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-12 for g in want) and want["a"] > 0
+    sets = [set(p) for h, _, p in rows if h == "a"][:20]
+    js = [len(a & b) / len(a | b) if a | b else 0.0 for k, a in enumerate(sets) for b in sets[k + 1 :]]
+    first = {r.pattern: r.similarity for r in C.group_similarity(df, cap=20, chunk=chunk).collect()}
+    assert abs(first["a"] - sum(js) / len(js)) < 1e-12
+
+
+def test_sequential_scores_take_every_session(spark):
+    """Beyond the first hundred of a group, too, and with numbers that no long holds."""
+    rows = [("g", f"a{k:03}", [f"/i/{9 - k % 3}", "/i/3"]) for k in range(100)] + [("g", f"b{k:03}", ["/i/3", f"/i/{4 + k}", "/x", "/i/" + "9" * 30]) for k in range(300)]
+    df = spark.createDataFrame(rows, "grp string, session_id string, paths array<string>")
+    assert {r.grp: r.sequential for r in C.sequential_scores(df).collect()} == {"g": 0.75}
+    assert {r.grp: r.sequential for r in C.sequential_scores(df, cap=100).collect()} == {"g": 0.0}
