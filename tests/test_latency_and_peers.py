@@ -133,8 +133,8 @@ def test_auc_of_continuous_scores(spark, by):
     assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want)
 
 
-@pytest.mark.parametrize("chunk", [1024, 7])
-def test_similarity_of_all_pairs_of_a_group(spark, chunk):
+@pytest.mark.parametrize("more", [{}, {"chunk": 7}])
+def test_similarity_of_all_pairs_of_a_group(spark, more):
     rng = random.Random(5)
     rows = [(rng.choice("ab"), f"s{k:03}", sorted(rng.sample([f"/p{i}" for i in range(9)], rng.choice([0, 1, 1, 2, 3, 6])))) for k in range(150)]
     rows += [("one", "x", ["/p1"]), ("empty", "y", []), ("empty", "z", []), (None, "n", ["/p1"])]
@@ -144,11 +144,11 @@ def test_similarity_of_all_pairs_of_a_group(spark, chunk):
         sets = [set(p) for h, _, p in sorted(rows, key=lambda r: r[1]) if h == g and g]
         js = [len(a & b) / len(a | b) if a | b else 0.0 for k, a in enumerate(sets) for b in sets[k + 1 :]]
         want[g] = sum(js) / len(js) if js else 0.0
-    got = {r.pattern: r.similarity for r in C.group_similarity(df, chunk=chunk).collect()}
+    got = {r.pattern: r.similarity for r in C.group_similarity(df, **more).collect()}
     assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-12 for g in want) and want["a"] > 0
     sets = [set(p) for h, _, p in rows if h == "a"][:20]
     js = [len(a & b) / len(a | b) if a | b else 0.0 for k, a in enumerate(sets) for b in sets[k + 1 :]]
-    first = {r.pattern: r.similarity for r in C.group_similarity(df, cap=20, chunk=chunk).collect()}
+    first = {r.pattern: r.similarity for r in C.group_similarity(df, cap=20, **more).collect()}
     assert abs(first["a"] - sum(js) / len(js)) < 1e-12
 
 
